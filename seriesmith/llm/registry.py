@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, mixing
+from seriesmith.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
