@@ -1,0 +1,8 @@
+"""Series-cleaning analytics and training-data preparation on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
