@@ -48,3 +48,14 @@ def strip_spaces(text: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Number of maximal runs of characters other than ASCII white space; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose two sides are both shuffled anew.
+
+    A side that has just been grouped by the keys would be joined where it lies, and adaptive
+    execution then may not split the other side's large partitions. A key more makes both sides
+    start from a shuffle of their own, so a hot key is spread over tasks.
+    """
+    again = F.xxhash64(*keys)
+    return left.withColumn("__dealt", again).join(right.withColumn("__dealt", again), ["__dealt", *keys], how).drop("__dealt")

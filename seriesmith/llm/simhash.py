@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import materialize, read_table
+from seriesmith.llm.common import join_dealt, materialize, read_table
 from seriesmith.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -149,7 +149,7 @@ def tile_edges(classes: DataFrame, tile: int = TILE) -> DataFrame:
         F.posexplode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in zip(shifts, BANDS)])).alias("band", "value"),
     ).select("fp", (F.col("value") * len(BANDS) + F.col("band")).alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    marked = banded.join(crowded.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "bucket", "left")
+    marked = join_dealt(banded, crowded.select("bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts")), ["bucket"], "left")
     plain = marked.where("parts is null").select("bucket", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp", F.lit(False).alias("side"))
     # a crowded bucket: sub-tiles by population count, in steps beyond which no link reaches, and by hash
     step = F.floor(F.bit_count("fp") / (RADIUS + 1))
@@ -179,8 +179,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(tile_edges(classes.select("fp")))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     owner = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_class = named.join(owner, "root").select("fp", "component_id")
-    return prints.join(per_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    per_class = join_dealt(named, owner, ["root"]).select("fp", "component_id")
+    return join_dealt(prints, per_class, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
