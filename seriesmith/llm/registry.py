@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, mixing, simhash, substring_dedup
+from seriesmith.llm import exact_dedup, mixing, simhash, substring_dedup, token_ids
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_token_ids": token_ids.op6_token_ids,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
