@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, mixing, simhash, substring_dedup, token_ids
+from seriesmith.llm import exact_dedup, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_ids": token_ids.op6_token_ids,
