@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids
+from seriesmith.llm import exact_dedup, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_media": media.op8_media,
     "op10_mixing": mixing.op10_mixing,
 }
 
