@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids
+from seriesmith.llm import exact_dedup, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
