@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, warc
+from seriesmith.llm import exact_dedup, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_media": media.op8_media,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_mixing": mixing.op10_mixing,
 }
 
