@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, warc
+from seriesmith.llm import exact_dedup, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_token_ids": token_ids.op6_token_ids,
