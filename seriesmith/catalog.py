@@ -22,13 +22,19 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _load() -> None:
+    from seriesmith.queries import scoring  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    return queries()["funnel_of_repairs"](spark, sf_dir)

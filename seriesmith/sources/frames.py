@@ -1,0 +1,67 @@
+"""A batch source of synthetic frames with pushed-down frame range: ``spark.read.format("frames")``."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+
+
+class _Range(InputPartition):
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+
+class FramesReader(DataSourceReader):
+    """Options: runs, frames (per run), start, end (half open; 0 is the end), batch (frames a task)."""
+
+    def __init__(self, options):
+        self.runs = int(options.get("runs", 1))
+        self.total = int(options.get("frames", 60))
+        self.start = max(0, int(options.get("start", 0)))
+        self.end = min(int(options.get("end", 0)) or self.total, self.total)
+        self.batch = int(options.get("batch", 16))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) != ("frame",):
+                yield f
+            elif isinstance(f, GreaterThanOrEqual):
+                self.start = max(self.start, f.value)
+            elif isinstance(f, GreaterThan):
+                self.start = max(self.start, f.value + 1)
+            elif isinstance(f, LessThan):
+                self.end = min(self.end, f.value)
+            elif isinstance(f, LessThanOrEqual):
+                self.end = min(self.end, f.value + 1)
+            elif isinstance(f, EqualTo):
+                self.start, self.end = max(self.start, f.value), min(self.end, f.value + 1)
+            else:
+                yield f
+
+    def partitions(self):
+        return [_Range(a, min(a + self.batch, self.end)) for a in range(self.start, self.end, self.batch)] or [_Range(0, 0)]
+
+    def read(self, partition):
+        for run in range(self.runs):
+            for frame in range(partition.start, partition.end):
+                yield run, frame, 60 + frame // 3 + run, [(frame // 3 * 37 + run * 11 + k * k) % 256 for k in range(64)]
+
+
+class FramesSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "frames"
+
+    def schema(self):
+        return "run_id long, frame int, speed int, px array<int>"
+
+    def reader(self, schema):
+        return FramesReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(FramesSource)
+    # filters are offered to Python sources only if this is set
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
