@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seriesmith.queries import scoring  # noqa: F401
+    from seriesmith.queries import files, pictures, relations, scoring, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

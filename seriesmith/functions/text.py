@@ -102,6 +102,7 @@ def ctc_decode(indices: Column, probabilities: Column, characters: Column) -> Co
     steps = F.arrays_zip(indices.alias("i"), probabilities.alias("p"))
     kept = F.filter(steps, lambda s, k: (s["i"] != 0) & ((k == 0) | (s["i"] != F.get(indices, k - 1))))
     text = F.array_join(F.transform(kept, lambda s: F.get(characters, s["i"].cast("int"))), "")
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + F.bround(s["p"], 5))
-    score = F.when(F.size(kept) > 0, F.bround(total / F.size(kept), 5)).otherwise(0.0)
+    # whole hundred-thousandths, so that halves are halves
+    total = F.aggregate(kept, F.lit(0).cast("long"), lambda acc, s: acc + F.bround(s["p"] * 1e5, 0).cast("long"))
+    score = F.when(F.size(kept) > 0, F.bround(total / F.size(kept), 0) / 1e5).otherwise(0.0)
     return F.struct(text.alias("text"), score.alias("score"))

@@ -86,7 +86,7 @@ def _otsu_of(h: Column, fallback: int) -> Column:
 def stretch(px: Column, low: Column, high: Column) -> Column:
     """Linear stretch of low..high to 0..255, cut off to whole numbers."""
     span = F.greatest(high - low, F.lit(1.0))
-    return F.transform(px, lambda x: F.floor(F.least(F.greatest((x - low) * 255.0 / span, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    return F.transform(px, lambda x: F.floor(F.least(F.greatest((x - low) * 255.0 / span, F.lit(0.0)), F.lit(255.0)) + 1e-9).cast("int"))
 
 
 def window_sum_max(df: DataFrame, mask: str, width: str, name: str = "change") -> DataFrame:

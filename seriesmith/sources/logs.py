@@ -14,7 +14,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole by one task, since its first lines say how to read the rest.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "text"))
     return lines.where(F.trim("text") != "")
 
@@ -75,7 +75,7 @@ def read_series_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Index and character of a recogniser's dictionary: a blank first, the file's lines, a space last."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("l"))
     return lines.select(F.posexplode(F.concat(F.array(F.lit("blank")), "l", F.array(F.lit(" ")))).alias("idx", "ch"))
 
 
