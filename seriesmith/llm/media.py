@@ -148,20 +148,16 @@ def npy_tiles(image: np.ndarray, tile: int = TILE, tiles: int = TILES) -> list[b
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes, filled up to a multiple of UNIT, as P5 samples."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    """doc_id, n_bytes and media: each text's UTF-8 bytes, filled up to a multiple of UNIT, as P5 samples.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, media = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or b""
-                whole = text + FILL * (max(UNIT, -len(text) // UNIT * -UNIT) - len(text))
-                sizes.append(len(text))
-                media.append(encode_netpbm(np.frombuffer(whole, np.uint8).reshape(-1, WIDTH)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
+    Null and empty texts are one UNIT of FILL. Ids pass through; other columns are not read.
+    """
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    n = F.octet_length(data)
+    size = F.greatest(F.lit(1), F.ceil(n / UNIT)) * UNIT
+    head = F.format_string(f"P5\n{WIDTH} %d\n255\n", (size / WIDTH).cast("long")).cast("binary")
+    fill = F.unhex(F.repeat(F.lit(FILL.hex()), (size - n).cast("int")))
+    return docs.select(F.col(id_col).alias("doc_id"), n.cast("long").alias("n_bytes"), F.concat(head, data, fill).alias("media"))
 
 
 def image_features(images: DataFrame, media_col: str = "media") -> DataFrame:
@@ -193,31 +189,28 @@ def image_features(images: DataFrame, media_col: str = "media") -> DataFrame:
     return images.select(names).mapInArrow(run, schema)
 
 
-def _digests(media: DataFrame) -> DataFrame:
-    """Payload and media digests, and the features in one string."""
+def image_digests(media: DataFrame) -> DataFrame:
+    """What each stored image holds, as digests: read back a few rows at a time, nothing large is kept."""
+
+    def one(data: bytes) -> tuple:
+        image = decode_image(data)
+        samples, flat = image.tobytes(), gray(image)
+        tiles = b"".join(npy_tiles(flat))
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(flat)}:{zlib.crc32(tiles):08x}"
+
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, stored, samples, hashes, tiles = (c.to_pylist() for c in batch.columns)
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(map(len, samples), pa.int64()),
-                    pa.array(map(sha, samples)),
-                    pa.array([zlib.crc32(x[-32:]) for x in samples], pa.int64()),
-                    pa.array(map(len, stored), pa.int64()),
-                    pa.array(map(sha, stored)),
-                    pa.array([f"{h}:{zlib.crc32(b''.join(t)):08x}" for h, t in zip(hashes, tiles)]),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
+            found = [one(data.as_buffer().to_pybytes()) for data in batch.column(2)]
+            columns = zip(*found) if found else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", *names])
 
     id_type = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media", "samples", "dhash", "tiles").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op8_media(spark, sf_dir) -> DataFrame:
-    return _digests(image_features(store_texts(read_table(spark, sf_dir, "documents"))))
+    return image_digests(store_texts(read_table(spark, sf_dir, "documents")))
