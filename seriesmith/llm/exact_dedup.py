@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import read_table, strip_spaces
+from seriesmith.llm.common import join_dealt, read_table, strip_spaces
 
 #: Hexadecimal digits of the SHA-256 that make up the 128-bit content hash.
 HASH_DIGITS = 32
@@ -34,15 +34,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("content_hash", F.unhex(F.substring("text_sha256", 1, HASH_DIGITS)))
     )
     several = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
-    single = rows.drop("norm").join(several, "content_hash", "left_anti").select(
+    single = join_dealt(rows.drop("norm"), several, ["content_hash"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     # dealt by id, so that the groups below start from an even spread
-    members = rows.join(several, "content_hash").repartition("doc_id")
+    members = join_dealt(rows, several, ["content_hash"]).repartition("doc_id")
     groups = members.groupBy("content_hash", "norm").agg(
         F.count(F.lit(1)).alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("rank"))).alias("best")
     )
-    grouped = members.join(groups, ["content_hash", "norm"]).select(
+    grouped = join_dealt(members, groups, ["content_hash", "norm"]).select(
         "doc_id",
         (-F.col("best.rank")).alias("keep_id"),
         "group_size",
