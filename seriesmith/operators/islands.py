@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.functions.numeric import array_median
-from seriesmith.operators.series import RUN
+from seriesmith.operators.series import run_order
 from seriesmith.params import DEFAULTS, Params
 
 
@@ -34,7 +34,7 @@ def _grow(state: Column, side: Column, tolerance: float) -> Column:
 
 def run_bounds(df: DataFrame, tolerance: float, reach: int) -> DataFrame:
     """Adds run_l and run_r (seg), run_frames, run_med, run_exact: the run about each reading, seen ``reach`` rows far."""
-    side = lambda a, b: F.collect_list(F.struct("raw", "len")).over(RUN.rowsBetween(a, b))
+    side = lambda a, b: F.collect_list(F.struct("raw", "len")).over(run_order().rowsBetween(a, b))
     start = F.struct(
         F.col("raw").alias("low"), F.col("raw").alias("high"), F.col("len").alias("frames"), F.array("raw").alias("vals"), F.col("raw").isNotNull().alias("open")
     )
@@ -61,12 +61,12 @@ def cap_islands(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     reach = max(p.island_frames, p.island_frames_exact)
     out = run_bounds(df, p.island_tolerance, reach)
     k = p.neighbours
-    around = F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("seg", F.col("raw").cast("double").alias("raw")))).over(RUN.rowsBetween(-k, k))
+    around = F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("seg", F.col("raw").cast("double").alias("raw")))).over(run_order().rowsBetween(-k, k))
     least = F.when(F.col("run_exact"), p.island_frames_exact).otherwise(p.island_frames)
     outside = F.transform(F.filter("_around", lambda x: (x["seg"] < F.col("run_l")) | (x["seg"] > F.col("run_r"))), lambda x: x["raw"])
     eligible = F.col("raw").isNotNull() & F.col("branch").isin("fit", "jerk")
     far = F.abs(F.col("run_med") - array_median(F.col("_outside"))) > F.greatest("bw", F.lit(p.floor)) * p.island_deviation
-    seeds = F.collect_list(F.struct("_cap", "run_l", "run_r")).over(RUN.rowsBetween(-reach, reach))
+    seeds = F.collect_list(F.struct("_cap", "run_l", "run_r")).over(run_order().rowsBetween(-reach, reach))
     return (
         out.withColumn("_around", around)
         .withColumn("_outside", outside)

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 from seriesmith.functions.numeric import array_median, lerp
 from seriesmith.params import DEFAULTS, KMH_PER_MS, Params
 
-RUN = Window.partitionBy("run_id").orderBy("seg")
-ALL = Window.partitionBy("run_id")
+
+def run_order():
+    """Window over each run in order."""
+    return Window.partitionBy("run_id").orderBy("seg")
+
+
+def whole_run():
+    return Window.partitionBy("run_id")
 
 
 def _rows(a: int, b: int):
-    return RUN.rowsBetween(a, b)
+    return run_order().rowsBetween(a, b)
 
 
 def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -29,9 +35,9 @@ def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """
     wide = Window.partitionBy("run_id").orderBy("mid").rangeBetween(-p.window_max, p.window_max)
     return (
-        df.withColumn("_pm", F.lag("mid").over(RUN))
-        .withColumn("_dv", F.abs(F.col("raw") - F.lag("raw").over(RUN)))
-        .withColumn("_gap", F.percentile(F.col("mid") - F.col("_pm"), F.lit(0.5)).over(ALL))
+        df.withColumn("_pm", F.lag("mid").over(run_order()))
+        .withColumn("_dv", F.abs(F.col("raw") - F.lag("raw").over(run_order())))
+        .withColumn("_gap", F.percentile(F.col("mid") - F.col("_pm"), F.lit(0.5)).over(whole_run()))
         .withColumn("_half", F.least(F.lit(p.window) * F.greatest(F.coalesce("_gap", F.lit(1.0)), F.lit(1.0)), F.lit(float(p.window_max))))
         .withColumn("_near", F.collect_list(F.when(F.col("_dv").isNotNull(), F.struct("mid", "_pm", "_dv"))).over(wide))
         .withColumn(
@@ -95,7 +101,7 @@ def correct(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 def confidence(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds conf in 0..100 and branch, the rule that gave it. Needs bw."""
     by_median = F.lit(100.0) * F.exp(-F.abs(F.col("raw") - F.col("_med")) / F.greatest("bw", F.lit(p.floor)))
-    jerk = F.abs(F.lead("raw").over(RUN) - 2 * F.col("raw") + F.lag("raw").over(RUN))
+    jerk = F.abs(F.lead("raw").over(run_order()) - 2 * F.col("raw") + F.lag("raw").over(run_order()))
     by_jerk = F.lit(p.weight_median) * F.col("_ms") + F.lit(p.weight_jerk) * 100.0 * F.exp(-F.col("_jerk") / p.jerk_scale)
     rules = [
         (F.col("raw").isNull(), F.lit(0.0), "none"),
@@ -115,7 +121,7 @@ def confidence(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 def anchors(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds anchor: trusted readings, without those of middling trust that jerk against both neighbours. Needs conf."""
-    jerk = F.abs(F.lead("raw").over(RUN) - 2 * F.col("raw") + F.lag("raw").over(RUN))
+    jerk = F.abs(F.lead("raw").over(run_order()) - 2 * F.col("raw") + F.lag("raw").over(run_order()))
     base = F.col("raw").isNotNull() & (F.col("conf") >= p.anchor_confidence)
     drop = F.lit(p.deanchor_jerk_min > 0) & (F.col("conf") < p.deanchor_confidence) & F.coalesce(jerk.between(p.deanchor_jerk_min, p.deanchor_jerk_max), F.lit(False))
     return df.withColumn("anchor", base & ~drop)
@@ -171,14 +177,14 @@ def distance(df: DataFrame, frame: str = "frame", speed: str = "speed", fps: flo
 
 def trim_start(df: DataFrame, order: str = "idx", speed: str = "speed", rebase: tuple[str, ...] = ("t", "dist")) -> DataFrame:
     """Drops rows before a run's first positive speed, if there is one, and counts the named columns from the first row left."""
-    out = df.withColumn("_from", F.min(F.when(F.col(speed) > 0, F.col(order))).over(ALL)).where(F.col("_from").isNull() | (F.col(order) >= F.col("_from"))).drop("_from")
+    out = df.withColumn("_from", F.min(F.when(F.col(speed) > 0, F.col(order))).over(whole_run())).where(F.col("_from").isNull() | (F.col(order) >= F.col("_from"))).drop("_from")
     first = Window.partitionBy("run_id").orderBy(order)
     return out.withColumns({c: F.col(c) - F.first(c).over(first) for c in rebase})
 
 
 def rotate(df: DataFrame, offset: int, order: str = "idx") -> DataFrame:
     """Adds at: the position of each row after the run is rotated by ``offset``."""
-    n = F.count(F.lit(1)).over(ALL)
+    n = F.count(F.lit(1)).over(whole_run())
     return df.withColumn("at", F.pmod(F.col(order) + F.lit(offset), n).cast("int"))
 
 
@@ -226,14 +232,14 @@ def progress_gate(df: DataFrame, order: str = "seg", percent: str = "pct", phase
 
 def pair_accelerations(df: DataFrame, fps: float = 30.0) -> DataFrame:
     """Adds accel: change per second since the row before; a time step of zero or less is one frame."""
-    dt = (F.col("mid") - F.lag("mid").over(RUN)) / fps
-    return df.withColumn("accel", (F.col("raw") - F.lag("raw").over(RUN)) / F.when(dt <= 0, 1.0 / fps).otherwise(dt))
+    dt = (F.col("mid") - F.lag("mid").over(run_order())) / fps
+    return df.withColumn("accel", (F.col("raw") - F.lag("raw").over(run_order())) / F.when(dt <= 0, 1.0 / fps).otherwise(dt))
 
 
 def jump_islands(df: DataFrame, p: Params = DEFAULTS, mult: float = 1.0, look: int = 15) -> DataFrame:
     """Adds jumped: rows that jump faster than physics allows, or lie between opposite jumps within ``look`` rows."""
-    d = F.col("raw") - F.lag("raw").over(RUN)
-    dt = F.abs(F.col("mid") - F.lag("mid").over(RUN)) / max(p.fps, 1.0)
+    d = F.col("raw") - F.lag("raw").over(run_order())
+    dt = F.abs(F.col("mid") - F.lag("mid").over(run_order())) / max(p.fps, 1.0)
     over = F.abs(d) > F.lit(p.max_accel) * dt * KMH_PER_MS * mult
     sign = F.when(over, F.signum(d.cast("double")))
     out = (
@@ -247,8 +253,8 @@ def jump_islands(df: DataFrame, p: Params = DEFAULTS, mult: float = 1.0, look: i
 
 def sliding(df: DataFrame, column: str, half: int, kind: str = "median", name: str = "smooth") -> DataFrame:
     """Sliding median or mean of 2*half+1 rows, the first and last value repeated beyond the ends."""
-    n = F.count(F.lit(1)).over(ALL)
-    rn = F.row_number().over(RUN)
+    n = F.count(F.lit(1)).over(whole_run())
+    rn = F.row_number().over(run_order())
     ends = Window.partitionBy("run_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     inside = F.collect_list(F.col(column).cast("double")).over(_rows(-half, half))
     out = (
@@ -280,10 +286,10 @@ def savgol(df: DataFrame, column: str, window: int = 7, order: int = 3, name: st
     weights = savgol_coefficients(window, order)
     total = None
     for k, c in enumerate(weights):
-        term = F.lit(c) * F.lag(F.col(column), half - k).over(RUN)
+        term = F.lit(c) * F.lag(F.col(column), half - k).over(run_order())
         total = term if total is None else total + term
-    rn, n = F.row_number().over(RUN), F.count(F.lit(1)).over(ALL)
-    ends = RUN.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rn, n = F.row_number().over(run_order()), F.count(F.lit(1)).over(whole_run())
+    ends = run_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = df.withColumn("_s", total).withColumn("_rn", rn).withColumn("_n", n)
     out = out.withColumn("_a", F.first("_s", ignorenulls=True).over(ends)).withColumn("_z", F.last("_s", ignorenulls=True).over(ends))
     value = F.when(F.col("_n") < window, F.col(column).cast("double")).when(F.col("_rn") <= half, F.col("_a")).when(F.col("_rn") > F.col("_n") - half, F.col("_z")).otherwise(F.col("_s"))
@@ -308,6 +314,6 @@ def region_statistics(df: DataFrame, t: str = "t", x: str = "dist", v: str = "sp
 def physics_check(df: DataFrame, value: str = "raw", p: Params = DEFAULTS) -> DataFrame:
     """Adds plausible: the step to each neighbour is within what acceleration allows, with tolerance."""
     gap = lambda a: F.greatest(F.abs(a) / p.fps, F.lit(1e-3))
-    step = F.greatest(F.abs(F.col(value) - F.lag(value).over(RUN)), F.abs(F.col(value) - F.lead(value).over(RUN)))
-    dt = F.least(gap(F.col("mid") - F.lag("mid").over(RUN)), gap(F.lead("mid").over(RUN) - F.col("mid")))
+    step = F.greatest(F.abs(F.col(value) - F.lag(value).over(run_order())), F.abs(F.col(value) - F.lead(value).over(run_order())))
+    dt = F.least(gap(F.col("mid") - F.lag("mid").over(run_order())), gap(F.lead("mid").over(run_order()) - F.col("mid")))
     return df.withColumn("plausible", F.coalesce(step <= F.lit(p.max_accel * KMH_PER_MS) * dt * p.review_tolerance, F.lit(True)))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.operators.series import RUN
+from seriesmith.operators.series import run_order
 from seriesmith.params import DEFAULTS, KMH_PER_MS, Params
 
 
@@ -82,12 +82,12 @@ def smooth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     keep = [c for c in df.columns if c not in ("corr",)]
     usable = F.col("anchor") & F.col("raw").between(0, int(p.max_speed))
     # a stretch is the rows after one anchor up to the next; that next one closes it
-    marked = df.withColumn("_a", usable).withColumn("_k", F.coalesce(F.sum(F.col("_a").cast("int")).over(RUN.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    marked = df.withColumn("_a", usable).withColumn("_k", F.coalesce(F.sum(F.col("_a").cast("int")).over(run_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     row = ["run_id", "seg", "mid", "raw", "fill"]
     # rows of a stretch, its closing anchor, and the anchor before it, which closes the stretch before
-    lone = marked.withColumn("_prev", F.lag("_a").over(RUN))
+    lone = marked.withColumn("_prev", F.lag("_a").over(run_order())).withColumn("_next", F.lead("_a").over(run_order()))
     own = lone.where(~F.col("_a") | ~F.coalesce("_prev", F.lit(True))).select(*row, "_a", F.col("_k").alias("stretch"))
-    opening = lone.where(F.col("_a")).withColumn("_next", F.lead("_a").over(RUN)).where(~F.coalesce("_next", F.lit(True))).select(*row, "_a", (F.col("_k") + 1).alias("stretch"))
+    opening = lone.where(F.col("_a") & ~F.coalesce("_next", F.lit(True))).select(*row, "_a", (F.col("_k") + 1).alias("stretch"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come ordered by stretch; the last one of a batch may go on in the next."""

@@ -85,7 +85,7 @@ SELECT run_id, seg, min(frame) AS "start", max(frame) AS "end", CAST(count(*) AS
 def stream_segments(spark, sf_dir):
     df = readings(spark, sf_dir).select(
         "run_id", F.col("seg").alias("frame"), F.floor(F.coalesce("raw", F.lit(0)) / 25).cast("int").alias("value"), F.coalesce("raw", F.lit(0)).cast("double").alias("sharp"),
-        (F.lead("seg").over(series.RUN).isNull()).alias("last"),
+        (F.lead("seg").over(series.run_order()).isNull()).alias("last"),
     )
     source, out = scratch(spark, "frames"), scratch(spark, "segments")
     df.write.parquet(source)

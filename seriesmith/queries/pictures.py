@@ -28,7 +28,7 @@ def picture_sharpness(spark, sf_dir):
 
 @query(
     "otsu_thresholds",
-    f"""WITH {PX_SQL}, u AS (SELECT label, unnest(px) AS bin FROM v), h AS (SELECT label, bin, count(*) AS n FROM u GROUP BY ALL),
+    f"""WITH {PX_SQL}, u AS (SELECT label, unnest(px) AS bin FROM v), h AS (SELECT label, bin, count(*) AS n FROM u GROUP BY whole_run()),
 c AS (SELECT *, sum(n) OVER w AS cn, sum(n * bin) OVER w AS cm, sum(n) OVER t AS tn, sum(n * bin) OVER t AS tm FROM h WINDOW w AS (PARTITION BY label ORDER BY bin), t AS (PARTITION BY label)),
 b AS (SELECT label, bin, CASE WHEN cn > 0 AND tn > cn THEN cn::DOUBLE * (tn - cn) * pow(cm::DOUBLE / cn - (tm - cm)::DOUBLE / (tn - cn), 2) END AS var FROM c)
 SELECT label, coalesce(arg_max(bin, {{'v': round(var, 4), 'b': -bin}}) FILTER (var IS NOT NULL), 127) AS threshold FROM b GROUP BY label""",
@@ -65,7 +65,7 @@ def change_masks(spark, sf_dir):
     "change_windows",
     f"""WITH {PX_SQL}, p AS (SELECT *, lag(px) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v),
 m AS (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(list_transform(range(1, 65), lambda i: CASE WHEN (px[i] > 127) <> (prev[i] > 127) THEN 1 ELSE 0 END)) AS d FROM p WHERE prev IS NOT NULL),
-s AS (SELECT a.vec_id, a.k, sum(b.d) AS s FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.k // 8 - b.k // 8) <= 1 AND abs(a.k % 8 - b.k % 8) <= 1 GROUP BY ALL)
+s AS (SELECT a.vec_id, a.k, sum(b.d) AS s FROM m a JOIN m b ON a.vec_id = b.vec_id AND abs(a.k // 8 - b.k // 8) <= 1 AND abs(a.k % 8 - b.k % 8) <= 1 GROUP BY whole_run())
 SELECT vec_id, CAST(max(s) AS INTEGER) AS change, max(s) >= 5 AS boundary FROM s GROUP BY vec_id""",
 )
 def change_windows(spark, sf_dir):
@@ -101,7 +101,7 @@ def contrast_stretch(spark, sf_dir):
 
 @query(
     "histogram_equalised",
-    f"""WITH {PX_SQL}, h AS (SELECT label, bin, count(*) AS n FROM (SELECT label, unnest(px) AS bin FROM v) GROUP BY ALL),
+    f"""WITH {PX_SQL}, h AS (SELECT label, bin, count(*) AS n FROM (SELECT label, unnest(px) AS bin FROM v) GROUP BY whole_run()),
 c AS (SELECT label, bin, sum(n) OVER (PARTITION BY label ORDER BY bin) AS cn, sum(n) OVER (PARTITION BY label) AS tn FROM h)
 SELECT label, bin, CAST(floor(255.0 * cn / tn) AS INTEGER) AS value FROM c""",
 )

@@ -282,7 +282,7 @@ SELECT run_id, seg FROM n WHERE seg % greatest(1, n // 10) = 0 AND seg // greate
 )
 def strided_rows(spark, sf_dir):
     step = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
-    df = readings(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(series.ALL))
+    df = readings(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(series.whole_run()))
     return df.where((F.col("seg") % step == 0) & (F.floor(F.col("seg") / step) < 10)).select("run_id", "seg")
 
 

@@ -222,7 +222,7 @@ def flag_ranges(spark, sf_dir):
 SELECT run_id, min(seg) FILTER (raw < p) AS seg FROM l GROUP BY run_id""",
 )
 def first_descent(spark, sf_dir):
-    df = readings(spark, sf_dir).withColumn("p", F.lag("raw").over(series.RUN))
+    df = readings(spark, sf_dir).withColumn("p", F.lag("raw").over(series.run_order()))
     return df.groupBy("run_id").agg(F.min(F.when(F.col("raw") < F.col("p"), F.col("seg"))).alias("seg"))
 
 
@@ -387,7 +387,7 @@ def median_of_pairs(spark, sf_dir):
 SELECT run_id, seg, round(coalesce(100 * exp(-abs(raw - med) / greatest(sd, 3.0)), 50), 1) AS score, round(sd, 6) AS spread FROM s""",
 )
 def residual_score(spark, sf_dir):
-    f = series.RUN.rowsBetween(-7, 7)
+    f = series.run_order().rowsBetween(-7, 7)
     df = readings(spark, sf_dir).withColumn("med", F.percentile("raw", F.lit(0.5)).over(f)).withColumn("sd", F.stddev_pop("raw").over(f))
     score = F.coalesce(F.lit(100.0) * F.exp(-F.abs(F.col("raw") - F.col("med")) / F.greatest("sd", F.lit(3.0))), F.lit(50.0))
     return df.select("run_id", "seg", F.round(score, 1).alias("score"), F.round("sd", 6).alias("spread"))
@@ -413,7 +413,7 @@ def combined_signals(spark, sf_dir):
 SELECT run_id, seg, array_to_string(around, ' ') AS around FROM c WHERE raw IS NOT NULL AND truth IS NOT NULL AND abs(raw - truth) > 1""",
 )
 def context_rows(spark, sf_dir):
-    around = F.collect_list(F.coalesce("raw", F.lit(-1)).cast("string")).over(series.RUN.rowsBetween(-3, 3))
+    around = F.collect_list(F.coalesce("raw", F.lit(-1)).cast("string")).over(series.run_order().rowsBetween(-3, 3))
     df = readings(spark, sf_dir).withColumn("around", F.array_join(around, " "))
     return df.where(F.abs(F.col("raw") - F.col("truth")) > 1).select("run_id", "seg", "around")
 
