@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import count_words, materialize, read_table
+from seriesmith.llm.common import count_words, join_dealt, materialize, read_table
 
 #: Steps of the bisection; the exponent is then rounded to 9 decimals.
 STEPS = 50
@@ -85,9 +85,7 @@ def mix_sources(
         F.coalesce("all_tokens", F.lit(0)).alias("all_tokens"),
         F.when(F.size("p") > 0, _exponent(F.col("p"), target_entropy, repetition_limit, F.lit(budget_share))).otherwise(F.lit(1.0)).alias("a"),
     )
-    power = row.select(
-        "all_tokens", "a"
-    ).first()
+    power = row.first()
     budget, a = math.floor(power["all_tokens"] * budget_share), power["a"]
     weight = F.when(F.col("have") > 0, F.pow(F.col("have") / F.lit(max(power["all_tokens"], 1)), F.lit(a))).otherwise(0.0)
     norm = per.agg(F.sum(weight).alias("s")).first()["s"] or 1.0
@@ -98,7 +96,7 @@ def mix_sources(
         .withColumn("rest", F.col("quota") - F.col("full") * F.col("have"))
         .select("source", "full", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long").alias("buckets"))
     )
-    rows = tokens.join(plan, "source")
+    rows = join_dealt(tokens, plan, ["source"])
 
     def key(epoch):
         return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
@@ -115,7 +113,7 @@ def mix_sources(
         .withColumn("end", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")))
         .select("source", "bucket", "end", (F.col("end") - F.col("in_bucket")).alias("start"))
     )
-    placed = part.join(ends, ["source", "bucket"])
+    placed = join_dealt(part, ends, ["source", "bucket"])
     inside = placed.where("end <= rest")
     order = Window.partitionBy("source", "bucket").orderBy("position_key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     border = placed.where("end > rest and start <= rest").withColumn("upto", F.col("start") + F.sum("n_tokens").over(order)).where("upto <= rest")
@@ -126,7 +124,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mixture reads them, once per block, with the columns of ``docs``."""
     picks = mix_sources(docs, **options).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
     times = F.array_repeat(F.lit(0), F.col("__times").cast("int"))
-    return docs.join(picks, "doc_id").withColumn("__block", F.explode(times)).select(docs.columns)
+    return join_dealt(docs, picks, ["doc_id"]).withColumn("__block", F.explode(times)).select(docs.columns)
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:
