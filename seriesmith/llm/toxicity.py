@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import read_table
+from seriesmith.llm.common import materialize, read_table
 
 #: Labelled rows that are fitted, chosen by the least hash of their id.
 SAMPLE_ROWS = 6000
@@ -29,6 +29,8 @@ SAMPLE_ROWS = 6000
 SAMPLE_TEXT = 200_000
 #: A word must be in this many of the fitted texts.
 LEAST_TEXTS = 8
+#: A word can only speak for toxicity if its share of toxic texts is this many times that of all texts.
+LEAST_LIFT = 1.5
 #: Weights of the penalties: L1 while words are chosen, L2 after that, and the mean squared change
 #: between counterfactual sentences.
 L1 = 0.002
@@ -191,13 +193,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> ToxicModel:
     """Fit on the labelled rows that are not held out, at most ``sample_rows`` of them.
 
-    Rows without a label, and labels without a text, are left out.
+    Rows without a label, and labels without a text, are left out. The sample's features are counted
+    in Spark; the driver gets those that are in toxic texts more often than others, and for each text
+    which of them it has.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
-    every = "|".join(t for kind in IDENTITY_TERMS for t in kind)
-    found = re.compile(rf"(?<![^\W\d_])(?:{every})(?![^\W\d_])")
+    found = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(t for kind in IDENTITY_TERMS for t in kind)})(?![^\W\d_])")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +215,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **
                 [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(sets, pa.list_(pa.string())), pa.array(some, pa.list_(pa.string()))], ["doc_id", "toxic", "words", "sentences"]
             )
 
-    rows = texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, sentences array<string>").limit(sample_rows).collect()
+    sample = materialize(texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, sentences array<string>").limit(sample_rows), "toxicity")
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    counts = sample.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
+    more = counts.where((F.col("n") >= options.get("least_texts", LEAST_TEXTS)) & (F.col("toxic") * size["n"] > F.col("n") * size["toxic"] * LEAST_LIFT))
+    vocabulary = {r["w"] for r in more.select("w").collect()}  # at most what the bounded sample holds
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [[w for w in words if w in vocabulary] for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string())), batch.column(3)], ["doc_id", "toxic", "words", "sentences"])
+
+    rows = sample.mapInArrow(keep, sample.schema).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
     return fit([set(r["words"]) for r in rows], [int(r["toxic"]) for r in rows], [s.split() for r in rows for s in r["sentences"]], **options)
 
