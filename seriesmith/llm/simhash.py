@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within the radius; a and b ordered by population count."""
     pa_, pb = np.bitwise_count(a), np.bitwise_count(b)
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # no block may be near enough
     for i in range(0, len(a), BLOCK):
         x, low, high = a[i : i + BLOCK], int(pa_[i]), int(pa_[min(i + BLOCK, len(a)) - 1])
         for j in range(0, len(b), BLOCK):
