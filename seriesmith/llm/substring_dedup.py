@@ -1,20 +1,23 @@
 """Substring dedup: words that lie in a window which an earlier document also has.
 
-Two forms. ``remove_reference_spans`` broadcasts suffix automata of a bounded reference and streams
-documents through them for matching statistics. ``substring_dedup`` compares a corpus with itself,
-where the reference is as large as the corpus: automata of all shards would have to meet all
-documents, which grows with the square of the corpus, so windows are matched by hash instead:
+Suffix automata of reference shards: documents are streamed through them for matching statistics,
+and spans of a window or more are removed. ``remove_reference_spans`` broadcasts the automata's words
+where the reference has a proven bound. ``substring_dedup`` compares a corpus with itself, where the
+reference grows with the corpus and cannot be broadcast: its shards are dealt to tasks, cut so that
+only words that can match meet.
 
 1. Every window has a minimizer, the least hash of its 10-word runs, and equal windows have equal
    ones. A document's windows fall into stretches with one minimizer, about 21 windows each. One
    pass writes (minimizer, hash of the stretch's words) for each stretch: one row per 21 words.
-2. A stretch whose words are also a stretch of an earlier document is removed whole. Only where one
-   minimizer has several different stretches (the edges of repeated passages) are the windows of
-   each distinct stretch hashed one by one, in its first document, and looked up.
-3. A last pass over the texts removes the words and counts.
-
-Hot passages are aggregated on the map side, and the joins have partitions that adaptive execution
-can split. Hashes have 128 bits.
+2. A stretch whose words are also a stretch of an earlier document is removed whole. Where one
+   minimizer has several different stretches (the edges of repeated passages), the words of each are
+   sent, from its first document, to the minimizer's shard. There they go through the shard's
+   automaton in the order of documents, each matched against all earlier ones and then added.
+3. A minimizer with more stretches than one task should hold is matched by hashes of its windows
+   instead, which spread over tasks and are aggregated on the map side.
+4. A last pass over the texts removes the words and counts.
+
+Joins have partitions that adaptive execution can split. Hashes have 128 bits.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from seriesmith.llm.common import join_dealt, materialize, read_table
 WINDOW = 50
 #: Words of the runs among whose hashes a window's minimizer is chosen.
 RUN = 10
+#: Stretches of one minimizer that a task matches by an automaton, of some 70 words each.
+SHARD_STRETCHES = 2000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -101,23 +106,72 @@ def _stretches(window: int):
     return run
 
 
-def _window_rows(window: int):
+def _segment_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "m", "s", "crowded", "words"]
         for batch in batches:
-            rows, one, two = [], [], []
-            for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+            rows, m, s, crowded, held = [], [], [], [], []
+            for i, (text, few, many) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3))):
                 words = (text or b"").split()
-                if len(words) >= window:
-                    w = Windows(words, window)
-                    a, b = w.hashes(w.starts(np.isin(w.stretch, wanted.values.to_numpy(zero_copy_only=False))))
-                    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                    rows.append(np.full(len(pairs), i))
-                    one.append(pairs[:, 0])
-                    two.append(pairs[:, 1])
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], ["doc_id", "a", "b"]
-                )
+                if len(words) < window:
+                    continue
+                w = Windows(words, window)
+                for keys, much in ((few, False), (many, True)):
+                    found = np.flatnonzero(np.isin(w.stretch, keys.values.to_numpy(zero_copy_only=False)))
+                    for k in found[np.unique(w.stretch[found], return_index=True)[1]]:
+                        rows.append(i)
+                        m.append(int(w.minimizer[k]))
+                        s.append(int(w.stretch[k]))
+                        crowded.append(much)
+                        held.append(b" ".join(words[w.first[k] : w.last[k] + window - 1]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(crowded, pa.bool_()), pa.array(held, pa.binary())], names
+            )
+
+    return run
+
+
+def _automaton_matches(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by shard and document; one shard's automaton is held at a time."""
+        shard, automaton, doc, waiting = None, None, None, []
+        for batch in batches:
+            rows, keys, offsets = [], [], []
+            for i, (doc_id, m, s, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                words = text.split(b" ")
+                if automaton is None or m != shard:
+                    shard, automaton, doc, waiting = m, SuffixAutomaton(), doc_id, []
+                if doc_id != doc:  # what one document has does not count against itself
+                    for held in waiting:
+                        automaton.add(held)
+                    doc, waiting = doc_id, []
+                waiting.append(words)
+                at = [k - window + 1 for k, n in enumerate(automaton.matching_statistics(words)) if n >= window]
+                if at:
+                    rows.append(i)
+                    keys.append(s)
+                    offsets.append(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(offsets, pa.list_(pa.int32()))], ["doc_id", "s", "at"]
+            )
+
+    return run
+
+
+def _window_rows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = text.split(b" ")
+                every = np.arange(len(words) - window + 1)
+                a, b = Windows(words, window).hashes(every)
+                rows.append(np.full(len(every), i))
+                at.append(every)
+                one.append(a)
+                two.append(b)
+            doc, s = (batch.column(k).take(pa.array(np.concatenate(rows))) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([doc, s, *(pa.array(np.concatenate(x)) for x in (at, one, two))], ["doc_id", "s", "at", "a", "b"])
 
     return run
 
@@ -126,17 +180,18 @@ def _cover(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, whole, single in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            for text, whole, partial in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 words = (text or b"").split()
                 n = len(words)
                 keep = words
-                if n >= window and (whole.is_valid or single.is_valid):
+                if n >= window and (whole.is_valid or partial.is_valid):
                     w = Windows(words, window)
                     flag = np.zeros(n - window + 1, dtype=bool)
                     if whole.is_valid:
                         flag[w.starts(np.isin(w.stretch, whole.values.to_numpy(zero_copy_only=False)))] = True
-                    if single.is_valid:
-                        flag |= np.isin(w.hashes(np.arange(n - window + 1))[0], single.values.to_numpy(zero_copy_only=False))
+                    for part in partial.as_py() or ():
+                        for first in w.first[w.stretch == part["s"]]:
+                            flag[first + np.array(part["at"])] = True
                     at = np.flatnonzero(flag)
                     edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
                     keep = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:n] == 0)]
@@ -151,11 +206,12 @@ def _cover(window: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD_STRETCHES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if it lies in a window of ``window`` consecutive words whose sequence also starts in
-    a document with a smaller id. Windows are judged on the input. Words are what ASCII white space
+    a document with a smaller id. Windows are judged on the input. ``shard`` is the number of
+    stretches up to which a minimizer is matched by an automaton. Words are what ASCII white space
     separates. A null text has no words; shorter documents than a window keep all. A row with a null
     id neither removes words nor loses any. Rows that repeat an id are one document for the order.
     Other columns are not read.
@@ -165,26 +221,34 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(texts.mapInArrow(_stretches(window), f"doc_id {id_type}, m long, s long").where("doc_id is not null"), "stretches")
     first = rows.groupBy("m", "s").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g"))
     whole = join_dealt(rows, first.where("f < g").select("m", "s", "f"), ["m", "s"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("s").alias("whole"))
-    several = first.groupBy("m").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi").select("m")
-    wanted = join_dealt(first, several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(F.collect_set("s").alias("wanted"))
-    windows = materialize(texts.join(wanted, "doc_id").mapInArrow(_window_rows(window), f"doc_id {id_type}, a long, b long"), "windows")
+    several = first.groupBy("m").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("m", (F.col("n") > shard).alias("crowded"))
+    keys = lambda c: F.collect_set(F.when(c, F.col("s")))
+    wanted = join_dealt(first, several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(keys(~F.col("crowded")).alias("few"), keys(F.col("crowded")).alias("many"))
+    segments = materialize(texts.join(wanted, "doc_id").mapInArrow(_segment_rows(window), f"doc_id {id_type}, m long, s long, crowded boolean, words binary"), "segments")
+    dealt = segments.where("not crowded").select("doc_id", "m", "s", "words").repartition("m").sortWithinPartitions("m", "doc_id")
+    matched = dealt.mapInArrow(_automaton_matches(window), f"doc_id {id_type}, s long, at array<int>")
+    windows = segments.where("crowded").select("doc_id", "s", "words").mapInArrow(_window_rows(window), f"doc_id {id_type}, s long, at long, a long, b long")
     seen = windows.groupBy("a", "b").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g")).where("f < g").select("a", "b", "f")
-    single = join_dealt(windows, seen, ["a", "b"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("a").alias("single"))
-    flagged = whole.join(single, "doc_id", "full")
+    hashed = join_dealt(windows, seen, ["a", "b"]).where("doc_id > f").groupBy("doc_id", "s").agg(F.collect_set(F.col("at").cast("int")).alias("at"))
+    partial = matched.unionByName(hashed).groupBy("doc_id").agg(F.collect_list(F.struct("s", "at")).alias("partial"))
+    flagged = whole.join(partial, "doc_id", "full")
     return texts.join(flagged, "doc_id", "left").mapInArrow(_cover(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
 
 class SuffixAutomaton:
-    """Suffix automaton over words of a set of documents; matches never cross from one to the next."""
+    """Suffix automaton over the words of documents, which may come one by one; matches never cross from one to the next."""
 
     def __init__(self, documents: list[list[bytes]] = ()):
         self.step: list[dict] = [{}]
         self.link = [-1]
         self.length = [0]
         for words in documents:
-            last = 0
-            for word in words:
-                last = self._extend(last, word)
+            self.add(words)
+
+    def add(self, words: list[bytes]) -> None:
+        last = 0
+        for word in words:
+            last = self._extend(last, word)
 
     def _new(self, length: int, step: dict, link: int) -> int:
         self.length.append(length)

@@ -49,11 +49,12 @@ def passages(rng, n):
     return rows
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("shard", [2000, 3, 0])
+def test_substrings(spark, shard):
     rng = random.Random(1)
     rows = passages(rng, 70) + [(5000, None), (5001, ""), (5002, "a " * 300), (5003, "a " * 49), (5004, "b " * 120), (5005, "a " * 51 + "end")]
     rows += [(6000 + k, rows[10][1]) for k in range(3)]
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(docs(spark, rows), shard=shard).collect()}
     want = plain_dedup(rows, 50)
     assert got == want and sum(v[1] for v in want.values()) > 1000
     assert got[5002][1] == 0  # repeats inside one document stay
