@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmith.functions.numeric import flag
-from seriesmith.operators import islands, series, viterbi
+from seriesmith.operators import islands, joins, series, viterbi
 from seriesmith.params import DEFAULTS, Params
 
 
@@ -33,3 +33,21 @@ def log_rows(repaired: DataFrame, p: Params = DEFAULTS, pinned: DataFrame | None
         .withColumn("speed", F.coalesce("final", F.lit(-1)))
     )
     return series.distance(rows, "frame", "speed", p.fps).select("run_id", "frame", "dist", "speed", "flag")
+
+
+def finalize(repaired: DataFrame, edits: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """The log again with the user's values in place and flagged as pinned; edits of no segment are ignored.
+
+    An edit may come more than once for a segment only with one value.
+    """
+    one = edits.groupBy("run_id", "seg").agg(F.max("value").alias("value"))
+    out = joins.overlay(repaired.withColumnRenamed("final", "value"), one).withColumnRenamed("value", "final")
+    pinned = out.where("pinned").select("run_id", "seg")
+    return log_rows(out.drop("pinned"), p, pinned)
+
+
+def change_count(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per run, segments whose value is new and differs from the old one."""
+    both = before.select("run_id", "seg", F.col("final").alias("old")).join(after.select("run_id", "seg", F.col("final").alias("new")), ["run_id", "seg"])
+    changed = F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))
+    return both.groupBy("run_id").agg(F.sum(changed.cast("long")).alias("changed"))

@@ -437,3 +437,26 @@ SELECT run_id, seg, run_l, run_r, run_frames FROM b""",
 def run_bounds_exact(spark, sf_dir):
     df = islands.run_bounds(readings(spark, sf_dir), 0.0, 20).where(F.col("raw").isNotNull())
     return df.select("run_id", "seg", "run_l", "run_r", F.col("run_frames").cast("long").alias("run_frames"))
+
+
+@query("section_totals")
+def section_totals(spark, sf_dir):
+    """Trusted sections per run: how many, how many row pairs, mean acceleration."""
+    df = readings(spark, sf_dir)
+    trusted = sections.trusted_sections(df, sections.sections(df, 8.0), 4)
+    return trusted.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") - F.col("l")).alias("pairs"), F.round(F.avg("accel"), 6).alias("accel"))
+
+
+@query(
+    "finalized_log",
+    f"""WITH {READINGS_SQL}, e AS (SELECT run_id, seg, event_id % 300 AS v FROM r WHERE event_id % 10 = 0),
+f AS (SELECT r.run_id, r.seg, coalesce(v, raw) AS final, v IS NOT NULL AS pin, raw FROM r LEFT JOIN e USING (run_id, seg)),
+s AS (SELECT *, coalesce(final, -1) AS speed FROM f),
+d AS (SELECT *, CASE WHEN speed >= 0 THEN coalesce(lag(speed) OVER w / 3.6 / 30.0, 0) ELSE 0 END AS step FROM s WINDOW w AS (PARTITION BY run_id ORDER BY seg))
+SELECT run_id, seg AS frame, round(sum(step) OVER (PARTITION BY run_id ORDER BY seg ROWS UNBOUNDED PRECEDING), 2) AS dist, CAST(speed AS BIGINT) AS speed,
+CASE WHEN pin THEN 22 WHEN raw IS NULL THEN 12 ELSE 21 END AS flag FROM d""",
+)
+def finalized_log(spark, sf_dir):
+    df = readings(spark, sf_dir).withColumn("len", F.lit(1)).withColumn("final", F.col("raw")).withColumn("conf", F.lit(100.0))
+    edits = df.where("event_id % 10 = 0").select("run_id", "seg", (F.col("event_id") % 300).cast("double").alias("value"))
+    return chain.finalize(df, edits).withColumn("speed", F.col("speed").cast("long"))

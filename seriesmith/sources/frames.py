@@ -13,6 +13,12 @@ class _Range(InputPartition):
         self.start, self.end = start, end
 
 
+def split_frames(frames: list[int], calibration: int, share: float) -> tuple[list[int], list[int]]:
+    """Frames after the calibration, cut in order at ``share`` of all: the first reader's part and the second's."""
+    cut = max(calibration, int(len(frames) * share))
+    return frames[calibration:cut], frames[cut:]
+
+
 class FramesReader(DataSourceReader):
     """Options: runs, frames (per run), start, end (half open; 0 is the end), batch (frames a task)."""
 

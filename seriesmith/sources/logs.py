@@ -94,3 +94,22 @@ def write_logs(log: DataFrame, settings: DataFrame, path: str) -> None:
     )
     rows = head.unionByName(body).repartition("run_id").sortWithinPartitions("run_id", "part", "ord")
     rows.select("run_id", "value").write.partitionBy("run_id").text(path)
+
+
+def write_baseline(result: DataFrame, path: str, tolerance: float, version: str) -> None:
+    """A graded result as JSON, one row per run and one for all, with the tolerance and version it holds for."""
+    result.withColumn("tol", F.lit(float(tolerance))).withColumn("version", F.lit(version)).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str, tolerance: float) -> DataFrame:
+    """The rows of a baseline; raises ValueError if it holds for another tolerance."""
+    schema = "run_id long, seg long, raw long, fix long, fix_wrong long, missed long, harm long, final long, tol double, version string"
+    df = spark.read.schema(schema).json(path)
+    if df.where(F.col("tol") != tolerance).limit(1).count():
+        raise ValueError(f"the baseline was made for another tolerance than {tolerance}")
+    return df.drop("tol", "version")
+
+
+def orphans(files: DataFrame, manifest: DataFrame, name: str = "file") -> DataFrame:
+    """Files that the manifest does not name."""
+    return files.join(manifest.select(name).distinct(), name, "left_anti")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmith.functions import text
+from seriesmith.functions import recognise, text
 from seriesmith.operators import joins, pixels
 from seriesmith.sources import frames, logs
 from seriesmith.streaming import segmenter
@@ -164,3 +164,33 @@ def test_stream_of_frames_in_two_batches(spark, tmp_path):
         for seg, (a, b) in enumerate(zip(cuts, cuts[1:])):
             want.append((run, seg, a, b - 1, b - a, max(mine[a:b], key=lambda r: r[3])[1], mine[a][2]))
     assert got == want
+
+
+def test_split_frames():
+    frames_ = list(range(100))
+    assert frames.split_frames(frames_, 10, 0.55) == (frames_[10:55], frames_[55:])
+    assert frames.split_frames(frames_[:30], 50, 0.55) == ([], [])
+    assert frames.split_frames(frames_, 40, 0.1) == ([], frames_[40:])
+
+
+def test_baseline_round_trip(spark, tmp_path):
+    rows = [(1, 5, 1, 1, 0, 0, 0, 0), (None, 5, 1, 1, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "run_id long, seg long, raw long, fix long, fix_wrong long, missed long, harm long, final long")
+    logs.write_baseline(df, str(tmp_path / "b"), 1.0, "v1")
+    assert sorted(logs.read_baseline(spark, str(tmp_path / "b"), 1.0).collect(), key=str) == sorted(df.collect(), key=str)
+    with pytest.raises(ValueError):
+        logs.read_baseline(spark, str(tmp_path / "b"), 2.0)
+
+
+def test_orphans(spark):
+    files, manifest = (spark.createDataFrame([(x,) for x in f], "file string") for f in (["a", "b", "c"], ["b", "b", "z"]))
+    assert sorted(r["file"] for r in logs.orphans(files, manifest).collect()) == ["a", "c"]
+
+
+def test_recogniser(spark):
+    def load():
+        return lambda pictures: [(str(sum(p)), len(p) / 10) for p in pictures]
+
+    df = spark.createDataFrame([(1, [1, 2]), (2, None), (3, [5])], "k int, px array<int>")
+    got = {r["k"]: tuple(r["r"]) for r in df.select("k", recognise.recogniser(load, 2)("px").alias("r")).collect()}
+    assert got == {1: ("3", 0.2), 2: (None, None), 3: ("5", 0.1)}
