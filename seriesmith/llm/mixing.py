@@ -19,6 +19,8 @@ from seriesmith.llm.common import count_words, join_dealt, materialize, read_tab
 STEPS = 50
 #: Rows of a source that share one bucket of the permutation order, about.
 BUCKET_ROWS = 1000
+#: Sources whose plan is broadcast, at some 50 bytes each.
+BROADCAST_SOURCES = 10_000
 
 
 def _exponent(shares: Column, target_entropy: float, repetition_limit: float, budget: Column) -> Column:
@@ -88,15 +90,18 @@ def mix_sources(
     power = row.first()
     budget, a = math.floor(power["all_tokens"] * budget_share), power["a"]
     weight = F.when(F.col("have") > 0, F.pow(F.col("have") / F.lit(max(power["all_tokens"], 1)), F.lit(a))).otherwise(0.0)
-    norm = per.agg(F.sum(weight).alias("s")).first()["s"] or 1.0
-    quota = F.floor(F.lit(budget) * weight / F.lit(norm)).cast("long")
+    known = per.agg(F.sum(weight).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    norm = known["s"] or 1.0
+    # a share that is whole but for rounding is whole
+    quota = F.floor(F.lit(budget) * weight / F.lit(norm) + 1e-6).cast("long")
     plan = (
         per.withColumn("quota", quota)
         .withColumn("full", F.when(F.col("have") > 0, F.floor(F.col("quota") / F.col("have"))).otherwise(0).cast("int"))
         .withColumn("rest", F.col("quota") - F.col("full") * F.col("have"))
         .select("source", "full", "rest", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long").alias("buckets"))
     )
-    rows = join_dealt(tokens, plan, ["source"])
+    # the number of sources has been counted: few of them go to every task, many are joined by shuffle
+    rows = tokens.join(F.broadcast(plan), "source") if known["n"] <= BROADCAST_SOURCES else join_dealt(tokens, plan, ["source"])
 
     def key(epoch):
         return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
@@ -161,7 +166,7 @@ al AS (
     CASE WHEN 1 / list_min(p) / len(p) <= 2.0 THEN 0.0 ELSE (SELECT hi FROM rep WHERE i = 50) END), 9) AS a, total
   FROM p),
 w AS (SELECT source, have, total, CASE WHEN have > 0 THEN pow(have / total::DOUBLE, a) ELSE 0 END AS w FROM per, al),
-q AS (SELECT source, have, CAST(floor(total * w / sum(w) OVER ()) AS BIGINT) AS quota FROM w),
+q AS (SELECT source, have, CAST(floor(total * w / sum(w) OVER () + 1e-6) AS BIGINT) AS quota FROM w),
 f AS (SELECT source, have, quota, CASE WHEN have > 0 THEN quota // have ELSE 0 END AS n_full FROM q),
 r AS (SELECT t.*, n_full, quota - n_full * have AS rest FROM t JOIN f USING (source)),
 whole AS (
