@@ -126,10 +126,14 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mixture reads them, once per block, with the columns of ``docs``."""
-    picks = mix_sources(docs, **options).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__times"))
-    times = F.array_repeat(F.lit(0), F.col("__times").cast("int"))
-    return join_dealt(docs, picks, ["doc_id"]).withColumn("__block", F.explode(times)).select(docs.columns)
+    """The documents as the mixture reads them, once per block, with the columns of ``docs``.
+
+    Rows that share an id, a null one too, are read in the same blocks: in each that reads one of them.
+    """
+    picks = mix_sources(docs, **options).groupBy("doc_id").agg(F.count_distinct("epoch").cast("int").alias("__times")).withColumnRenamed("doc_id", "__id")
+    id_col = options.get("id_col", "doc_id")
+    joined = docs.join(picks, docs[id_col].cast(picks.schema["__id"].dataType).eqNullSafe(picks["__id"]))
+    return joined.withColumn("__block", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(docs.columns)
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

@@ -184,7 +184,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns."""
+    """The rows of ``docs`` whose id is the smallest of their component, with all their columns.
+
+    Ids are keys: rows that share one stay or go together. Rows with a null id cannot be named and stay.
+    """
     found = simhash_components(docs, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -186,3 +186,12 @@ def test_near_duplicates(spark):
     assert {i: c for i, (_, c) in got.items()} == {30: 12, 12: 12, 40: 12, 7: 7, 8: 8, 9: 8}
     left = simhash.drop_near_duplicates(docs(spark, rows))
     assert sorted(r["doc_id"] for r in left.collect()) == [7, 8, 12] and left.columns == docs(spark, rows).columns
+
+
+def test_null_and_repeated_ids_pass_the_stages(spark):
+    rows = [(None, "w " * 5, "a"), (1, "w " * 5, "a"), (1, "w " * 5, "a"), (2, "v", "a"), (None, "u", None)]
+    for stage in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        left = [r["doc_id"] for r in stage(docs(spark, rows)).collect()]
+        assert left.count(None) == 2 and left.count(1) == 2
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(docs(spark, rows), target_entropy=0.0).collect()]
+    assert sorted(mixed, key=str) == [1, 1, 2, None, None]
