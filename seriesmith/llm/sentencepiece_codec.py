@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.llm.common import read_table
-from seriesmith.llm.unit_cache import UnitCache, chunks, per_worker
+from seriesmith.llm.unit_cache import UnitCache, chunks, id_bytes, per_worker
 
 MARK = "▁"
 #: Piece kinds of the model format.
@@ -152,7 +152,7 @@ class Codec:
             if a != b and unit != MARK:  # a lone marker is an empty text to the library
                 self.unequal.add(unit)
                 a = b
-            out.append(np.array(a, dtype="<u4").tobytes())
+            out.append(id_bytes(a))
         return out
 
     def _normal(self, text: str) -> str:

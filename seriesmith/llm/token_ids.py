@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmith.llm.common import materialize, read_table, shared_folder
-from seriesmith.llm.unit_cache import UnitCache, chunks, per_worker
+from seriesmith.llm.unit_cache import UnitCache, chunks, id_bytes, per_worker
 
 BLOCK_IDS = 4096
 MAGIC = b"SMTIDS01"
@@ -138,9 +138,10 @@ class WordTokenizer:
 
     @staticmethod
     def _encode(tokenizer, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return [id_bytes(e.ids) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _new_words(self, words: list[str]) -> list[bytes]:
+    def _new_words(self, units: list[bytes]) -> list[bytes]:
+        words = [u.decode() for u in units]
         plain = [_PLAIN.fullmatch(w) for w in words]
         parts = self.parts.fill([m[1] for m in plain if m])
         odd = [w for w, m in zip(words, plain) if not m] + list({m[2] for m in plain if m and m[2]})
@@ -149,7 +150,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().lower().decode().split() for t in texts]  # A-Z only
+        split = [t.encode().lower().split() for t in texts]  # of bytes: A-Z only, and ASCII white space only
         known = self.words.fill(w for words in split for w in words)
         return [b"".join([known[w] for w in words]) for words in split]
 

@@ -58,7 +58,7 @@ def test_word_ids_are_those_of_whole_texts(vocab):
 
     path = vocab("word_bpe_49k.json")
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice("abT's \n.,é1!漢ΣßÀ<|>") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    texts = ODD + ["".join(rng.choice("abT's \n.,é1!漢ΣßÀ<|>\x0b\x0c\x1c\x1f\x85\u2028\u00a0\u0301") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
     whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     coder = token_ids.WordTokenizer(path)
     for _ in range(2):  # the second time from memory
