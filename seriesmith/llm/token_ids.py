@@ -42,12 +42,16 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids to bytes, ``bits`` each, lowest bit first."""
+    if bits in (8, 16, 32):  # whole bytes are laid out like little-endian integers
+        return ids.astype(f"<u{bits // 8}").tobytes()
     each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(each[:, :bits].ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     """The first ``n`` ids of what ``pack`` made."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     each = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * bits].reshape(n, bits)
     full = np.zeros((n, 32), np.uint8)
     full[:, :bits] = each
@@ -133,13 +137,23 @@ class WordTokenizer:
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.parts = UnitCache(lambda units: self._encode(self.letters, units))
+        #: For ASCII letters, which stand for themselves as bytes.
+        self.ascii = Tokenizer.from_file(path)
+        self.ascii.normalizer = normalizers.Sequence([])
+        self.ascii.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.parts = UnitCache(self._new_parts)
         self.words = UnitCache(self._new_words)
 
     @staticmethod
     def _encode(tokenizer, units: list[str]) -> list[bytes]:
         return [id_bytes(e.ids) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _new_parts(self, units: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        for tokenizer, some in ((self.ascii, [u for u in units if u.isascii()]), (self.letters, [u for u in units if not u.isascii()])):
+            out.update(zip(some, self._encode(tokenizer, some)))
+        return [out[u] for u in units]
+
     def _new_words(self, units: list[bytes]) -> list[bytes]:
         words = [u.decode() for u in units]
         plain = [_PLAIN.fullmatch(w) for w in words]
