@@ -11,6 +11,7 @@ name of its own, and only files of finished tasks are in the manifest.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import unicodedata
@@ -31,6 +32,8 @@ from seriesmith.llm.unit_cache import UnitCache, chunks, id_bytes, per_worker
 BLOCK_IDS = 4096
 MAGIC = b"SMTIDS01"
 TRAILER = "<IQQQQ8s"
+#: Threads of the tokenizers library in one worker.
+THREADS = 2
 #: Blocks read at a time.
 READ_BLOCKS = 256
 
@@ -131,6 +134,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # else each worker takes every core of its machine
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
