@@ -7,12 +7,12 @@ import re
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?=[a-zA-Z/!])[^>]*\Z",
     re.S | re.I,
 )
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -28,6 +28,15 @@ ENDS_PARAGRAPH = frozenset(
 #: A start of the key ends an open element of the value, up to the nearest of its holders.
 ENDS_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HOLDERS = frozenset("ul ol dl select table tbody thead body div section article".split())
+#: Elements without text of the page. What RAW holds is not markup; a self-closing slash counts in svg only.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "iframe")}
+SKIPPED = frozenset(("svg", "template"))
+#: Parts of an svg that hold HTML, starts that end an svg left open, and tags that svg has as well.
+SVG_HTML = frozenset("foreignobject desc title".split())
+ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+IN_SVG_TOO = frozenset("a title style script font".split())
 
 
 class Block:
@@ -40,7 +49,8 @@ class Block:
 def leaf_blocks(page: str) -> list[Block]:
     """Runs of text between block tags, in page order, character references decoded and white space joined.
 
-    Unclosed, crossed and cut-off tags are allowed. Comments, scripts and styles have no text.
+    Unclosed, crossed and cut-off tags are allowed. Comments, scripts and styles have no text; what is
+    skipped ends where HTML ends it, so a self-closed, nested or open svg takes nothing else with it.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []  # tag, words of its class, id and role
@@ -64,18 +74,38 @@ def leaf_blocks(page: str) -> list[Block]:
         del stack[upto:]
 
     at = 0
-    for found in _TAG.finditer(page):
-        if found.start() > at:
+    skipped: list[str] = []  # open svg, parts of it that hold HTML, template
+    while found := _TAG.search(page, at):
+        if found.start() > at and not skipped:
             piece = page[at : found.start()]
             parts.append(piece)
             if links > 0:
                 link_chars += len(piece)
         at = found.end()
-        tag = found[3]
+        tag = found[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if found[2]:
+        end = bool(found[1])
+        in_svg = skipped[-1:] == ["svg"]
+        if in_svg and (tag in ("p", "br") or (tag not in IN_SVG_TOO and any(t == tag for t, _ in stack)) if end else tag in ENDS_SVG):
+            skipped, in_svg = [], False
+        if tag in RAW and not end and not in_svg:
+            close = RAW[tag].search(page, at)
+            at = close.end() if close else len(page)
+            continue
+        if tag in SKIPPED or skipped:
+            if end:
+                if tag in skipped:
+                    del skipped[len(skipped) - 1 - skipped[::-1].index(tag) :]
+            elif tag == "template" if skipped[:1] == ["template"] or not (skipped or tag == "svg") else tag == "svg" or tag in SVG_HTML:
+                # a slash closes elements of svg only, and none that ends an unquoted value
+                if tag == "template" or not found[3].endswith("/") or _UNQUOTED.search(found[3]):
+                    skipped.append(tag)
+            continue
+        if tag in RAW:
+            continue
+        if end:
             if tag not in INLINE:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
@@ -104,12 +134,13 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[k][0] in HOLDERS:
                     break
         links += tag == "a"
-        attributes = found[4]
+        attributes = found[3]
         names = ()
         if "=" in attributes:
             names = tuple(w for m in _ATTRIBUTE.findall(attributes) for w in _NAME.findall((m[1] or m[2] or m[3]).lower()))
         stack.append((tag, names))
-    parts.append(page[at:])
+    if not skipped:
+        parts.append(page[at:])
     flush()
     return out
 
