@@ -7,11 +7,11 @@ least one frame, so a frame of as many rows on each side holds all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmith.functions.numeric import array_median
-from seriesmith.operators.series import run_order
+from seriesmith.operators.series import islands_of, run_order
 from seriesmith.params import DEFAULTS, Params
 
 
@@ -56,6 +56,22 @@ def run_bounds(df: DataFrame, tolerance: float, reach: int) -> DataFrame:
     )
 
 
+def exact_bounds(df: DataFrame) -> DataFrame:
+    """Adds run_l and run_r (seg) and run_frames: the whole run of equal readings about each one, however long.
+
+    A missing reading is a run of its own without frames.
+    """
+    w = Window.partitionBy("run_id", "_island")
+    of_run = lambda whole, alone: F.when(F.col("raw").isNotNull(), whole.over(w)).otherwise(alone)
+    return (
+        islands_of(df, F.col("raw"), name="_island")
+        .withColumn("run_l", of_run(F.min("seg"), F.col("seg")))
+        .withColumn("run_r", of_run(F.max("seg"), F.col("seg")))
+        .withColumn("run_frames", of_run(F.sum("len"), F.lit(0)))
+        .drop("_island")
+    )
+
+
 def cap_islands(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Lowers conf of every reading in a short run far from the median of the rows around it. Needs bw, conf, branch."""
     reach = max(p.island_frames, p.island_frames_exact)

@@ -42,15 +42,21 @@ def nearest_onto(left: DataFrame, right: DataFrame, by: list[str], on: str, valu
     return out.withColumn(name, F.when(F.coalesce(before, F.lit(False)), F.col("_p.v")).otherwise(F.col("_n.v"))).drop("_p", "_n")
 
 
-def median_of_pairs(df: DataFrame, half: int, rows: int = 5) -> DataFrame:
+def median_of_pairs(df: DataFrame, half: int, rows: int | None = None) -> DataFrame:
     """Adds expected: median over all pairs of a reading before and one after, of the line between them at mid.
 
-    Readings at most ``rows`` rows and ``half`` time units away; both sides are bounded arrays.
+    All readings at most ``half`` time units away, of these only those at most ``rows`` rows away if given.
     """
-    run = Window.partitionBy("run_id").orderBy("seg")
-    point = F.when(F.col("raw").isNotNull(), F.struct(F.col("mid").alias("t"), F.col("raw").cast("double").alias("v")))
-    near = lambda a: F.filter(a, lambda x: F.abs(x["t"] - F.col("mid")) <= half)
-    out = df.withColumn("_l", near(F.collect_list(point).over(run.rowsBetween(-rows, -1)))).withColumn("_r", near(F.collect_list(point).over(run.rowsBetween(1, rows))))
+    run = Window.partitionBy("run_id")
+    point = F.when(F.col("raw").isNotNull(), F.struct(F.col("mid").alias("t"), F.col("raw").cast("double").alias("v"), F.col("seg").alias("s")))
+    if rows is None:
+        around = run.orderBy("mid")
+        out = df.withColumn("_l", F.collect_list(point).over(around.rangeBetween(-half, 0))).withColumn("_r", F.collect_list(point).over(around.rangeBetween(0, half)))
+        out = out.withColumn("_l", F.filter("_l", lambda x: x["s"] < F.col("seg"))).withColumn("_r", F.filter("_r", lambda x: x["s"] > F.col("seg")))
+    else:
+        around = run.orderBy("seg")
+        near = lambda a: F.filter(a, lambda x: F.abs(x["t"] - F.col("mid")) <= half)
+        out = df.withColumn("_l", near(F.collect_list(point).over(around.rowsBetween(-rows, -1)))).withColumn("_r", near(F.collect_list(point).over(around.rowsBetween(1, rows))))
     pairs = F.flatten(F.transform("_l", lambda a: F.transform("_r", lambda b: lerp(F.col("mid"), a["t"], a["v"], b["t"], b["v"]))))
     return out.withColumn("expected", array_median(pairs)).drop("_l", "_r")
 

@@ -378,6 +378,19 @@ def rebuilt_curve(spark, sf_dir):
 SELECT r.run_id, r.seg, round(median(v) + 1e-7, 4) AS expected FROM r LEFT JOIN p USING (run_id, seg) GROUP BY r.run_id, r.seg""",
 )
 def median_of_pairs(spark, sf_dir):
+    return joins.median_of_pairs(readings(spark, sf_dir), 60, 5).select("run_id", "seg", F.round(F.col("expected") + 1e-7, 4).alias("expected"))
+
+
+@query(
+    "median_of_all_pairs",
+    f"""WITH {READINGS_SQL}, p AS (
+  SELECT m.run_id, m.seg, a.raw + (b.raw - a.raw) * CASE WHEN b.mid - a.mid > 1e-3 THEN (m.mid - a.mid)::DOUBLE / (b.mid - a.mid) ELSE 0.5 END AS v
+  FROM r m JOIN r a ON a.run_id = m.run_id AND a.seg < m.seg AND a.raw IS NOT NULL AND m.mid - a.mid <= 60
+           JOIN r b ON b.run_id = m.run_id AND b.seg > m.seg AND b.raw IS NOT NULL AND b.mid - m.mid <= 60)
+SELECT r.run_id, r.seg, round(median(v) + 1e-7, 4) AS expected FROM r LEFT JOIN p USING (run_id, seg) GROUP BY r.run_id, r.seg""",
+)
+def median_of_all_pairs(spark, sf_dir):
+    """All pairs of the window; median_of_pairs sees five rows a side."""
     return joins.median_of_pairs(readings(spark, sf_dir), 60).select("run_id", "seg", F.round(F.col("expected") + 1e-7, 4).alias("expected"))
 
 
@@ -435,7 +448,7 @@ b AS (SELECT *, min(seg) OVER w AS run_l, max(seg) OVER w AS run_r, CAST(sum(len
 SELECT run_id, seg, run_l, run_r, run_frames FROM b""",
 )
 def run_bounds_exact(spark, sf_dir):
-    df = islands.run_bounds(readings(spark, sf_dir), 0.0, 20).where(F.col("raw").isNotNull())
+    df = islands.exact_bounds(readings(spark, sf_dir)).where(F.col("raw").isNotNull())
     return df.select("run_id", "seg", "run_l", "run_r", F.col("run_frames").cast("long").alias("run_frames"))
 
 
