@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,13 @@ def otsu(df: DataFrame, key: list[str], px: str = "px", fallback: int = DEFAULTS
     return counts.groupBy(*key).agg(F.collect_list(F.struct("bin", "n")).alias("h")).select(*key, _otsu_of(F.sort_array("h"), fallback).alias("threshold"))
 
 
+def calibration(df: DataFrame, group: str, order: str, frames: int = 50) -> DataFrame:
+    """Threshold per group: the whole part of the median of each picture's own threshold, over the first ``frames`` pictures."""
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    first = df.select(group, order, "px", rn.alias("_rn")).where(F.col("_rn") <= frames)
+    return otsu(first, [group, order]).groupBy(group).agg(F.percentile("threshold", F.lit(0.5)).cast("int").alias("threshold"))
+
+
 def _otsu_of(h: Column, fallback: int) -> Column:
     total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     mass = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["bin"] * x["n"])

@@ -49,6 +49,20 @@ def calibration_threshold(spark, sf_dir):
     return df.groupBy("label").agg(F.percentile("m", F.lit(0.5)).cast("int").alias("threshold"))
 
 
+@query(
+    "calibration_otsu",
+    f"""WITH {PX_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v), u AS (SELECT label, vec_id, unnest(px) AS bin FROM f WHERE rn <= 50),
+h AS (SELECT label, vec_id, bin, count(*) AS n FROM u GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(n * bin) OVER w AS cm, sum(n) OVER t AS tn, sum(n * bin) OVER t AS tm FROM h WINDOW w AS (PARTITION BY label, vec_id ORDER BY bin), t AS (PARTITION BY label, vec_id)),
+b AS (SELECT label, vec_id, bin, CASE WHEN cn > 0 AND tn > cn THEN cn::DOUBLE * (tn - cn) * pow(cm::DOUBLE / cn - (tm - cm)::DOUBLE / (tn - cn), 2) END AS var FROM c),
+o AS (SELECT label, vec_id, coalesce(arg_max(bin, {{'v': round(var, 4), 'b': -bin}}) FILTER (var IS NOT NULL), 127) AS threshold FROM b GROUP BY label, vec_id)
+SELECT label, CAST(trunc(median(threshold)) AS INTEGER) AS threshold FROM o GROUP BY label""",
+)
+def calibration_otsu(spark, sf_dir):
+    """Each picture's Otsu threshold; calibration_threshold takes mean grays."""
+    return pixels.calibration(_pictures(spark, sf_dir), "label", "vec_id")
+
+
 @query(
     "change_masks",
     f"""WITH {PX_SQL}, p AS (SELECT *, lag(px) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM v)
