@@ -42,7 +42,7 @@ def log_round_trip(spark, sf_dir):
 
 @query("log_headers", "SELECT DISTINCT user_id AS run_id, 'run' || user_id AS video, 30.0 AS fps, '1 2 3 4' AS roi, 'km/h' AS format FROM events")
 def log_headers(spark, sf_dir):
-    df = readings(spark, sf_dir).where("seg < 3").select("run_id", F.col("seg").alias("frame"), F.lit(0.0).alias("dist"), F.lit(1).alias("speed"), F.lit(0).alias("flag"))
+    df = readings(spark, sf_dir).select("run_id", F.col("seg").alias("frame"), F.lit(0.0).alias("dist"), F.lit(1).alias("speed"), F.lit(0).alias("flag"))
     head = df.select("run_id").distinct().select("run_id", F.array(F.lit("log v1"), F.concat(F.lit("video=run"), "run_id", F.lit(", fps=30.000")), F.lit("roi=1,2,3,4, format=km/h")).alias("header"))
     path = scratch(spark, "logs")
     logs.write_logs(df, head, path)

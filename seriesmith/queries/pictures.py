@@ -100,6 +100,20 @@ def gray_and_gamma(spark, sf_dir):
     return _pictures(spark, sf_dir).select("vec_id", _text(g).alias("gamma"), _text(pixels.expand_range(part(1))).alias("full_range"), _text(pixels.gray(part(1), part(17), part(33))).alias("gray"))
 
 
+@query(
+    "whole_gray_and_gamma",
+    f"""WITH {PX_SQL}, g AS (SELECT *, list_transform(px, lambda x: CAST(floor(255 * pow(x / 255.0, 2.0)) AS INTEGER)) AS gm FROM v)
+SELECT vec_id, array_to_string(gm, ' ') AS gamma,
+array_to_string(list_transform(px, lambda y: CAST(least(greatest(floor((y - 16) * 255 / 219.0 + 0.5), 0), 255) AS INTEGER)), ' ') AS full_range,
+array_to_string(list_transform(range(1, len(px) + 1), lambda i: CAST(floor(px[i] * 0.299::DOUBLE + px[len(px) + 1 - i] * 0.587::DOUBLE + gm[i] * 0.114::DOUBLE) AS INTEGER)), ' ') AS gray FROM g""",
+)
+def whole_gray_and_gamma(spark, sf_dir):
+    """Every pixel of a picture; its colour planes are the picture, the same from its end, and its gamma."""
+    px, gm = F.col("px"), pixels.gamma(F.col("px"), 2.0)
+    gray = pixels.gray(px, F.reverse(px), gm)
+    return _pictures(spark, sf_dir).select("vec_id", _text(gm).alias("gamma"), _text(pixels.expand_range(px)).alias("full_range"), _text(gray).alias("gray"))
+
+
 @query(
     "contrast_stretch",
     f"""WITH {PX_SQL},
