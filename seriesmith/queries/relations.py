@@ -73,10 +73,16 @@ o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, o_totalprice AS x FROM order
 q AS (SELECT o_custkey % 50 AS k, round(o_totalprice, -3) AS x, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"""
 
 
-def _curves(spark, sf_dir):
+#: The right curve of every order.
+_WHOLE_CURVES = """
+o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, o_totalprice AS x FROM orders),
+q AS (SELECT o_custkey % 50 AS k, round(o_totalprice, -3) AS x, max(o_orderkey) AS v FROM orders GROUP BY 1, 2)"""
+
+
+def _curves(spark, sf_dir, kept="o_orderkey % 7 = 0"):
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 50)
     left = o.select("k", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
-    right = o.where("o_orderkey % 7 = 0").groupBy("k", F.round("o_totalprice", -3).alias("x")).agg(F.max("o_orderkey").alias("v"))
+    right = o.where(kept).groupBy("k", F.round("o_totalprice", -3).alias("x")).agg(F.max("o_orderkey").alias("v"))
     return left, right
 
 
@@ -102,6 +108,28 @@ def nearest_join(spark, sf_dir):
     return joins.nearest_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.col("out").alias("v"))
 
 
+@query(
+    "whole_interpolation_join",
+    f"""WITH {_WHOLE_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
+n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
+SELECT k, id, round(CASE WHEN px = x THEN pv WHEN px IS NULL THEN nv WHEN nx IS NULL THEN pv ELSE pv + (nv - pv) * CASE WHEN nx - px > 1e-3 THEN (x - px) / (nx - px) ELSE 0.5 END END + 1e-7, 4) AS v FROM n""",
+)
+def whole_interpolation_join(spark, sf_dir):
+    left, right = _curves(spark, sf_dir, "true")
+    return joins.interpolate_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.round(F.col("out") + 1e-7, 4).alias("v"))
+
+
+@query(
+    "whole_nearest_join",
+    f"""WITH {_WHOLE_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
+n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
+SELECT k, id, CAST(CASE WHEN px = x OR nx IS NULL OR abs(px - x) < abs(nx - x) THEN pv ELSE nv END AS DOUBLE) AS v FROM n""",
+)
+def whole_nearest_join(spark, sf_dir):
+    left, right = _curves(spark, sf_dir, "true")
+    return joins.nearest_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.col("out").alias("v"))
+
+
 @query(
     "frame_in_segment",
     f"""WITH {READINGS_SQL}, s AS (SELECT run_id, seg, seg * 10 AS "start", seg * 10 + len + 4 AS "end" FROM r), f AS (SELECT run_id, CAST(event_id % 700 AS INTEGER) AS frame, event_id FROM r)
