@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, resized by area, tiled and hashed.
 
-Images stay in binary columns and every step is one Arrow batch function, so nothing is shuffled.
+Images stay in binary columns and every step is one Arrow batch function, so nothing is shuffled; media
+and their tiles are stored as Parquet before they are read back.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesmith.llm.common import read_table
+from seriesmith.llm.common import materialize, read_table
 
 #: Bytes that a stored payload is a multiple of, and the byte that fills it up.
 UNIT = 576
@@ -189,13 +190,29 @@ def image_features(images: DataFrame, media_col: str = "media") -> DataFrame:
     return images.select(names).mapInArrow(run, schema)
 
 
+def with_tiles(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media and tiles: the NPY tiles of each image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiles = [npy_tiles(gray(decode_image(data.as_buffer().to_pybytes()))) for data in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tiles, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media", "tiles"])
+
+    rows = media.select("doc_id", "n_bytes", "media")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("tiles", T.ArrayType(T.BinaryType()))]))
+
+
 def image_digests(media: DataFrame) -> DataFrame:
-    """What each stored image holds, as digests: read back a few rows at a time, nothing large is kept."""
+    """What each stored image holds, as digests: read back a few rows at a time, nothing large is kept.
+
+    Tiles are those of the table if it has them.
+    """
+    stored = "tiles" in media.columns
 
-    def one(data: bytes) -> tuple:
+    def one(data: bytes, kept: list[bytes] | None) -> tuple:
         image = decode_image(data)
         samples, flat = image.tobytes(), gray(image)
-        tiles = b"".join(npy_tiles(flat))
+        tiles = b"".join(kept if stored else npy_tiles(flat))
         return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(flat)}:{zlib.crc32(tiles):08x}"
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -203,14 +220,15 @@ def image_digests(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(data.as_buffer().to_pybytes()) for data in batch.column(2)]
+            tiles = batch.column(3) if stored else [None] * batch.num_rows
+            found = [one(data.as_buffer().to_pybytes(), kept.as_py() if stored else None) for data, kept in zip(batch.column(2), tiles)]
             columns = zip(*found) if found else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_bytes", *names])
 
     id_type = media.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media", *(["tiles"] if stored else [])).mapInArrow(run, schema)
 
 
 def op8_media(spark, sf_dir) -> DataFrame:
-    return image_digests(store_texts(read_table(spark, sf_dir, "documents")))
+    return image_digests(materialize(with_tiles(store_texts(read_table(spark, sf_dir, "documents"))), "media"))
