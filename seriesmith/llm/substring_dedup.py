@@ -13,7 +13,7 @@ only words that can match meet.
    minimizer has several different stretches (the edges of repeated passages), the words of each are
    sent, from its first document, to the minimizer's shard. There they go through the shard's
    automaton in the order of documents, each matched against all earlier ones and then added.
-3. A minimizer with more stretches than one task should hold is matched by hashes of its windows
+3. A minimizer with more stretches, or more words in them, than one task should hold is matched by hashes of its windows
    instead, which spread over tasks and are aggregated on the map side.
 4. A last pass over the texts removes the words and counts.
 
@@ -35,8 +35,9 @@ from seriesmith.llm.common import join_dealt, materialize, read_table
 WINDOW = 50
 #: Words of the runs among whose hashes a window's minimizer is chosen.
 RUN = 10
-#: Stretches of one minimizer that a task matches by an automaton, of some 70 words each.
+#: Stretches of one minimizer that a task matches by an automaton, and words of a usual one; longer ones count by their words.
 SHARD_STRETCHES = 2000
+STRETCH_WORDS = 70
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -89,18 +90,20 @@ class Windows:
 def _stretches(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, m, s = [], [], []
+            rows, m, s, size = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or b"").split()
                 if len(words) >= window:
                     w = Windows(words, window)
-                    pairs = np.unique(np.stack([w.minimizer, w.stretch], axis=1), axis=0)
+                    pairs, at = np.unique(np.stack([w.minimizer, w.stretch], axis=1), axis=0, return_index=True)
                     rows.append(np.full(len(pairs), i))
                     m.append(pairs[:, 0])
                     s.append(pairs[:, 1])
+                    size.append((w.last - w.first)[at] + window - 1)
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(m)), pa.array(np.concatenate(s))], ["doc_id", "m", "s"]
+                    [batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(x)) for x in (m, s)), pa.array(np.concatenate(size), pa.int32())],
+                    ["doc_id", "m", "s", "size"],
                 )
 
     return run
@@ -210,7 +213,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, n_words, n_removed, kept_text (kept words joined by one space).
 
     A word goes if it lies in a window of ``window`` consecutive words whose sequence also starts in
-    a document with a smaller id. Windows are judged on the input. ``shard`` is the number of
+    a document with a smaller id. Windows are judged on the input. ``shard`` is the number of usual
     stretches up to which a minimizer is matched by an automaton. Words are what ASCII white space
     separates. A null text has no words; shorter documents than a window keep all. A row with a null
     id neither removes words nor loses any. Rows that repeat an id are one document for the order.
@@ -218,12 +221,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(_stretches(window), f"doc_id {id_type}, m long, s long").where("doc_id is not null"), "stretches")
-    first = rows.groupBy("m", "s").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g"))
-    whole = join_dealt(rows, first.where("f < g").select("m", "s", "f"), ["m", "s"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("s").alias("whole"))
-    several = first.groupBy("m").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("m", (F.col("n") > shard).alias("crowded"))
+    rows = materialize(texts.mapInArrow(_stretches(window), f"doc_id {id_type}, m long, s long, size int").where("doc_id is not null"), "stretches")
+    first = rows.groupBy("m", "s").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g"), F.max("size").alias("size"))
+    whole = join_dealt(rows.drop("size"), first.where("f < g").select("m", "s", "f"), ["m", "s"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("s").alias("whole"))
+    several = first.groupBy("m").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where("lo < hi")
+    several = several.select("m", ((F.col("n") > shard) | (F.col("held") > shard * STRETCH_WORDS)).alias("crowded"))
     keys = lambda c: F.collect_set(F.when(c, F.col("s")))
-    wanted = join_dealt(first, several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(keys(~F.col("crowded")).alias("few"), keys(F.col("crowded")).alias("many"))
+    wanted = join_dealt(first.drop("size"), several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(keys(~F.col("crowded")).alias("few"), keys(F.col("crowded")).alias("many"))
     segments = materialize(texts.join(wanted, "doc_id").mapInArrow(_segment_rows(window), f"doc_id {id_type}, m long, s long, crowded boolean, words binary"), "segments")
     dealt = segments.where("not crowded").select("doc_id", "m", "s", "words").repartition("m").sortWithinPartitions("m", "doc_id")
     matched = dealt.mapInArrow(_automaton_matches(window), f"doc_id {id_type}, s long, at array<int>")
