@@ -5,11 +5,13 @@ the pieces with scores and kinds, and the normaliser; a ``tokenizers.Tokenizer``
 same normaliser, the metaspace marker, unigram scores or merges, and byte fallback. Where no piece
 has the marker after another character, no merge crosses the start of a marker run, and a text's ids
 are those of its units (marker run and what follows) in a row. Units are encoded in multithreaded
-batches, remembered by each worker, and each new unit is held against the sentencepiece library.
+batches and remembered by each worker; when a worker first meets a unit it is decoded again and held
+against the sentencepiece library, which verifies and never gives the ids.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.llm.common import read_table
-from seriesmith.llm.unit_cache import UnitCache, chunks, id_bytes, per_worker
+from seriesmith.llm.unit_cache import UnitCache, chunks, per_worker
 
 MARK = "▁"
 #: Piece kinds of the model format.
@@ -122,8 +124,16 @@ class Model:
         return out
 
 
+#: Flags on the first id of a remembered unit: the libraries differ; decoding does not give the unit back.
+_UNEQUAL, _CHANGED = 1 << 31, 1 << 30
+_IDS = np.uint32(_CHANGED - 1)
+_UNITS = re.compile(f"{MARK}+[^{MARK}]*")
+#: Stands for the end of a text among its units: no text holds a lone surrogate, no flagged id is this one.
+_END, _END_ID = "\udfff", 0xFFFFFFFF
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker; ids are those of the rebuilt tokenizer."""
 
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
@@ -138,53 +148,71 @@ class Codec:
         self.on_units.normalizer = normalizers.Sequence([])
         self.identity = not self.model.charsmap and not self.model.squeeze
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_units = self.model.by_units and self.model.dummy_prefix and USER_DEFINED not in self.model.kinds
+        self.by_units = self.model.by_units and self.model.dummy_prefix and USER_DEFINED not in self.model.kinds and MARK in self.model.pieces
         self.cache = UnitCache(self._new_units)
-        #: Units of which the two libraries gave different ids; the sentencepiece library's are used.
-        self.unequal: set[str] = set()
+
+    def _decoded(self, ids: list) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def _new_units(self, units: list[str]) -> list[bytes]:
-        ours = [e.ids for e in self.on_units.encode_batch_fast(units, add_special_tokens=False)]
-        # the library adds one marker in front itself
-        theirs = self.library.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
-        out = []
-        for unit, a, b in zip(units, ours, theirs):
-            if a != b and unit != MARK:  # a lone marker is an empty text to the library
-                self.unequal.add(unit)
-                a = b
-            out.append(id_bytes(a))
+        """Units stand without their first marker, and markers as spaces: so the library takes them."""
+        ends = [k for k, u in enumerate(units) if u == _END]
+        texts = [" " if u == _END else u for u in units]
+        ours = [e.ids for e in self.on_units.encode_batch_fast([MARK + t.replace(" ", MARK) for t in texts], add_special_tokens=False)]
+        theirs, backs = self.library.encode(texts, num_threads=1), self._decoded(ours)
+        # a lone marker is an empty text to the library
+        flags = np.array([(_UNEQUAL if a != b and t else 0) | (_CHANGED if c != t else 0) for t, a, b, c in zip(texts, ours, theirs, backs)], "<u4")
+        upto = np.cumsum(np.fromiter(map(len, ours), np.int64, len(ours)))
+        flat = np.fromiter(itertools.chain.from_iterable(ours), "<u4", upto[-1])
+        flat[np.concatenate([[0], upto[:-1]])] |= flags  # no unit is without ids
+        data, ends_at = flat.tobytes(), (4 * upto).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends_at], ends_at)]
+        for k in ends:
+            out[k] = struct.pack("<I", _END_ID)
         return out
 
-    def _normal(self, text: str) -> str:
+    def _split(self, text: str) -> tuple[list[str], bool]:
+        """Units of a text as the cache takes them, and whether they are the text itself."""
         if not text:
-            return ""
-        return MARK + text.replace(" ", MARK) if self.identity else self.tokenizer.normalizer.normalize_str(text)
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Ids of each text as little-endian unsigned 32-bit integers, and whether the libraries agree."""
+            return [], True
+        if self.identity and text[0] != " " and "  " not in text and MARK not in text:
+            return text.split(" "), True
+        normal = MARK + text.replace(" ", MARK) if self.identity else self.tokenizer.normalizer.normalize_str(text)
+        return [u[1:].replace(MARK, " ") for u in _UNITS.findall(normal)], normal[1:].replace(MARK, " ") == text
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row; for each text how many, whether the libraries agree, whether decoding gives it back."""
         if not self.by_units:
             ours = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            theirs = self.library.encode(texts, num_threads=1)
-            return [np.array(b, dtype="<u4").tobytes() for b in theirs], [a == b for a, b in zip(ours, theirs)]
-        split = [_UNITS.findall(self._normal(t)) for t in texts]
-        known = self.cache.fill(u for units in split for u in units)
-        same = [not self.unequal or self.unequal.isdisjoint(units) for units in split]
-        return [b"".join([known[u] for u in units]) for units in split], same
-
-    def decode(self, ids: list[bytes]) -> list[str]:
-        return self.tokenizer.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
-
-
-_UNITS = re.compile(f"{MARK}+[^{MARK}]*")
+            same = [a == b for a, b in zip(ours, self.library.encode(texts, num_threads=1))]
+            back = [a == b for a, b in zip(self._decoded(ours), texts)]
+            flat = np.fromiter((i for ids in ours for i in ids), "<u4")
+            return flat, np.array(list(map(len, ours)), np.int64), np.array(same, bool), np.array(back, bool)
+        units, whole = [], []
+        for text in texts:
+            some, unchanged = self._split(text)
+            units += some
+            units.append(_END)
+            whole.append(unchanged)
+        marked = np.frombuffer(b"".join(self.cache.values(units)), "<u4")
+        end = marked == _END_ID
+        at = np.flatnonzero(end)
+        sizes = np.diff(at, prepend=-1) - 1
+        wrong = lambda flag: np.diff(np.concatenate([[0], np.cumsum((marked & np.uint32(flag) != 0) & ~end)[at]])) > 0
+        return marked[~end] & _IDS, sizes, ~wrong(_UNEQUAL), ~wrong(_CHANGED) & np.array(whole, bool)
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self._decoded(ids)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, token_ids (array of int), n_tokens, ids_crc32, round_trip, parity; one row per row of ``docs``.
 
-    ``round_trip``: decoding the ids gives the text back. A text that holds the marker itself or, for
-    a model that squeezes or maps characters, anything so changed does not. ``parity``: the
-    tokenizers library gave the ids of the sentencepiece library. Nulls and empty texts have no ids.
-    Any id type passes through; other columns are not read.
+    ``token_ids`` are those of the tokenizer rebuilt from the model. ``round_trip``: decoding them gives
+    the text back. A text that holds the marker itself or, for a model that squeezes or maps characters,
+    anything so changed does not. ``parity``: the sentencepiece library gives the same ids, for each
+    unit of the text. Nulls and empty texts have no ids. Any id type passes through; other columns are
+    not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -193,18 +221,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             at = 0
             for texts in chunks([t or "" for t in batch.column(1).to_pylist()]):
-                data, same = codec.encode(texts)
-                back = codec.decode(data)
-                sizes = [len(x) // 4 for x in data]
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                values = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
+                ids, sizes, same, back = codec.encode(texts)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                data = memoryview(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
-                        pa.ListArray.from_arrays(offsets, values),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))),
                         pa.array(sizes, pa.int64()),
-                        pa.array([zlib.crc32(x) for x in data], pa.int64()),
-                        pa.array([a == b for a, b in zip(back, texts)]),
+                        pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())], pa.int64()),
+                        pa.array(back),
                         pa.array(same),
                     ],
                     ["doc_id", "token_ids", "n_tokens", "ids_crc32", "round_trip", "parity"],
@@ -222,7 +248,7 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = per_worker(("sentencepiece", path), lambda: Codec(path))
         for batch in batches:
-            texts = codec.tokenizer.decode_batch([x or [] for x in batch.column(1).to_pylist()], skip_special_tokens=False)
+            texts = codec.decode([x or [] for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col)).mapInArrow(run, f"doc_id {id_type}, text string")
@@ -235,4 +261,4 @@ def model_path() -> str:
 
 
 def op1_sentencepiece(spark, sf_dir) -> DataFrame:
-    return encode_documents(read_table(spark, sf_dir, "documents"), model_path()).drop("token_ids")
+    return encode_documents(read_table(spark, sf_dir, "documents"), model_path())

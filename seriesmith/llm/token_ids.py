@@ -2,8 +2,9 @@
 
 A file holds the ids of consecutive documents. Each id takes the fewest bits that hold the largest
 id of the vocabulary, lowest bit first. Layout: blocks of BLOCK_IDS ids, each padded to whole bytes;
-footer: id, null flag and number of tokens of each document, then the byte offset of each block;
-trailer: width, number of documents, ids and blocks, offset of the footer, MAGIC.
+footer: the documents' ids as an Arrow stream, so of any type and null, the number of tokens of each,
+then the byte offset of each block; trailer: width, bytes of the ids' stream, number of documents,
+token ids and blocks, offset of the footer, MAGIC.
 
 Writers and readers stream. Files go to the folder that all executors share, each attempt under a
 name of its own, and only files of finished tasks are in the manifest.
@@ -14,7 +15,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,17 +25,21 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from seriesmith.llm.common import materialize, read_table, shared_folder
-from seriesmith.llm.unit_cache import UnitCache, chunks, id_bytes, per_worker
+from seriesmith.llm.unit_cache import UnitCache, chunks, per_worker
 
 BLOCK_IDS = 4096
-MAGIC = b"SMTIDS01"
-TRAILER = "<IQQQQ8s"
+MAGIC = b"SMTIDS02"
+TRAILER = "<IQQQQQ8s"
 #: Threads of the tokenizers library in one worker.
 THREADS = 2
 #: Blocks read at a time.
 READ_BLOCKS = 256
+#: Files whose sizes are summed together on the way to their global offsets.
+FILES_A_SET = 1000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -65,31 +69,38 @@ class Writer:
     def __init__(self, sink, bits: int):
         self.sink, self.bits = sink, bits
         self.rest = np.zeros(0, np.uint32)
-        self.offsets, self.at, self.total = [], 0, 0
-        self.ids, self.nulls, self.sizes = [], [], []
+        self.ids, self.sizes, self.blocks, self.at, self.total = [], [], 0, 0, 0
 
-    def _block(self, ids: np.ndarray) -> None:
-        self.offsets.append(self.at)
+    def _blocks(self, ids: np.ndarray) -> None:
+        """Ids that fill blocks; BLOCK_IDS is a multiple of 8, so a full block is whole bytes."""
+        self.blocks += -(-len(ids) // BLOCK_IDS)
         self.sink.write(data := pack(ids, self.bits))
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.ids.append(doc_id or 0)
-        self.nulls.append(doc_id is None)
-        self.sizes.append(len(ids))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Consecutive documents: their ids in a row, and how many each has."""
+        self.ids.append(doc_ids)
+        self.sizes.append(np.asarray(sizes))
         self.total += len(ids)
         ids = np.concatenate([self.rest, ids])
         whole = len(ids) // BLOCK_IDS * BLOCK_IDS
-        for k in range(0, whole, BLOCK_IDS):
-            self._block(ids[k : k + BLOCK_IDS])
+        if whole:
+            self._blocks(ids[:whole])
         self.rest = ids[whole:]
 
-    def close(self) -> None:
+    def close(self) -> int:
+        """Writes the footer; returns the number of documents."""
         if len(self.rest):
-            self._block(self.rest)
-        for values, kind in ((self.ids, "<i8"), (self.nulls, "u1"), (self.sizes, "<u8"), (self.offsets, "<u8")):
-            self.sink.write(np.array(values, dtype=kind).tobytes())
-        self.sink.write(struct.pack(TRAILER, self.bits, len(self.ids), self.total, len(self.offsets), self.at, MAGIC))
+            self._blocks(self.rest)
+        doc_ids = pa.chunked_array(self.ids) if self.ids else pa.chunked_array([pa.array([], pa.int64())])
+        named = pa.BufferOutputStream()
+        with pa.ipc.new_stream(named, pa.schema([("doc_id", doc_ids.type)])) as stream:
+            stream.write_table(pa.table({"doc_id": doc_ids}))
+        names = named.getvalue().to_pybytes()
+        offsets = np.arange(self.blocks, dtype="<u8") * (BLOCK_IDS * self.bits // 8)
+        self.sink.write(names + np.concatenate([np.zeros(0, "<u8"), *self.sizes]).astype("<u8").tobytes() + offsets.tobytes())
+        self.sink.write(struct.pack(TRAILER, self.bits, len(names), len(doc_ids), self.total, self.blocks, self.at, MAGIC))
+        return len(doc_ids)
 
 
 class Reader:
@@ -99,14 +110,14 @@ class Reader:
         self.source = source
         size = source.size()
         source.seek(size - struct.calcsize(TRAILER))
-        self.bits, docs, self.total, blocks, footer, magic = struct.unpack(TRAILER, source.read(struct.calcsize(TRAILER)))
+        self.bits, names, docs, self.total, blocks, footer, magic = struct.unpack(TRAILER, source.read(struct.calcsize(TRAILER)))
         if magic != MAGIC:
             raise ValueError("not a token-id file")
         source.seek(footer)
-        take = lambda n, kind: np.frombuffer(source.read(n * np.dtype(kind).itemsize), kind)
-        self.doc_ids, self.nulls = take(docs, "<i8"), take(docs, "u1").astype(bool)
-        self.sizes = take(docs, "<u8").astype(np.int64)
-        self.offsets = np.concatenate([take(blocks, "<u8"), [footer]]).astype(np.int64)
+        self.doc_ids = pa.ipc.open_stream(source.read(names)).read_all().column(0)
+        take = lambda n: np.frombuffer(source.read(8 * n), "<u8").astype(np.int64)
+        self.sizes = take(docs)
+        self.offsets = np.concatenate([take(blocks), [footer]])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def ids(self, a: int, b: int) -> np.ndarray:
@@ -115,99 +126,120 @@ class Reader:
             return np.zeros(0, np.uint32)
         first, last = a // BLOCK_IDS, (b - 1) // BLOCK_IDS
         self.source.seek(int(self.offsets[first]))
-        out = []
-        for k in range(first, last + 1):
-            data = self.source.read(int(self.offsets[k + 1] - self.offsets[k]))
-            out.append(unpack(data, self.bits, min(BLOCK_IDS, self.total - k * BLOCK_IDS)))
-        return np.concatenate(out)[a - first * BLOCK_IDS : b - first * BLOCK_IDS]
+        data = self.source.read(int(self.offsets[last + 1] - self.offsets[first]))
+        return unpack(data, self.bits, min((last + 1) * BLOCK_IDS, self.total) - first * BLOCK_IDS)[a - first * BLOCK_IDS : b - first * BLOCK_IDS]
 
 
-#: Lower-case Latin letters that normalisation leaves alone, then ASCII punctuation.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Letters whose lower case is one letter more of the same kind, then ASCII punctuation; as UTF-8.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Begins the tokenizer's special tokens, which letters of another case do not make.
+_SPECIAL = b"<|"
+#: Stands for the end of a document among its words: no UTF-8 text holds this byte, no vocabulary this id.
+_END, _END_ID = b"\xff", 0xFFFFFFFF
+#: Stems that are encoded as one text.
+STEMS = 2000
 
 
 class WordTokenizer:
     """Whole-text ids from a tokenizer that drops white space, with words remembered.
 
     Such a tokenizer never joins characters across white space, so a text's ids are its words' ids in
-    a row. A word of plain lower-case letters and punctuation after them is two pieces to it.
+    a row. A word of letters and punctuation after them is two pieces to it. Unknown letters are
+    encoded many at a time; where a piece ends is seen from the word ends in the vocabulary.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # else each worker takes every core of its machine
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.letters = Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: For ASCII letters, which stand for themselves as bytes.
-        self.ascii = Tokenizer.from_file(path)
-        self.ascii.normalizer = normalizers.Sequence([])
-        self.ascii.pre_tokenizer = pre_tokenizers.Sequence([])
-        self.parts = UnitCache(self._new_parts)
+        self.size = self.whole.get_vocab_size()
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.size, bool)
+        if suffix:
+            for token, k in self.whole.get_vocab(with_added_tokens=False).items():
+                self.ends[k] = token.endswith(suffix)
+        self.stems = UnitCache(self._new_stems)
         self.words = UnitCache(self._new_words)
 
-    @staticmethod
-    def _encode(tokenizer, units: list[str]) -> list[bytes]:
-        return [id_bytes(e.ids) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def _each(self, units: list[bytes]) -> list[bytes]:
+        found = self.whole.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _new_parts(self, units: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        for tokenizer, some in ((self.ascii, [u for u in units if u.isascii()]), (self.letters, [u for u in units if not u.isascii()])):
-            out.update(zip(some, self._encode(tokenizer, some)))
-        return [out[u] for u in units]
+    def _new_stems(self, units: list[bytes]) -> list[bytes]:
+        texts = [b" ".join(units[k : k + STEMS]).decode() for k in range(0, len(units), STEMS)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)])
+        upto = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(upto) != len(units):  # a vocabulary without word ends
+            return self._each(units)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *upto], upto)]
 
     def _new_words(self, units: list[bytes]) -> list[bytes]:
-        words = [u.decode() for u in units]
-        plain = [_PLAIN.fullmatch(w) for w in words]
-        parts = self.parts.fill([m[1] for m in plain if m])
-        odd = [w for w, m in zip(words, plain) if not m] + list({m[2] for m in plain if m and m[2]})
-        other = dict(zip(odd, self._encode(self.whole, odd)))
-        return [parts[m[1]] + (other[m[2]] if m[2] else b"") if m else other[w] for w, m in zip(words, plain)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().lower().split() for t in texts]  # of bytes: A-Z only, and ASCII white space only
-        known = self.words.fill(w for words in split for w in words)
-        return [b"".join([known[w] for w in words]) for words in split]
+        cut = [found.groups() if (found := _PLAIN.fullmatch(u)) else None for u in units]
+        odd = [u for u, c in zip(units, cut) if c is None and u != _END]
+        plain = [c for c in cut if c]
+        tails = list({tail for _, tail in plain})
+        one = {b"": b"", _END: struct.pack("<I", _END_ID)}
+        one |= zip(some, self._each(some)) if (some := [u for u in {*odd, *tails} if u]) else ()
+        stems = self.stems.known([stem for stem, _ in plain]) if plain else {}
+        return [stems[c[0]] + one[c[1]] if c else one[u] for u, c in zip(units, cut)]
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has; ``end_id`` is appended to each if given."""
+        data = b" \xff ".join([*(t.encode() for t in texts), b""])
+        if _SPECIAL not in data:
+            data = data.lower()  # of bytes: A-Z only
+        ids = np.frombuffer(b"".join(self.words.values(data.split())), "<u4")  # of bytes: ASCII white space only
+        at = np.flatnonzero(ids == _END_ID)
+        sizes = np.diff(at, prepend=-1)
+        if end_id is None:
+            return np.delete(ids, at), sizes - 1
+        ids = ids.copy()
+        ids[at] = end_id
+        return ids, sizes
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write files in ascending id order; returns the manifest: part, path, docs, ids.
 
     A null text is empty, a null id comes first. Rows that repeat an id are ordered by their text.
+    Ids may be of any type that sorts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         coder = per_worker(("words", path), lambda: WordTokenizer(path))
-        bits = bits_for(max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1))
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, end = f"{base}/{uuid.uuid4().hex}.ids", np.array([end_id], np.uint32)
+        name = f"{base}/{uuid.uuid4().hex}.ids"
         with fs.open_output_stream(name) as sink:
-            out = Writer(sink, bits)
+            out = Writer(sink, bits_for(max(coder.size, end_id + 1)))
             for batch in batches:
-                ids, at = batch.column(0).to_pylist(), 0
+                at = 0
                 for some in chunks([t or "" for t in batch.column(1).to_pylist()]):
-                    for data in coder.encode(some):
-                        out.add(ids[at], np.concatenate([np.frombuffer(data, "<u4"), end]))
-                        at += 1
-            out.close()
+                    out.add(batch.column(0).slice(at, len(some)), *coder.encode(some, end_id))
+                    at += len(some)
+            n = out.close()
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([len(out.ids)]), pa.array([out.total])], ["part", "path", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([name]), pa.array([n]), pa.array([out.total])], ["part", "path", "docs", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(dealt.mapInArrow(run, "part long, path string, docs long, ids long"), "manifest")
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """One row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    order = Window.orderBy("part")
-    files = manifest.withColumn("before", F.sum("ids").over(order) - F.col("ids"))  # one row per file
+def _ids_before(manifest: DataFrame) -> DataFrame:
+    """Adds before: ids in the files of lesser parts. Running sums of groups of files, then inside each group."""
+    grouped = manifest.withColumn("set", F.floor(F.col("part") / FILES_A_SET))
+    sums = grouped.groupBy("set").agg(F.sum("ids").alias("n"))
+    starts = sums.select("set", (F.sum("n").over(Window.orderBy("set")) - F.col("n")).alias("start"))  # one row per set of files
+    inside = F.sum("ids").over(Window.partitionBy("set").orderBy("part")) - F.col("ids")
+    return grouped.join(starts, "set").withColumn("before", F.col("start") + inside)
+
+
+def read_token_files(manifest: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
+    """One row per document from the files: doc_id, start, n_tokens, ids_crc32. ``id_type`` is that of the written ids."""
+    kind = to_arrow_type(T._parse_datatype_string(id_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -225,18 +257,18 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             crcs[doc] = zlib.crc32(data[4 * (at - a) : 4 * (upto - a)], int(crcs[doc]))
                             at = upto
                             doc += at == ends[doc]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(file.doc_ids, mask=file.nulls), pa.array(file.starts + before), pa.array(file.sizes), pa.array(crcs)],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                    doc_ids = file.doc_ids.cast(kind).combine_chunks()
+                    columns = [doc_ids, pa.array(file.starts + before), pa.array(file.sizes), pa.array(crcs)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    return files.select("path", "before").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _ids_before(manifest).select("path", "before").repartition(n, "path").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_ids(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     folder = shared_folder(spark, "token-ids")
-    manifest = write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
-    return read_token_files(manifest, folder)
+    docs = read_table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return read_token_files(manifest, folder, docs.schema["doc_id"].dataType.simpleString())

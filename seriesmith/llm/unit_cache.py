@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import array
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
-#: Units in one generation of a cache; two generations are held, some 250 bytes a unit.
-GENERATION = 300_000
+#: Bytes that one generation of a cache may hold; two generations are held.
+GENERATION_BYTES = 96 << 20
+#: What an entry takes beside the characters of its unit and its value.
+ENTRY_BYTES = 160
+#: Longer units than this are not remembered: a text without spaces is one unit.
+LONGEST = 256
 #: Characters of text whose units are looked up together.
-CHUNK_CHARS = 1 << 20
-
-
-def id_bytes(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers; for short lists faster than numpy."""
-    out = array.array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+CHUNK_CHARS = 1 << 18
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -31,27 +26,37 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
 
 
 class UnitCache:
-    """Maps units to bytes; what was not used for a generation is forgotten."""
+    """Maps units to bytes; what was not used for a generation is forgotten, and long units at once."""
 
-    def __init__(self, encode: Callable[[list], Iterable[bytes]], generation: int = GENERATION):
-        self.encode, self.generation = encode, generation
+    def __init__(self, encode: Callable[[list], list[bytes]], generation: int = GENERATION_BYTES):
+        self.encode, self.generation, self.held = encode, generation, 0
         self.young: dict = {}  # text or bytes to ids
         self.old: dict = {}
 
-    def fill(self, units: Iterable) -> dict:
-        """A dict that holds all of ``units``."""
-        if len(self.young) > self.generation:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for unit in set(units).difference(young):
-            if (found := old.get(unit)) is None:
-                missing.append(unit)
-            else:
-                young[unit] = found
-        if missing:
-            young.update(zip(missing, self.encode(missing)))
-        return young
+    def _missing(self, units: list) -> dict:
+        """Values of units that the young generation does not hold."""
+        if self.held > self.generation:
+            self.old, self.young, self.held = self.young, {}, 0
+        old = self.old
+        out = {u: old[u] for u in units if u in old}
+        new = [u for u in units if u not in out]
+        if new:
+            out.update(zip(new, self.encode(new)))
+        kept = {u: v for u, v in out.items() if len(u) <= LONGEST}
+        self.young.update(kept)
+        self.held += ENTRY_BYTES * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+        return out
+
+    def known(self, units: list) -> dict:
+        """The value of each unit, in a dict of these units only: small enough to stay near the processor."""
+        some = set(units)
+        out = dict(zip(some, map(self.young.get, some)))
+        if new := [u for u, v in out.items() if v is None]:
+            out.update(self._missing(new))
+        return out
+
+    def values(self, units: list) -> list[bytes]:
+        return list(map(self.known(units).__getitem__, units))
 
 
 def chunks(texts: list[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:

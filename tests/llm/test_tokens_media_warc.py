@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seriesmith.llm import media, sentencepiece_codec, token_ids, warc
 from seriesmith.llm.common import shared_folder
 
-ODD = ["", " ", "  ", "a  b", " x   y ", "\n\t ", "Héllo Wörld's don't", "日本語 テスト 😀", "a" * 3000, "<|endoftext|> <s> <0x41>", "ΑΣ Σς İi", "x́ é", "ﬁ 　z 12,345.67%%%", "\x00 b\x00", "▁ ▁▁x"]
+ODD = ["", " ", "  ", "a  b", " x   y ", "\n\t ", "Héllo Wörld's don't", "日本語 テスト 😀", "a" * 3000, "<|endoftext|> <s> <0x41>", "A<|ENDOFTEXT|>B The", "ΑΣ Σς İi", "x́ é", "ﬁ 　z 12,345.67%%%", "\x00 b\x00", "▁ ▁▁x"]
 
 
 @pytest.fixture(scope="module")
@@ -42,13 +42,13 @@ def test_random_access(monkeypatch):
     sink = io.BytesIO()
     out = token_ids.Writer(sink, 11)
     for k, p in enumerate(parts):
-        out.add(None if k == 3 else k, p)
-    out.close()
+        out.add(pa.array([None if k == 3 else k], pa.int64()), p, [len(p)])
+    assert out.close() == 5
     file = token_ids.Reader(pa.BufferReader(sink.getvalue()))
     whole = np.concatenate(parts)
     for a, b in ((0, 88), (0, 0), (5, 9), (8, 16), (87, 88), (3, 70)):
         assert np.array_equal(file.ids(a, b), whole[a:b])
-    assert file.starts.tolist() == [0, 0, 3, 23, 24] and file.nulls.tolist() == [False, False, False, True, False]
+    assert file.starts.tolist() == [0, 0, 3, 23, 24] and file.doc_ids.to_pylist() == [0, 1, 2, None, 4]
     with pytest.raises(ValueError):
         token_ids.Reader(pa.BufferReader(sink.getvalue()[:-1] + b"x"))
 
@@ -62,7 +62,10 @@ def test_word_ids_are_those_of_whole_texts(vocab):
     whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     coder = token_ids.WordTokenizer(path)
     for _ in range(2):  # the second time from memory
-        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == whole
+        ids, sizes = coder.encode(texts)
+        assert sizes.tolist() == list(map(len, whole)) and ids.tolist() == [i for ids in whole for i in ids]
+    ids, sizes = coder.encode(texts, end_id=1)
+    assert sizes.tolist() == [len(x) + 1 for x in whole] and ids.tolist() == [i for ids in whole for i in [*ids, 1]]
 
 
 def test_token_files(spark, vocab):
