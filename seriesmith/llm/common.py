@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,26 +18,66 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    That folder is ``spark.checkpoint.dir``. Only where the session has none (a local test) is a
-    temporary folder made and set.
+    Only on a local master, as in tests, is a temporary folder set where the session has none.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor costs nothing."""
+    """Write to the shared folder and read again: cuts the lineage, and a lost executor costs nothing.
+
+    The table stays until ``discard``, or ``discard_all`` once no result that reads one is needed any more.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, label)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def discard(path: str) -> None:
+    """Delete a materialised table; what is gone already is no error."""
+    fs, place = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(place).type != pafs.FileType.NotFound:
+        fs.delete_dir(place)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard_all() -> None:
+    """Delete every table that ``materialize`` wrote in this process."""
+    for path in list(_written):
+        discard(path)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """Columns k_id, k_a and k_b that name a row by its id, null or not, and 128 bits of its text."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return [F.col(id_col).alias("k_id"), F.xxhash64(text).alias("k_a"), F.xxhash64(F.lit(1), text).alias("k_b")]
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Join condition on the columns of ``row_key``."""
+    return left["k_id"].eqNullSafe(right["k_id"]) & (left["k_a"] == right["k_a"]) & (left["k_b"] == right["k_b"])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``gone``; any column names may occur in it."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
+    return keyed.join(gone, same_row(keyed, gone), "left_anti").select("row.*")
+
+
 def strip_spaces(text: Column) -> Column:
     """Delete every ASCII white-space character; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
@@ -55,7 +96,8 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
     A side that has just been grouped by the keys would be joined where it lies, and adaptive
     execution then may not split the other side's large partitions. A key more makes both sides
-    start from a shuffle of their own, so a hot key is spread over tasks.
+    start from a shuffle of their own; a partition that a hot key makes large is then split by
+    adaptive execution, which reads it by several tasks.
     """
     again = F.xxhash64(*keys)
     return left.withColumn("__dealt", again).join(right.withColumn("__dealt", again), ["__dealt", *keys], how).drop("__dealt")

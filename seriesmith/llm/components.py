@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, materialize
+from seriesmith.llm.common import discard, join_dealt, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), "components")
     seen = None
     while True:
-        now = materialize(_small_star(_large_star(now)), "components")
+        before, now = now, materialize(_small_star(_large_star(now)), "components")
+        for path in {f.rsplit("/", 1)[0] for f in before.inputFiles()}:
+            discard(path)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

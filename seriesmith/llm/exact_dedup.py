@@ -1,64 +1,92 @@
 """Exact dedup: groups by a 128-bit content hash, bytes compared inside the groups.
 
-DataFrame functions only. The text is shuffled once, towards the hashes that occur more than once;
-only rows of those groups are then grouped and joined by their bytes, so that a collision of the
-hash would merely cost a comparison. A hash that holds a third of all rows is aggregated on the map
-side and its join partition is split by adaptive execution.
+DataFrame functions only. One pass writes (id, points, hash) of each row; groups, the row that stays
+and the group sizes come from that narrow table. The bytes of the rows in groups are then held against
+those of the row that stays, in a join by hash in which a large group is salted; a hash under which
+texts differ is taken apart by the texts themselves. So no text is a grouping key, and only texts of
+groups are shuffled where their hashes are few enough to be sent to every task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, read_table, strip_spaces
+from seriesmith.llm.common import join_dealt, materialize, read_table, row_key, strip_spaces, without_rows
 
 #: Hexadecimal digits of the SHA-256 that make up the 128-bit content hash.
 HASH_DIGITS = 32
+#: Rows of one group whose bytes are compared under one salt.
+SALT_ROWS = 500
+
+
+def _content_hash(sha256: Column) -> Column:
+    return F.unhex(F.substring(sha256, 1, HASH_DIGITS))
+
+
+def _best() -> Column:
+    """Most code points, then smallest id, a null id last; of any type that has an order."""
+    return F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id")))
+
+
+def _decided(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the best row of its group, groups of one included."""
+    alone = F.col("best").isNull()
+    stays = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.less"))
+    return join_dealt(rows, groups, keys, "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | stays).alias("kept"),
+        "text_sha256",
+        "k_id",
+        "k_a",
+        "k_b",
+    )
+
+
+def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What exact_dedup returns, with the columns of row_key."""
+    texts = docs.select(*row_key(id_col, text_col), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), strip_spaces(F.col(text_col)).alias("norm"))
+    texts = texts.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("content_hash", _content_hash(F.col("text_sha256"))).withColumn("doc_id", F.col("k_id"))
+    rows = materialize(texts.drop("norm"), "exact-dedup")
+    several = materialize(rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")).where("n > 1"), "exact-dedup")
+    # bytes: every row of a group against the row that stays, which is copied once for each salt
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    members = texts.join(several, "content_hash").withColumn("salt", F.pmod(F.xxhash64("k_id", "k_a"), salts))
+    chosen = members.where(F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.less")))
+    chosen = chosen.select("content_hash", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("other")).distinct()
+    compared = members.select("content_hash", F.col("salt").cast("int").alias("salt"), "norm").join(chosen, ["content_hash", "salt"])
+    mixed = materialize(compared.where("norm <> other").select("content_hash").distinct(), "exact-dedup")
+    # a hash under which texts differ: next to never any row
+    apart = join_dealt(texts, mixed, ["content_hash"], "left_semi")
+    exact = _decided(apart, apart.groupBy("content_hash", "norm").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")), ["content_hash", "norm"])
+    sure = rows.join(F.broadcast(mixed), "content_hash", "left_anti") if mixed.isEmpty() else join_dealt(rows, mixed, ["content_hash"], "left_anti")
+    return _decided(sure, several, ["content_hash"]).unionByName(exact)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with the document that stays in its place.
 
     Texts are equal when identical after deleting ASCII white space. Of equal texts the row with the
-    most code points stays, then the smallest id. A null text is an empty one, and all empty texts
-    are equal. A null id loses every tie. Rows that repeat id and text of the row that stays are that
-    row and are kept with it. Columns other than the two named are not read.
+    most code points stays, then the smallest id, which may be of any type that has an order. A null
+    text is an empty one, and all empty texts are equal. A null id loses every tie. Rows that repeat id
+    and code points of the row that stays are that row and are kept with it. Columns other than the two
+    named are not read. No rows give no rows.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = (
-        docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), strip_spaces(F.col(text_col)).alias("norm"))
-        .withColumn("text_sha256", F.sha2("norm", 256))
-        .withColumn("content_hash", F.unhex(F.substring("text_sha256", 1, HASH_DIGITS)))
-    )
-    several = rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash")
-    single = join_dealt(rows.drop("norm"), several, ["content_hash"], "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
-    )
-    # dealt by id, so that the groups below start from an even spread
-    members = join_dealt(rows, several, ["content_hash"]).repartition("doc_id")
-    groups = members.groupBy("content_hash", "norm").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("rank"))).alias("best")
-    )
-    grouped = join_dealt(members, groups, ["content_hash", "norm"]).select(
-        "doc_id",
-        (-F.col("best.rank")).alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(-F.col("best.rank")) & (F.col("points") == F.col("best.points"))).alias("kept"),
-        "text_sha256",
-    )
-    return single.unionByName(grouped)
+    return _decisions(docs, id_col, text_col).drop("k_id", "k_a", "k_b")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Ids are keys: rows that share one stay or go together. Rows with a null id cannot be named and stay.
+    Rows go one by one, not by id: where texts share an id, each stays or goes by itself, so every
+    distinct text is left. Rows with a null id cannot be named and stay.
     """
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = _decisions(docs, id_col, text_col).where(~F.col("kept") & F.col("k_id").isNotNull()).select("k_id", "k_a", "k_b").distinct()
+    return without_rows(docs, gone, id_col, text_col)
 
 
 def op2_exact_dedup(spark, sf_dir) -> DataFrame:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
 DataFrame functions only. One pass over the texts counts tokens; everything after it works on rows
-of (id, source, tokens). The exponent is bisected inside one aggregate over one entry per source;
-the prefix that a budget buys in a permutation is found from sums over buckets of the permutation
+of (id, source, tokens). The exponent is bisected by sums over the table of sources, many candidates
+in one pass, so no row holds all sources; the prefix that a budget buys in a permutation is found from sums over buckets of the permutation
 order, so that no task sees a whole source.
 """
 
@@ -10,47 +10,80 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import count_words, join_dealt, materialize, read_table
+from seriesmith.llm.common import count_words, join_dealt, materialize, read_table, row_key, same_row
 
-#: Steps of the bisection; the exponent is then rounded to 9 decimals.
-STEPS = 50
+#: Parts that a pass cuts the exponent's interval into, and passes; the exponent is then rounded to 9 decimals.
+CUTS = 256
+PASSES = 6
 #: Rows of a source that share one bucket of the permutation order, about.
 BUCKET_ROWS = 1000
 #: Sources whose plan is broadcast, at some 50 bytes each.
 BROADCAST_SOURCES = 10_000
 
 
-def _exponent(shares: Column, target_entropy: float, repetition_limit: float, budget: Column) -> Column:
-    """Largest exponent in [0, 1] whose weights reach the target entropy, raised while a source would repeat too often."""
+def _exponent(per: DataFrame, all_tokens: int, target_entropy: float, repetition_limit: float, budget: float) -> float:
+    """Largest exponent in [0, 1] whose weights reach the target entropy, raised while a source would repeat too often.
 
-    def total(power):
-        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + F.pow(p, power))
-
-    def entropy(power):  # of p^a / sum, from sum p^a log p
-        dot = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + F.pow(p, power) * F.ln(p))
-        return F.ln(total(power)) - power * dot / total(power)
-
-    def repeats(power):  # of the rarest source, budget in units of all tokens
-        return budget * F.pow(F.array_min(shares), power - 1.0) / total(power)
+    ``per`` has one row per source. Both conditions hold on one side of a crossing, which is narrowed by
+    CUTS a pass; a pass is one aggregate with one row per candidate.
+    """
+    share = per.where("have > 0").select((F.col("have") / F.lit(float(all_tokens))).alias("p"))
+    known = share.agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("least")).first()
+    if not known["n"]:
+        return 1.0
+    goal = target_entropy * math.log(known["n"])
+
+    def sums(candidates: list[float]) -> dict[float, tuple[float, float]]:
+        power = F.pow("p", "a")
+        rows = share.withColumn("a", F.explode(F.lit(candidates))).groupBy("a").agg(F.sum(power).alias("s"), F.sum(power * F.ln("p")).alias("d")).collect()
+        return {r["a"]: (r["s"], r["d"]) for r in rows}  # a few hundred numbers
+
+    def reaches(a: float, s: float, d: float) -> bool:  # the entropy of p^a / s, from d, the sum of p^a log p
+        return math.log(s) - a * d / s >= goal
+
+    def within(a: float, s: float, d: float) -> bool:  # reads of the rarest source, budget in units of all tokens
+        return budget * known["least"] ** (a - 1.0) / s <= repetition_limit
+
+    ends = sums([0.0, 1.0])
+    by_entropy = None if not reaches(1.0, *ends[1.0]) else 1.0
+    by_repeats = None if not within(0.0, *ends[0.0]) else 0.0
+    spans = {"entropy": (0.0, 1.0), "repeats": (0.0, 1.0)}
+    for _ in range(PASSES if by_entropy is None or by_repeats is None else 0):
+        grids = {k: [lo + (hi - lo) * i / CUTS for i in range(CUTS + 1)] for k, (lo, hi) in spans.items()}
+        found = sums(sorted({a for k, g in grids.items() if (by_entropy if k == "entropy" else by_repeats) is None for a in g[1:-1]}))
+        if by_entropy is None:
+            at = sum(reaches(a, *found[a]) for a in grids["entropy"][1:-1])
+            spans["entropy"] = (grids["entropy"][at], grids["entropy"][at + 1])
+        if by_repeats is None:
+            at = sum(not within(a, *found[a]) for a in grids["repeats"][1:-1])
+            spans["repeats"] = (grids["repeats"][at], grids["repeats"][at + 1])
+    return round(max(spans["entropy"][0] if by_entropy is None else by_entropy, spans["repeats"][1] if by_repeats is None else by_repeats), 9)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """One row per document and block in which the mixture reads it.
 
-    def bisect(good_is_low, ok):
-        def step(acc, _):
-            mid = (acc["lo"] + acc["hi"]) / 2
-            take = ok(mid) if good_is_low else ~ok(mid)
-            return F.struct(F.when(take, mid).otherwise(acc["lo"]).alias("lo"), F.when(take, acc["hi"]).otherwise(mid).alias("hi"))
+    A source's weight is its token share to the power of an exponent in [0, 1], normalised. The
+    exponent is the largest that gives ``target_entropy`` times the largest entropy possible; where
+    the rarest source would then be read more than ``repetition_limit`` times, it is raised until it
+    is not. ``budget_share`` times all tokens are spent: a source's quota buys whole blocks, each a
+    permutation of all its documents (epochs 0, 1, ...), then the longest affordable prefix of the
+    next permutation. A token is a maximal run of characters other than ASCII white space.
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)
+    A null source counts as the empty name, a null text as empty. A source without tokens has weight
+    zero and its documents are read once. Repeated rows are documents of their own; ties in the order
+    of a permutation are broken by tokens, then by the text's hash. No rows give no rows.
 
-    goal = F.lit(target_entropy) * F.ln(F.size(shares).cast("double"))
-    by_entropy = F.when(entropy(F.lit(1.0)) >= goal, F.lit(1.0)).otherwise(bisect(True, lambda a: entropy(a) >= goal)["lo"])
-    least = F.when(repeats(F.lit(0.0)) <= repetition_limit, F.lit(0.0)).otherwise(bisect(False, lambda a: repeats(a) <= repetition_limit)["hi"])
-    return F.round(F.greatest(by_entropy, least), 9)
+    Options are those of ``_reads``. Returns doc_id, source, n_tokens, epoch, position_key (md5 that
+    orders the block).
+    """
+    return _reads(docs, **options).drop("k_id", "k_a", "k_b")
 
 
-def mix_sources(
+def _reads(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -60,36 +93,17 @@ def mix_sources(
     budget_share: float = 1.0,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document and block in which the mixture reads it.
-
-    A source's weight is its token share to the power of an exponent in [0, 1], normalised. The
-    exponent is the largest that gives ``target_entropy`` times the largest entropy possible; where
-    the rarest source would then be read more than ``repetition_limit`` times, it is raised until it
-    is not. ``budget_share`` times all tokens are spent: a source's quota buys whole blocks, each a
-    permutation of all its documents (epochs 0, 1, ...), then the longest affordable prefix of the
-    next permutation. A token is a maximal run of characters other than ASCII white space.
-
-    A null source counts as the empty name, a null text as empty. A source without tokens has weight
-    zero and its documents are read once. Repeated rows are documents of their own; ties in the order
-    of a permutation are broken by tokens. No rows give no rows.
-
-    Returns doc_id, source, n_tokens, epoch, position_key (md5 that orders the block).
-    """
+    """What mix_sources returns, with the columns of row_key."""
     tokens = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), count_words(F.col(text_col)).alias("n_tokens")),
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), count_words(F.col(text_col)).alias("n_tokens"), *row_key(id_col, text_col)
+        ),
         "mixing",
     )
-    per = tokens.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs"))
-    summed = per.agg(F.sum("have").alias("all_tokens"), F.sort_array(F.collect_list(F.when(F.col("have") > 0, F.col("have")))).alias("each"))
-    shares = F.transform("each", lambda x: x / F.col("all_tokens"))
-    # one row: the bound on what it holds is one number per source
-    row = summed.select("all_tokens", shares.alias("p")).select(
-        F.coalesce("all_tokens", F.lit(0)).alias("all_tokens"),
-        F.when(F.size("p") > 0, _exponent(F.col("p"), target_entropy, repetition_limit, F.lit(budget_share))).otherwise(F.lit(1.0)).alias("a"),
-    )
-    power = row.first()
-    budget, a = math.floor(power["all_tokens"] * budget_share), power["a"]
-    weight = F.when(F.col("have") > 0, F.pow(F.col("have") / F.lit(max(power["all_tokens"], 1)), F.lit(a))).otherwise(0.0)
+    per = materialize(tokens.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs")), "mixing")
+    all_tokens = per.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("n")).first()["n"]
+    budget, a = math.floor(all_tokens * budget_share), _exponent(per, all_tokens, target_entropy, repetition_limit, budget_share)
+    weight = F.when(F.col("have") > 0, F.pow(F.col("have") / F.lit(max(all_tokens, 1)), F.lit(a))).otherwise(0.0)
     known = per.agg(F.sum(weight).alias("s"), F.count(F.lit(1)).alias("n")).first()
     norm = known["s"] or 1.0
     # a share that is whole but for rounding is whole
@@ -106,7 +120,7 @@ def mix_sources(
     def key(epoch):
         return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
 
-    columns = ["doc_id", "source", "n_tokens", "epoch", "position_key"]
+    columns = ["doc_id", "source", "n_tokens", "epoch", "position_key", "k_id", "k_a", "k_b"]
     whole = rows.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("position_key", key(F.col("epoch")))
     part = (
         rows.withColumn("epoch", F.col("full"))
@@ -120,20 +134,28 @@ def mix_sources(
     )
     placed = join_dealt(part, ends, ["source", "bucket"])
     inside = placed.where("end <= rest")
-    order = Window.partitionBy("source", "bucket").orderBy("position_key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "bucket").orderBy("position_key", "n_tokens", "k_a", "k_b").rowsBetween(Window.unboundedPreceding, 0)
     border = placed.where("end > rest and start <= rest").withColumn("upto", F.col("start") + F.sum("n_tokens").over(order)).where("upto <= rest")
     return whole.select(columns).unionByName(inside.select(columns)).unionByName(border.select(columns))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents as the mixture reads them, once per block, with the columns of ``docs``.
 
-    Rows that share an id, a null one too, are read in the same blocks: in each that reads one of them.
+    Rows are told apart by id, source and text, so each is read as often as the mixture reads it. Of
+    rows that repeat all three, as many are read in a block as it has of them.
     """
-    picks = mix_sources(docs, **options).groupBy("doc_id").agg(F.count_distinct("epoch").cast("int").alias("__times")).withColumnRenamed("doc_id", "__id")
-    id_col = options.get("id_col", "doc_id")
-    joined = docs.join(picks, docs[id_col].cast(picks.schema["__id"].dataType).eqNullSafe(picks["__id"]))
-    return joined.withColumn("__block", F.explode(F.array_repeat(F.lit(0), F.col("__times")))).select(docs.columns)
+    reads = _reads(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
+    keys = ["k_id", "k_a", "k_b", "k_source"]
+    in_block = reads.withColumnRenamed("source", "k_source").groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("copies"))
+    times = in_block.groupBy(*keys).agg(F.collect_list("copies").alias("blocks"))  # one number a block
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col), F.coalesce(F.col(source_col), F.lit("")).alias("k_source")
+    )
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("k_a")))
+    joined = rows.join(times, same_row(rows, times) & (rows["k_source"] == times["k_source"]))
+    read = F.size(F.filter("blocks", lambda n: n >= F.col("copy")))
+    return joined.withColumn("__read", F.explode(F.array_repeat(F.lit(0), read))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:
