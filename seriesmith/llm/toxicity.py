@@ -1,18 +1,21 @@
 """Toxicity: a counterfactually regularised classifier over whole texts.
 
 A logistic model over which words, and beginnings of words, a text has is fitted by proximal gradient with an L1 penalty, so
-that few words count and long texts do not drift. Sentences of the labelled texts are varied by
-swapping an identity term for another of its kind, or by putting one in; the squared change of the
-score is penalised, so that a neutral mention of a group does not make a text toxic.
-
-The fit sees a bounded sample of labelled rows; words are taken out on the executors. Scoring is one
-Arrow batch function with the few words that have weight.
+that few words count and long texts do not drift. Identity terms always have a place in the model,
+free of that penalty and of either sign. Labelled texts are copied with their labels, an identity term
+swapped for another of its kind or one put in, and sentences of the labelled texts are varied in the
+same way; the squared change of the score is penalised, so that a neutral mention of a group does not
+make a text toxic. Every pair of sentences differs in an identity term, so the penalty acts on each.
+
+The fit sees a bounded sample of labelled rows, whole texts of any length; words are taken out on the
+executors. Scoring is one Arrow batch function with the few words that have weight.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -25,8 +28,6 @@ from seriesmith.llm.common import materialize, read_table
 
 #: Labelled rows that are fitted, chosen by the least hash of their id.
 SAMPLE_ROWS = 6000
-#: Longer texts than this many code points are not fitted; they are scored like any other.
-SAMPLE_TEXT = 200_000
 #: A word must be in this many of the fitted texts.
 LEAST_TEXTS = 8
 #: A word can only speak for toxicity if its share of toxic texts is this many times that of all texts.
@@ -36,8 +37,13 @@ LEAST_LIFT = 1.5
 L1 = 0.002
 L2 = 0.00001
 COUNTERFACTUAL = 1.0
-#: Labelled sentences that are varied.
+#: Labelled sentences that are varied, by the least hash: those that hold a term first. A text gives all
+#: of those that hold one, and else the one of least hash.
 SENTENCES = 4000
+#: Labelled texts that are copied with another identity term and their label.
+COPIES = 2000
+#: Weight of the squares of the identity terms' weights.
+L2_TERMS = 0.001
 STEPS = 120
 THRESHOLD = 0.7
 SEED = 11
@@ -71,9 +77,16 @@ def words_of(text: str) -> set[str]:
     return features_of(_WORD.findall(text.lower()))
 
 
+KIND_OF = {t: kind for kind in IDENTITY_TERMS for t in kind}
+#: Features of the identity terms, which are always in the model.
+TERM_FEATURES = frozenset(f for t in KIND_OF for f in features_of([t]))
+
+
 class ToxicModel:
-    def __init__(self, bias: float, weights: dict[str, float]):
-        self.bias, self.weights = bias, weights
+    """``touched``: share of the counterfactual pairs whose difference meets a weight."""
+
+    def __init__(self, bias: float, weights: dict[str, float], touched: float = 0.0):
+        self.bias, self.weights, self.touched = bias, weights, touched
 
     def score(self, text: str) -> float:
         weights = self.weights
@@ -81,27 +94,41 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-z)))
 
 
+def _other(rng: random.Random, term: str) -> str:
+    return rng.choice([t for t in KIND_OF[term] if t != term])
+
+
 def _variants(sentences: list[list[str]], limit: int, seed: int) -> list[tuple[set, set]]:
     """Pairs of word sets that a fair score does not tell apart."""
     rng, out = random.Random(seed), []
-    kind_of = {t: kind for kind in IDENTITY_TERMS for t in kind}
-    having = [s for s in sentences if not kind_of.keys().isdisjoint(s)]
-    others = [s for s in sentences if kind_of.keys().isdisjoint(s)]
+    having = [s for s in sentences if not KIND_OF.keys().isdisjoint(s)]
+    others = [s for s in sentences if KIND_OF.keys().isdisjoint(s)]
     rng.shuffle(having)
     rng.shuffle(others)
     for s in having[:limit]:
-        at = rng.choice([k for k, w in enumerate(s) if w in kind_of])
-        term = rng.choice([t for t in kind_of[s[at]] if t != s[at]])
-        out.append((features_of(s), features_of([*s[:at], term, *s[at + 1 :]])))
+        at = rng.choice([k for k, w in enumerate(s) if w in KIND_OF])
+        out.append((features_of(s), features_of([*s[:at], _other(rng, s[at]), *s[at + 1 :]])))
         out.append((features_of(s), features_of([*s[:at], *s[at + 1 :]])))
     for s in others[: max(0, limit - len(having))]:
-        kind = rng.choice(IDENTITY_TERMS)
-        a, b = rng.sample(kind, 2)
+        a, b = rng.sample(rng.choice(IDENTITY_TERMS), 2)
         out.append((features_of([*s, a]), features_of([*s, b])))
         out.append((features_of(s), features_of([*s, a])))
     return out
 
 
+def _copies(word_sets: list[set[str]], labels: list[int], limit: int, seed: int) -> tuple[list[set[str]], list[int]]:
+    """Labelled texts once more with their labels: identity terms swapped, or one put in where there is none."""
+    rng = random.Random(seed + 1)
+    chosen = rng.sample(range(len(labels)), min(limit, len(labels)))
+    out = []
+    for k in chosen:
+        terms = sorted(w for w in word_sets[k] if w in KIND_OF)
+        swapped = {t: _other(rng, t) for t in terms} or {None: rng.choice(sorted(KIND_OF))}
+        gone = {f for t in terms for f in features_of([t])}
+        out.append((word_sets[k] - gone) | features_of(swapped.values()))
+    return out, [labels[k] for k in chosen]
+
+
 def fit(
     word_sets: list[set[str]],
     labels: list[int],
@@ -120,9 +147,13 @@ def fit(
     if n == 0 or y.min() == y.max():
         return ToxicModel(bias, {})
     often = Counter(w for s in word_sets for w in s)
-    vocabulary = sorted(w for w, k in often.items() if k >= least_texts)
+    vocabulary = sorted(TERM_FEATURES.union(w for w, k in often.items() if k >= least_texts))
+    more, more_labels = _copies(word_sets, labels, COPIES, seed)
+    word_sets, y = [*word_sets, *more], np.array([*labels, *more_labels], float)
+    n = len(y)
     index = {w: k for k, w in enumerate(vocabulary)}
-    rows = np.concatenate([np.full(len(s), i) for i, s in enumerate(word_sets)]) if n else np.zeros(0, int)
+    rows = np.repeat(np.arange(n), [len(s) for s in word_sets])
+    free = np.array([w in TERM_FEATURES for w in vocabulary])
     cols = np.fromiter((index.get(w, -1) for s in word_sets for w in sorted(s)), int, len(rows))
     rows, cols = rows[cols >= 0], cols[cols >= 0]
     # each pair is the difference of two word sets: +1 and -1 at the words that only one has
@@ -137,21 +168,24 @@ def fit(
                     pair_signs.append(sign)
     pr, pc, ps = np.array(pair_rows, int), np.array(pair_cols, int), np.array(pair_signs)
     d = len(vocabulary)
-    lasso, bias = _descend(rows, cols, y, (pr, pc, ps, len(pairs)), d, bias, counterfactual, l1, 0.0, steps)
+    lasso, bias = _descend(rows, cols, y, (pr, pc, ps, len(pairs)), d, bias, counterfactual, l1, 0.0, steps, free)
     # the penalty that chose the words also shrank them: fit those again with a light one
-    chosen = np.flatnonzero(np.abs(lasso) > 1e-6)
+    chosen = np.flatnonzero((np.abs(lasso) > 1e-6) | free)
     place = np.full(d, -1)
     place[chosen] = np.arange(len(chosen))
-    some, there = place[cols] >= 0, place[pc] >= 0 if len(pc) else np.zeros(0, bool)
-    w, bias = _descend(
-        rows[some], place[cols[some]], y, (pr[there], place[pc[there]] if len(pc) else pc, ps[there], len(pairs)), len(chosen), bias, counterfactual, 0.0, L2, 5 * steps
-    )
-    return ToxicModel(bias, {vocabulary[k]: float(v) for k, v in zip(chosen, w)})
+    some = place[cols] >= 0
+    there = place[pc] >= 0
+    kept = (pr[there], place[pc[there]], ps[there], len(pairs))
+    w, bias = _descend(rows[some], place[cols[some]], y, kept, len(chosen), bias, counterfactual, 0.0, L2, 5 * steps, free[chosen])
+    touched = len(np.unique(pr[there][w[kept[1]] != 0])) / max(1, len(pairs))
+    return ToxicModel(bias, {vocabulary[k]: float(v) for k, v in zip(chosen, w) if v}, touched)
 
 
-def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient; rows and cols say which text has which word."""
+def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps, free) -> tuple[np.ndarray, float]:
+    """Accelerated proximal gradient; rows and cols say which text has which word, free which are identity terms."""
     pr, pc, ps, n_pairs = pairs
+    l1, l2 = np.where(free, 0.0, l1), np.where(free, L2_TERMS, l2)
+    least = np.where(free, -np.inf, 0.0)  # no other word makes a text less toxic
     n = len(y)
     # both labels weigh the same in all, else the rarer one is given up in doubt
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -167,7 +201,7 @@ def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps) -> tu
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         off = weight * (p - y)
         gradient = np.bincount(cols, off[rows], d) / n + l2 * ahead
-        loss = float((weight * (np.logaddexp(0, z) - y * z)).mean() + l1 * np.abs(ahead).sum() + l2 / 2 * (ahead**2).sum())
+        loss = float((weight * (np.logaddexp(0, z) - y * z)).mean() + (l1 * np.abs(ahead)).sum() + (l2 / 2 * ahead**2).sum())
         if len(pr):
             change = np.bincount(pr, ps * ahead[pc], n_pairs)
             gradient += 2 * counterfactual * np.bincount(pc, ps * change[pr], d) / n_pairs
@@ -178,10 +212,10 @@ def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps) -> tu
             w, ahead, bias, pace, curve = held, held, held_bias, 1.0, curve * 1.5
             continue
         new = ahead - gradient / curve
-        new = np.maximum(new - l1 / curve, 0)  # no word makes a text less toxic
+        new = np.maximum(new - l1 / curve, least)
         bias -= float(off.mean())
         step = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
-        w, ahead, pace = new, np.maximum(new + (pace - 1) / step * (new - w), 0), step
+        w, ahead, pace = new, np.maximum(new + (pace - 1) / step * (new - w), least), step
     return held, held_bias
 
 
@@ -190,45 +224,51 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> ToxicModel:
     """Fit on the labelled rows that are not held out, at most ``sample_rows`` of them.
 
-    Rows without a label, and labels without a text, are left out. The sample's features are counted
-    in Spark; the driver gets those that are in toxic texts more often than others, and for each text
-    which of them it has.
+    Rows without a label, and labels without a text, are left out. Ids may be of any type; where one
+    comes with several texts or labels, each pair is a row of its own. The sample is the rows of least
+    hash. Its features are counted in Spark; the driver gets those that are in toxic texts more often
+    than others, the identity terms, and for each text which of them it has.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
-    found = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(t for kind in IDENTITY_TERMS for t in kind)})(?![^\W\d_])")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).distinct()
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.withColumn("h", F.xxhash64("id", "text")).drop("id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, some = [], []
-            for text in batch.column(1).to_pylist():
+            for h, text, label in zip(*(batch.column(n).to_pylist() for n in ("h", "text", "label"))):  # row by row: a long text has many words
                 text = text.lower()
-                sets.append(sorted(words_of(text)))
-                sentences = _SENTENCE.findall(text)
-                named = [s for s in sentences if found.search(s)][:3]
-                some.append([" ".join(_WORD.findall(s)) for s in named or sentences[:1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(sets, pa.list_(pa.string())), pa.array(some, pa.list_(pa.string()))], ["doc_id", "toxic", "words", "sentences"]
-            )
-
-    sample = materialize(texts.mapInArrow(run, "doc_id long, toxic int, words array<string>, sentences array<string>").limit(sample_rows), "toxicity")
-    size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    counts = sample.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
+                sentences = [" ".join(_WORD.findall(s)) for s in _SENTENCE.findall(text)]
+                named = [s for s in sentences if not KIND_OF.keys().isdisjoint(s.split())]
+                some = named or sorted(filter(None, sentences), key=lambda s: zlib.crc32(s.encode()))[:1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h]), pa.array([label], pa.int32()), pa.array([sorted(words_of(text))], pa.list_(pa.string())), pa.array([some], pa.list_(pa.string()))],
+                    ["h", "label", "words", "sentences"],
+                )
+
+    found = materialize(texts.mapInArrow(run, "h long, label int, words array<string>, sentences array<string>"), "toxicity")
+    if found.count() > sample_rows:  # ids with several texts
+        found = materialize(found.orderBy("h", "label").limit(sample_rows), "toxicity")
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    counts = found.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
     more = counts.where((F.col("n") >= options.get("least_texts", LEAST_TEXTS)) & (F.col("toxic") * size["n"] > F.col("n") * size["toxic"] * LEAST_LIFT))
-    vocabulary = {r["w"] for r in more.select("w").collect()}  # at most what the bounded sample holds
+    vocabulary = TERM_FEATURES.union(r["w"] for r in more.select("w").collect())  # at most what the bounded sample holds
+
+    # sentences: those with a term first, then by hash, over the whole sample
+    each = found.select(F.explode("sentences").alias("s")).withColumn("named", F.exists(F.split("s", " "), lambda w: w.isin(*KIND_OF))).distinct()
+    sentences = [r["s"].split() for r in each.orderBy(F.col("named").desc(), F.xxhash64("s"), "s").limit(SENTENCES).select("s").collect()]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [[w for w in words if w in vocabulary] for words in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string())), batch.column(3)], ["doc_id", "toxic", "words", "sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.list_(pa.string()))], ["h", "label", "words"])
 
-    rows = sample.mapInArrow(keep, sample.schema).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    return fit([set(r["words"]) for r in rows], [int(r["toxic"]) for r in rows], [s.split() for r in rows for s in r["sentences"]], **options)
+    rows = found.select("h", "label", "words").mapInArrow(keep, "h long, label int, words array<string>").collect()
+    rows.sort(key=lambda r: (r["h"], r["label"], r["words"]))
+    return fit([set(r["words"]) for r in rows], [r["label"] for r in rows], sentences, **options)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
