@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    # quotes hold an attribute's value after an equals sign only
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?=[a-zA-Z/!])[^>]*\Z",
     re.S | re.I,
@@ -39,7 +41,13 @@ ENDS_SVG = frozenset(
 IN_SVG_TOO = frozenset("a title style script font".split())
 
 
+#: Elements that hold every page, or none that is a fragment.
+WRAPPERS = frozenset(("html", "body"))
+
+
 class Block:
+    """``path``: the tags around the block, each once, that of the block itself last; ``names``: words of their names."""
+
     __slots__ = ("path", "text", "link_chars", "names")
 
     def __init__(self, path, text, link_chars, names):
@@ -63,14 +71,38 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                block = [(t, n) for t, n in stack if t not in INLINE]
-                out.append(Block(tuple(t for t, _ in block), text, min(link_chars, len(text)), tuple(x for _, n in block for x in n)))
+                leaf = blocks[-1:]
+                out.append(Block((*(t for t in tags if t not in leaf), *leaf), text, min(link_chars, len(text)), tuple(names)))
         link_chars = 0
 
+    # what is open, counted, so that a block costs what differs around it and not how deep it lies
+    open_tags: Counter = Counter()
+    blocks: list[str] = []
+    tags: Counter = Counter()
+    names: Counter = Counter()
+
+    def push(tag: str, words: tuple[str, ...]):
+        nonlocal links
+        links += tag == "a"
+        open_tags[tag] += 1
+        stack.append((tag, words))
+        if tag not in INLINE:
+            blocks.append(tag)
+            tags[tag] += 1
+            names.update(words)
+
     def pop(upto: int):
         nonlocal links
-        for t, _ in stack[upto:]:
+        for t, words in stack[upto:]:
             links -= t == "a"
+            open_tags[t] -= 1
+            if t not in INLINE:
+                blocks.pop()
+                for counts, some in ((tags, (t,)), (names, words)):
+                    for x in some:
+                        counts[x] -= 1
+                        if not counts[x]:
+                            del counts[x]
         del stack[upto:]
 
     at = 0
@@ -88,7 +120,7 @@ def leaf_blocks(page: str) -> list[Block]:
         tag = tag.lower()
         end = bool(found[1])
         in_svg = skipped[-1:] == ["svg"]
-        if in_svg and (tag in ("p", "br") or (tag not in IN_SVG_TOO and any(t == tag for t, _ in stack)) if end else tag in ENDS_SVG):
+        if in_svg and (tag in ("p", "br") or (tag not in IN_SVG_TOO and open_tags[tag] > 0) if end else tag in ENDS_SVG):
             skipped, in_svg = [], False
         if tag in RAW and not end and not in_svg:
             close = RAW[tag].search(page, at)
@@ -108,7 +140,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if end:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
                     pop(k)
                     break
@@ -120,25 +152,24 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_tags["p"] else ():
                 if stack[k][0] == "p":
                     pop(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
         elif tag in ENDS_SIBLING:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in ENDS_SIBLING[tag]) else ():
                 if stack[k][0] in ENDS_SIBLING[tag]:
                     pop(k)
                     break
                 if stack[k][0] in HOLDERS:
                     break
-        links += tag == "a"
         attributes = found[3]
-        names = ()
+        words = ()
         if "=" in attributes:
-            names = tuple(w for m in _ATTRIBUTE.findall(attributes) for w in _NAME.findall((m[1] or m[2] or m[3]).lower()))
-        stack.append((tag, names))
+            words = tuple(w for m in _ATTRIBUTE.findall(attributes) for w in _NAME.findall((m[1] or m[2] or m[3]).lower()))
+        push(tag, words)
     if not skipped:
         parts.append(page[at:])
     flush()
@@ -153,9 +184,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
         size = len(b.text)
         words = b.text.count(" ") + 1
         density = b.link_chars / size
-        f = ["bias", f"leaf={b.path[-1] if b.path else ''}"]
-        f += [f"in={t}" for t in set(b.path)]
-        f += [f"name={x}" for x in set(b.names)]
+        f = ["bias", f"leaf={b.path[-1] if b.path and b.path[-1] not in WRAPPERS else ''}"]
+        f += [f"in={t}" for t in b.path if t not in WRAPPERS]
+        f += [f"name={x}" for x in b.names]
         f.append(f"words={min(words.bit_length(), 7)}")
         f.append("links=" + ("all" if density > 0.9 else "most" if density > 0.4 else "some" if density > 0 else "none"))
         if b.text[-1] in ".!?:;\"'»”…":

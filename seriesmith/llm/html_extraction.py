@@ -23,7 +23,7 @@ from seriesmith.llm.html_training import labelled_pages
 #: Labelled pages, and the seed that lays them out.
 TRAINING_PAGES = 600
 TRAINING_SEED = 7
-STEPS = 120
+STEPS = 300
 L2 = 0.02
 
 
@@ -56,34 +56,48 @@ class BlockField:
 def train(sequences: list[list[list[str]]], labels: list[list[int]], steps: int = STEPS, l2: float = L2) -> BlockField:
     """Greatest conditional likelihood less an L2 penalty, by Adam; forward and backward over all pages at once."""
     names = {x: k for k, x in enumerate(sorted({x for s in sequences for f in s for x in f}))}
+    longest_first = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    sequences, labels = [sequences[i] for i in longest_first], [labels[i] for i in longest_first]
     n, length = len(sequences), max(map(len, sequences))
-    cell, column, truth = [], [], np.full((n, length), -1)
+    truth = np.full((n, length), -1)
+    # blocks with the same features are scored once
+    kinds: dict[tuple, int] = {}
+    which = np.zeros((n, length), np.int64)
     for i, s in enumerate(sequences):
         truth[i, : len(s)] = labels[i]
-        for t, f in enumerate(s):
-            cell += [i * length + t] * len(f)
-            column += [names[x] for x in f]
-    cell, column = np.array(cell), np.array(column)
+        which[i, : len(s)] = [kinds.setdefault(tuple(f), len(kinds)) for f in s]
+    of_kind = np.repeat(np.arange(len(kinds)), list(map(len, kinds)))
+    column = np.array([names[x] for f in kinds for x in f])
+
+    def by_feature(main: np.ndarray) -> np.ndarray:
+        return np.bincount(column, np.bincount(which.ravel(), main.ravel(), len(kinds))[of_kind], len(names))
+
     there = truth >= 0
     both = there[:, 1:]
+    sizes, alive = there.sum(axis=1), there.sum(axis=0)
     w, pairs = np.zeros(len(names)), np.zeros((2, 2))
-    seen_w = np.bincount(column, (truth.ravel() == 1)[cell].astype(float), len(names))
+    seen_w = by_feature((truth == 1).astype(float))
     seen_p = np.array([[(both & (truth[:, :-1] == a) & (truth[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        score = np.zeros((n, length, 2))
-        score[:, :, 1] = np.bincount(cell, w[column], n * length).reshape(n, length)
-        ahead = np.zeros((n, length, 2))
-        ahead[:, 0] = score[:, 0]
+        main = np.bincount(of_kind, w[column], len(kinds))[which]
+        # each state's sums as plain arrays, of the pages that are as long as that
+        ahead, behind = np.zeros((2, length, n)), np.zeros((2, length, n))
+        ahead[1, 0] = main[:, 0]
         for t in range(1, length):
-            ahead[:, t] = np.where(there[:, t, None], np.logaddexp.reduce(ahead[:, t - 1, :, None] + pairs, axis=1) + score[:, t], ahead[:, t - 1])
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        behind = np.zeros((n, length, 2))
+            k = alive[t]
+            for b in (0, 1):
+                ahead[b, t, :k] = np.logaddexp(ahead[0, t - 1, :k] + pairs[0, b], ahead[1, t - 1, :k] + pairs[1, b]) + b * main[:k, t]
+        total = np.logaddexp(*ahead[:, sizes - 1, np.arange(n)])
         for t in range(length - 2, -1, -1):
-            behind[:, t] = np.where(there[:, t + 1, None], np.logaddexp.reduce(pairs + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2), 0.0)
-        one = np.exp(ahead + behind - total[:, None, None])[:, :, 1] * there
-        two = np.exp(ahead[:, :-1, :, None] + pairs + (score + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
-        gradient = np.concatenate([seen_w - np.bincount(column, one.ravel()[cell], len(names)) - l2 * w, (seen_p - two.sum(axis=(0, 1)) - l2 * pairs).ravel()]) / n
+            k = alive[t + 1]
+            for a in (0, 1):
+                behind[a, t, :k] = np.logaddexp(pairs[a, 0] + behind[0, t + 1, :k], pairs[a, 1] + main[:k, t + 1] + behind[1, t + 1, :k])
+        one = np.exp(ahead[1] + behind[1] - total).T * there
+        two = np.array(
+            [[(np.exp(ahead[a, :-1] + pairs[a, b] + b * main.T[1:] + behind[b, 1:] - total) * both.T).sum() for b in (0, 1)] for a in (0, 1)]
+        )
+        gradient = np.concatenate([seen_w - by_feature(one) - l2 * w, (seen_p - two - l2 * pairs).ravel()]) / n
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, pairs = w + move[:-4], pairs + move[-4:].reshape(2, 2)

@@ -30,13 +30,16 @@ _SYLLABLES = "an er in on the re ti es or ou ea st en le la de el os ar ie ung s
 ENDINGS = [".", ".", ".", "!", "?", "", "", "%%%", ".***", ",", ")"]
 
 
+def _lexicon(rng: random.Random, n: int = 2000) -> list[str]:
+    return ["".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4))) for _ in range(n)]
+
+
 class _Maker:
-    def __init__(self, rng: random.Random):
-        self.rng = rng
+    def __init__(self, rng: random.Random, lexicon: list[str]):
+        self.rng, self.lexicon = rng, lexicon
 
     def words(self, low: int, high: int) -> str:
-        r = self.rng
-        return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(r.randint(low, high)))
+        return " ".join(self.rng.choices(self.lexicon, k=self.rng.randint(low, high)))
 
     def sentences(self, low: int, high: int) -> str:
         return " ".join(self.words(1, 18).capitalize() + self.rng.choice(ENDINGS) for _ in range(self.rng.randint(low, high)))
@@ -129,6 +132,8 @@ class _Maker:
         body = "".join(map(self.furniture, before)) + main + "".join(map(self.furniture, after)) + (self.furniture("footer") if r.random() < 0.85 else "")
         if r.random() < 0.3:
             body = f'<div class="{r.choice(["page", "wrapper", "container", "layout"])}">{body}</div>'
+        if r.random() < 0.1:  # a fragment: no wrapper, perhaps nothing but the article
+            return body if r.random() < 0.5 else main
         return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{body}</body></html>"
 
 
@@ -140,8 +145,9 @@ def _marked(fragment: str) -> str:
 def labelled_pages(n: int, seed: int) -> Iterator[tuple[list[Block], list[int]]]:
     """Blocks of ``n`` pages, each with 1 for the article's and 0 for others."""
     rng = random.Random(seed)
+    lexicon = _lexicon(rng)
     for _ in range(n):
-        blocks = leaf_blocks(_Maker(rng).page())
+        blocks = leaf_blocks(_Maker(rng, lexicon).page())
         labels = [int(MARK in b.text) for b in blocks]
         for b in blocks:
             b.text = b.text.replace(MARK, "").strip() or "."

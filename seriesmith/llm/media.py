@@ -26,6 +26,8 @@ UNIT = 576
 FILL = b"\xff"
 #: Samples in one row of a stored payload; UNIT is a multiple of it.
 WIDTH = 24
+#: Samples whose integral image is held at a time.
+STRIP = 1 << 20
 #: Side of the tiles that a resized image is cut into, and tiles a side.
 TILE = 8
 TILES = 2
@@ -109,25 +111,33 @@ def decode_image(data: bytes) -> np.ndarray:
 
 
 def gray(image: np.ndarray) -> np.ndarray:
-    """Mean of the channels as float."""
-    return image.mean(axis=2) if image.ndim == 3 else image.astype(np.float64)
+    """Mean of the channels as float; one channel stays as it is."""
+    return image.mean(axis=2) if image.ndim == 3 else image
 
 
 def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the area that each target pixel covers, from an integral image, fractions of pixels included."""
-    table = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
-
-    def at(edges, size):
-        low = np.minimum(edges.astype(np.int64), size - 1)
-        return low, edges - low
-
-    y, fy = at(np.linspace(0, image.shape[0], height + 1), image.shape[0])
-    x, fx = at(np.linspace(0, image.shape[1], width + 1), image.shape[1])
-    rows = table[y] * (1 - fy)[:, None] + table[y + 1] * fy[:, None]
-    full = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
-    area = (image.shape[0] / height) * (image.shape[1] / width)
-    return np.diff(np.diff(full, axis=0), axis=1) / area
+    """Mean over the area that each target pixel covers, fractions of pixels included.
+
+    Sums come from integral images of strips of rows, so little more than the image is held.
+    """
+    rows, columns = image.shape
+    y, x = np.linspace(0, rows, height + 1), np.linspace(0, columns, width + 1)
+    low_x = np.minimum(x.astype(np.int64), columns - 1)
+    part_x = x - low_x
+    out = np.zeros((height, width))
+    step = max(1, STRIP // columns)
+    for top in range(0, rows, step):
+        strip = image[top : top + step]
+        table = np.zeros((len(strip) + 1, columns + 1))
+        np.cumsum(np.cumsum(strip, axis=0, dtype=np.float64), axis=1, out=table[1:, 1:])
+        first, last = np.searchsorted(y, top, "right") - 1, np.searchsorted(y, top + len(strip), "left")
+        edges = np.clip(y[first : last + 1] - top, 0, len(strip))
+        low = np.minimum(edges.astype(np.int64), len(strip) - 1)
+        part = (edges - low)[:, None]
+        sums = table[low] * (1 - part) + table[low + 1] * part
+        sums = sums[:, low_x] * (1 - part_x) + sums[:, low_x + 1] * part_x
+        out[first:last] += np.diff(np.diff(sums, axis=0), axis=1)
+    return out / ((rows / height) * (columns / width))
 
 
 def difference_hash(image: np.ndarray) -> str:

@@ -8,7 +8,7 @@ only words that can match meet.
 
 1. Every window has a minimizer, the least hash of its 10-word runs, and equal windows have equal
    ones. A document's windows fall into stretches with one minimizer, about 21 windows each. One
-   pass writes (minimizer, hash of the stretch's words) for each stretch: one row per 21 words.
+   pass writes (minimizer, 128 bits of the stretch's words) for each stretch: one row per 21 words.
 2. A stretch whose words are also a stretch of an earlier document is removed whole. Where one
    minimizer has several different stretches (the edges of repeated passages), the words of each are
    sent, from its first document, to the minimizer's shard. There they go through the shard's
@@ -17,11 +17,12 @@ only words that can match meet.
    instead, which spread over tasks and are aggregated on the map side.
 4. A last pass over the texts removes the words and counts.
 
-Joins have partitions that adaptive execution can split. Hashes have 128 bits.
+Joins have partitions that adaptive execution can split. Texts are equal where 128 bits of them are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.llm.common import join_dealt, materialize, read_table
+from seriesmith.llm.unit_cache import per_worker
 
 WINDOW = 50
 #: Words of the runs among whose hashes a window's minimizer is chosen.
@@ -73,7 +75,13 @@ class Windows:
             #: Stretches: windows begin at first .. last - 1.
             self.first, self.last = np.concatenate([[0], cut]), np.concatenate([cut, [len(low)]])
             self.minimizer = low[self.first].view(np.int64)
-            self.stretch = _mixed(self._hash(1, self.first, self.last + window - 1) + (self.last - self.first).astype(np.uint64)).view(np.int64)
+        joined = b" ".join(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        ends = np.cumsum(size + 1) - 1
+        begin, end = (ends - size)[self.first].tolist(), ends[self.last + window - 2].tolist()
+        sums = np.frombuffer(b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(begin, end)]), ">i8").astype(np.int64).reshape(-1, 2)
+        #: 128 bits of a stretch's words.
+        self.stretch, self.check = sums[:, 0], sums[:, 1]
 
     def _hash(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[k][b] - self.sums[k][a]) * self.back[k][a]
@@ -90,20 +98,21 @@ class Windows:
 def _stretches(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, m, s, size = [], [], [], []
+            rows, m, s, t, size = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 words = (text or b"").split()
                 if len(words) >= window:
                     w = Windows(words, window)
-                    pairs, at = np.unique(np.stack([w.minimizer, w.stretch], axis=1), axis=0, return_index=True)
-                    rows.append(np.full(len(pairs), i))
-                    m.append(pairs[:, 0])
-                    s.append(pairs[:, 1])
+                    at = np.unique(w.stretch, return_index=True)[1]
+                    rows.append(np.full(len(at), i))
+                    m.append(w.minimizer[at])
+                    s.append(w.stretch[at])
+                    t.append(w.check[at])
                     size.append((w.last - w.first)[at] + window - 1)
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(x)) for x in (m, s)), pa.array(np.concatenate(size), pa.int32())],
-                    ["doc_id", "m", "s", "size"],
+                    [batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(x)) for x in (m, s, t)), pa.array(np.concatenate(size), pa.int32())],
+                    ["doc_id", "m", "s", "t", "size"],
                 )
 
     return run
@@ -192,8 +201,10 @@ def _cover(window: int):
                     flag = np.zeros(n - window + 1, dtype=bool)
                     if whole.is_valid:
                         flag[w.starts(np.isin(w.stretch, whole.values.to_numpy(zero_copy_only=False)))] = True
+                    order = np.argsort(w.stretch, kind="stable")
                     for part in partial.as_py() or ():
-                        for first in w.first[w.stretch == part["s"]]:
+                        a, b = (np.searchsorted(w.stretch, part["s"], side, order) for side in ("left", "right"))
+                        for first in w.first[order[a:b]]:
                             flag[first + np.array(part["at"])] = True
                     at = np.flatnonzero(flag)
                     edge = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
@@ -221,13 +232,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(_stretches(window), f"doc_id {id_type}, m long, s long, size int").where("doc_id is not null"), "stretches")
-    first = rows.groupBy("m", "s").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g"), F.max("size").alias("size"))
-    whole = join_dealt(rows.drop("size"), first.where("f < g").select("m", "s", "f"), ["m", "s"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("s").alias("whole"))
+    rows = materialize(texts.mapInArrow(_stretches(window), f"doc_id {id_type}, m long, s long, t long, size int").where("doc_id is not null"), "stretches")
+    first = rows.groupBy("m", "s", "t").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g"), F.max("size").alias("size"))
+    whole = join_dealt(rows.drop("size"), first.where("f < g").select("m", "s", "t", "f"), ["m", "s", "t"]).where("doc_id > f").groupBy("doc_id").agg(F.collect_set("s").alias("whole"))
     several = first.groupBy("m").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where("lo < hi")
     several = several.select("m", ((F.col("n") > shard) | (F.col("held") > shard * STRETCH_WORDS)).alias("crowded"))
     keys = lambda c: F.collect_set(F.when(c, F.col("s")))
     wanted = join_dealt(first.drop("size"), several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(keys(~F.col("crowded")).alias("few"), keys(F.col("crowded")).alias("many"))
+    wanted = materialize(wanted, "wanted")  # so that it is sent to every task where it is small, and no text is shuffled
     segments = materialize(texts.join(wanted, "doc_id").mapInArrow(_segment_rows(window), f"doc_id {id_type}, m long, s long, crowded boolean, words binary"), "segments")
     dealt = segments.where("not crowded").select("doc_id", "m", "s", "words").repartition("m").sortWithinPartitions("m", "doc_id")
     matched = dealt.mapInArrow(_automaton_matches(window), f"doc_id {id_type}, s long, at array<int>")
@@ -235,7 +247,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = windows.groupBy("a", "b").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g")).where("f < g").select("a", "b", "f")
     hashed = join_dealt(windows, seen, ["a", "b"]).where("doc_id > f").groupBy("doc_id", "s").agg(F.collect_set(F.col("at").cast("int")).alias("at"))
     partial = matched.unionByName(hashed).groupBy("doc_id").agg(F.collect_list(F.struct("s", "at")).alias("partial"))
-    flagged = whole.join(partial, "doc_id", "full")
+    flagged = materialize(whole.join(partial, "doc_id", "full"), "flagged")
     return texts.join(flagged, "doc_id", "left").mapInArrow(_cover(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
 
@@ -297,8 +309,8 @@ class SuffixAutomaton:
 
 #: Words that one broadcast automaton may hold: about 1 kB each in memory.
 SHARD_WORDS = 200_000
-#: Words of reference that are broadcast at all.
-REFERENCE_WORDS = 2_000_000
+#: Words of reference that are broadcast at all; each worker holds their automata, some 0.5 GB.
+REFERENCE_WORDS = 500_000
 
 
 def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -319,15 +331,20 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
     held = docs.sparkSession.sparkContext.broadcast(texts)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard_words, name = SHARD_WORDS, uuid.uuid4().hex
+
+    def automata() -> list[SuffixAutomaton]:
         shards, some, n = [], [], 0
         for words in held.value:
             some.append(words)
             n += len(words)
-            if n >= SHARD_WORDS:
+            if n >= shard_words:
                 shards.append(SuffixAutomaton(some))
                 some, n = [], 0
-        shards.append(SuffixAutomaton(some))
+        return [*shards, SuffixAutomaton(some)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = per_worker(("reference", name), automata)  # built once a worker
         for batch in batches:
             total, removed, kept = [], [], []
             for text in batch.column(1).to_pylist():

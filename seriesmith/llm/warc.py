@@ -13,13 +13,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, materialize, read_table, shared_folder
+from seriesmith.llm.common import materialize, read_table, shared_folder
 
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 1000
@@ -35,7 +36,8 @@ def _digest(data: bytes) -> str:
 
 
 def _record_id(page_id) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+    """Names a record by its page; ids of any type stand as text, percent-encoded, and a null one has a name of its own."""
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(str(page_id), safe='')}>"
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str = DATE) -> bytes:
@@ -60,8 +62,8 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str =
 class _Record:
     """Takes a record's bytes as they are inflated."""
 
-    def __init__(self, keep: bool):
-        self.keep, self.held = keep, bytearray()
+    def __init__(self, keep: bool, id_of=int):
+        self.keep, self.held, self.id_of = keep, bytearray(), id_of
         self.head = self.http = None
         self.seen, self.payload = 0, bytearray()
         self.block_sha, self.payload_sha, self.payload_bytes = hashlib.sha1(), hashlib.sha1(), 0
@@ -119,14 +121,12 @@ class _Record:
             "payload": bytes(self.payload) if self.keep and kind == "response" else None,
         }
 
-    @staticmethod
-    def _page(record_id: str) -> int | None:
-        text = record_id.removeprefix("<urn:x-page:").removesuffix(">")
-        return int(text) if text else None
+    def _page(self, record_id: str):
+        return self.id_of(unquote(record_id.removeprefix("<urn:x-page:").removesuffix(">"))) if record_id.startswith("<urn:x-page:") else None
 
 
-def read_records(source, keep_payload: bool = False) -> Iterator[dict]:
-    """Records of an open archive in order; raises ValueError where framing or a digest is wrong."""
+def read_records(source, keep_payload: bool = False, id_of=int) -> Iterator[dict]:
+    """Records of an open archive in order, ids made of text by ``id_of``; raises ValueError where framing or a digest is wrong."""
     inflate, now, data = None, None, b""
     while True:
         if not data:
@@ -134,7 +134,7 @@ def read_records(source, keep_payload: bool = False) -> Iterator[dict]:
             if not data:
                 break
         if inflate is None:
-            inflate, now = zlib.decompressobj(31), _Record(keep_payload)
+            inflate, now = zlib.decompressobj(31), _Record(keep_payload, id_of)
         while True:
             now.feed(inflate.decompress(data, CHUNK))
             data = inflate.unconsumed_tail
@@ -155,10 +155,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     response and the others revisit it; rows that repeat that id are responses too. Null ids, urls and
     texts are allowed: a null text is an empty payload, a null id is never referred to.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.sha2("payload", 256)))
     several = rows.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
-    dealt = join_dealt(rows, several.select("sha", "last"), ["sha"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    # a table of known size: where it is small it goes to every task, and no payload is shuffled
+    several = materialize(several.select("sha", "last"), "warc-repeats")
+    dealt = rows.join(several, "sha", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -186,14 +188,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(dealt.mapInArrow(run, "path string, records long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False, id_type: str = "bigint") -> DataFrame:
     """Every record of the manifest's archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     A revisit's payload size and digest are those of the full payload; ``payload`` is null for it, and
-    for all unless ``keep_payload``.
+    for all unless ``keep_payload``. ``id_type`` is that of the written ids.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -202,7 +204,7 @@ def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False)
             for path in batch.column(0).to_pylist():
                 with fs.open_input_stream(path, compression=None, buffer_size=CHUNK) as source:
                     some, size = [], 0
-                    for one in read_records(source, keep_payload):
+                    for one in read_records(source, keep_payload, str):
                         some.append(one)
                         size += len(one["payload"] or b"") + 200
                         if size >= 8 << 20:
@@ -212,14 +214,16 @@ def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = False)
                         yield made(some)
 
     n = max(1, manifest.count())
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
+    schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    found = manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op4_warc(spark, sf_dir) -> DataFrame:
     folder = shared_folder(spark, "warc")
-    manifest = write_archives(read_table(spark, sf_dir, "pages"), folder)
-    return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read_table(spark, sf_dir, "pages")
+    manifest = write_archives(pages, folder)
+    return read_archives(manifest, folder, id_type=pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
