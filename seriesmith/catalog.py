@@ -23,7 +23,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seriesmith.queries import files, pictures, relations, scoring, text  # noqa: F401
+    from seriesmith.queries import chain_sql, files, pictures, relations, scoring, text  # noqa: F401
+
+    _SQL.update(chain_sql.ORACLES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

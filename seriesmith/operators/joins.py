@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmith.functions.numeric import array_median, lerp
+from seriesmith.operators.series import next_value
 
 
 def asof_points(left: DataFrame, right: DataFrame, by: list[str], on: str, value: str) -> DataFrame:
@@ -18,9 +19,10 @@ def asof_points(left: DataFrame, right: DataFrame, by: list[str], on: str, value
     point = F.when(F.col("_side") == 0, F.struct(F.col("_x").alias("x"), F.col("_v").alias("v")))
     w = Window.partitionBy(*by).orderBy("_x", "_side")
     both = rows.unionByName(points, allowMissingColumns=True)
+    # right rows come first among equals, so after a left row only greater ones follow
     return (
         both.withColumn("_p", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_n", F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("_n", next_value(point, by, F.col("_x").desc(), F.col("_side").desc()))
         .where("_side = 1")
         .drop("_x", "_v", "_side")
     )

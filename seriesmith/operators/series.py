@@ -1,8 +1,8 @@
 """Operators on ordered series: detection, scoring and repair of readings.
 
 Every function takes rows with run_id, seg (order), mid (time), len (frames) and raw (reading or
-null) and adds columns. All windows are partitioned by run_id and ordered by seg, so a chain of them
-shares one shuffle and one sort.
+null) and adds columns. All windows are partitioned by run_id, so a chain of them shares one shuffle;
+they are ordered by seg, but for the window in time about a row and the search for what comes next.
 """
 
 from __future__ import annotations
@@ -74,11 +74,20 @@ def detect(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return _context(df, p).withColumn("suspect", out).drop("_med", "_n", "_nl", "_nr")
 
 
+def next_value(of: Column, by: list[str], *order: Column):
+    """The first value of ``of`` that is not null after each row in the order of ``order``.
+
+    Looked for as the last one before it in the order turned round: such a frame grows row by row, while
+    one that ends with the run would be read again for every row.
+    """
+    return F.last(of, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def nearest_anchors(df: DataFrame, ok: Column, time: str = "mid", value: str = "raw") -> DataFrame:
     """Adds _l and _r: time and value of the nearest row before and after for which ``ok`` holds."""
     point = F.when(ok, F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
     return df.withColumn("_l", F.last(point, ignorenulls=True).over(_rows(Window.unboundedPreceding, -1))).withColumn(
-        "_r", F.first(point, ignorenulls=True).over(_rows(1, Window.unboundedFollowing))
+        "_r", next_value(point, ["run_id"], F.col("seg").desc())
     )
 
 

@@ -11,9 +11,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmith.operators.series import run_order
 from seriesmith.params import DEFAULTS, KMH_PER_MS, Params
@@ -77,68 +78,51 @@ def cheapest_path(mid: np.ndarray, raw: np.ndarray, fill: np.ndarray, anchor: np
 def smooth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds corr: readings moved onto the cheapest path where they are missing or far from it. Needs anchor and fill.
 
-    A reading above ``max_speed`` is no anchor here: it would leave no path at all.
+    A reading above ``max_speed`` is no anchor here: it would leave no path at all. Rows pass through
+    the solver with all their columns, so the chain that made them is computed once.
     """
-    keep = [c for c in df.columns if c not in ("corr",)]
-    usable = F.col("anchor") & F.col("raw").between(0, int(p.max_speed))
-    # a stretch is the rows after one anchor up to the next; that next one closes it
-    marked = df.withColumn("_a", usable).withColumn("_k", F.coalesce(F.sum(F.col("_a").cast("int")).over(run_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    row = ["run_id", "seg", "mid", "raw", "fill"]
-    # rows of a stretch, its closing anchor, and the anchor before it, which closes the stretch before
-    lone = marked.withColumn("_prev", F.lag("_a").over(run_order())).withColumn("_next", F.lead("_a").over(run_order()))
-    own = lone.where(~F.col("_a") | ~F.coalesce("_prev", F.lit(True))).select(*row, "_a", F.col("_k").alias("stretch"))
-    opening = lone.where(F.col("_a") & ~F.coalesce("_next", F.lit(True))).select(*row, "_a", (F.col("_k") + 1).alias("stretch"))
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keep = [c for c in df.columns if c != "corr"]
+    usable = F.col("anchor") & F.col("raw").isNotNull() & F.col("raw").between(0, int(p.max_speed))
+    before = run_order().rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.select(*keep, usable.alias("_a"))
+    # a stretch is the rows after one anchor up to the next, which closes it
+    marked = marked.withColumn("_k", F.coalesce(F.sum(F.col("_a").cast("int")).over(before), F.lit(0)).cast("int")).withColumn("_next", F.lead("_a").over(run_order()))
+    # an anchor before rows that are none also opens their stretch, as a row that is not given back
+    opens = F.col("_a") & ~F.coalesce("_next", F.lit(True))
+    own = F.struct(F.col("_k").alias("stretch"), F.lit(True).alias("own"))
+    again = F.struct((F.col("_k") + 1).alias("stretch"), F.lit(False).alias("own"))
+    rows = marked.withColumn("_in", F.explode(F.when(opens, F.array(own, again)).otherwise(F.array(own)))).select(*keep, "_a", "_in.stretch", "_in.own")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by stretch; the last one of a batch may go on in the next."""
         rest, penalties = None, {}
         for batch in itertools.chain(batches, [None]):
-            if batch is None:
-                rows = rest
-            else:
-                rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if rows is None or not len(rows):
+            table = pa.Table.from_batches([b for b in (rest, batch) if b is not None]) if rest is not None or batch is not None else None
+            if table is None or not table.num_rows:
                 continue
-            key = rows[["run_id", "stretch"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(rows)]
+            now = table.combine_chunks().to_batches()[0]
+            number = lambda c: now.column(c).to_numpy(zero_copy_only=False).astype(float)
+            run, stretch = (now.column(c).to_numpy(zero_copy_only=False) for c in ("run_id", "stretch"))
+            cuts = [0, *(np.flatnonzero((run[1:] != run[:-1]) | (stretch[1:] != stretch[:-1])) + 1), now.num_rows]
+            rest = None
             if batch is not None:
-                rest = rows.iloc[cuts[-2] :].reset_index(drop=True)
+                rest = now.slice(cuts[-2])
                 cuts.pop()
-            mid, raw, fill = (rows[c].to_numpy(float) for c in ("mid", "raw", "fill"))
-            fixed = rows["_a"].to_numpy(bool)
-            if len(cuts) > 1:
-                path = np.concatenate([cheapest_path(mid[a:b], raw[a:b], fill[a:b], fixed[a:b], p, penalties) for a, b in zip(cuts, cuts[1:])])
-                free = np.flatnonzero(~fixed[: cuts[-1]])
-                yield pd.DataFrame({"run_id": rows["run_id"].to_numpy()[free], "seg": rows["seg"].to_numpy()[free], "path": path[free]})
-
-    dealt = own.unionByName(opening).repartition("run_id", "stretch").sortWithinPartitions("run_id", "stretch", "seg")
-    paths = dealt.mapInPandas(solve, "run_id long, seg int, path int")
-    joined = df.join(paths, ["run_id", "seg"], "left")
-    commit = F.col("path").isNotNull() & (F.col("raw").isNull() | (F.abs(F.col("path") - F.col("raw")) > p.change_threshold))
-    return joined.withColumn("corr", F.when(commit, F.col("path")).otherwise(F.col("raw"))).select(*keep, "corr")
-
-
-def smooth_rows(rows: list[tuple], p: Params = DEFAULTS) -> Iterator[int | None]:
-    """The same for one run of (mid, raw, fill, anchor) tuples, for tests and small series."""
-    usable = [bool(a) and r is not None and 0 <= r <= int(p.max_speed) for _, r, _, a in rows]
-    out = [r for _, r, _, _ in rows]
-    at, n = 0, len(rows)
-    while at < n:
-        if usable[at]:
-            at += 1
-            continue
-        end = at
-        while end < n and not usable[end]:
-            end += 1
-        low, high = max(0, at - 1), min(n, end + 1)
-        part = rows[low:high]
-        number = lambda x: float("nan") if x is None else float(x)
-        path = cheapest_path(
-            np.array([r[0] for r in part], float), np.array([number(r[1]) for r in part]), np.array([number(r[2]) for r in part]), np.array(usable[low:high]), p
-        )
-        for k in range(at, end):
-            value = int(path[k - low])
-            if rows[k][1] is None or abs(value - rows[k][1]) > p.change_threshold:
-                out[k] = value
-        at = end
-    return iter(out)
+            done = cuts[-1]
+            if not done:
+                continue
+            mid, raw, fill = (number(c) for c in ("mid", "raw", "fill"))
+            fixed, own = (now.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("_a", "own"))
+            path = np.where(fixed[:done], 0, -1)
+            for a, b in zip(cuts, cuts[1:]):
+                if not fixed[a:b].all():
+                    path[a:b] = cheapest_path(mid[a:b], raw[a:b], fill[a:b], fixed[a:b], p, penalties)
+            given = pa.array(own[:done])
+            out = now.slice(0, done).select(keep)
+            free = pa.array(path, pa.int32(), mask=fixed[:done])
+            yield pa.RecordBatch.from_arrays([*out.columns, free], [*keep, "_path"]).filter(given)
+
+    dealt = rows.repartition("run_id", "stretch").sortWithinPartitions("run_id", "stretch", "seg")
+    solved = dealt.mapInArrow(solve, T.StructType([*df.select(keep).schema.fields, T.StructField("_path", T.IntegerType())]))
+    commit = F.col("_path").isNotNull() & (F.col("raw").isNull() | (F.abs(F.col("_path") - F.col("raw")) > p.change_threshold))
+    return solved.select(*keep, F.when(commit, F.col("_path")).otherwise(F.col("raw")).alias("corr"))

@@ -110,6 +110,24 @@ def test_cheapest_path_against_all_paths():
         assert viterbi.cheapest_path(mid, raw, fill, anchor, p).tolist() == brute_path(mid, raw, fill, anchor, p)
 
 
+def plain_smooth(rows, p):
+    """Every stretch between trusted readings, with the reading on either side, by brute_path."""
+    trusted = [k for k, (_, r, _, a) in enumerate(rows) if a and r is not None and 0 <= r <= p.max_speed]
+    out = [r for _, r, _, _ in rows]
+    for a, b in zip([None, *trusted], [*trusted, None]):
+        lo, hi = 0 if a is None else a, len(rows) - 1 if b is None else b
+        part = rows[lo : hi + 1]
+        nan = lambda x: math.nan if x is None else float(x)
+        path = brute_path(
+            np.array([x[0] for x in part]), np.array([nan(x[1]) for x in part]), np.array([nan(x[2]) for x in part]), np.array([lo + k in trusted for k in range(len(part))]), p
+        ) if part else []
+        for k, v in enumerate(path):
+            old = rows[lo + k][1]
+            if lo + k not in trusted and (old is None or abs(v - old) > p.change_threshold):
+                out[lo + k] = v
+    return out
+
+
 def test_smoothing_is_the_same_in_any_partitioning(spark):
     rng = random.Random(3)
     rows, plain = [], {}
@@ -118,7 +136,7 @@ def test_smoothing_is_the_same_in_any_partitioning(spark):
         n = rng.randint(1, 40)
         mine = [(3 * k, rng.choice([None, rng.randint(0, 70)]), float(rng.randint(1, 60)), rng.random() < 0.5) for k in range(n)]
         rows += [(run, k, m, 1, r, f, a and r is not None) for k, (m, r, f, a) in enumerate(mine)]
-        plain[run] = list(viterbi.smooth_rows([(m, r, f, a and r is not None) for m, r, f, a in mine], p))
+        plain[run] = plain_smooth(mine, p)
     df = spark.createDataFrame(rows, "run_id long, seg int, mid int, len int, raw int, fill double, anchor boolean")
     for parts in (1, 5):
         got = {}
@@ -171,7 +189,12 @@ def test_sections(spark):
     rng = random.Random(2)
     vals = [rng.choice([None] + list(range(50, 60)) * 2) for _ in range(60)]
     accel = values(series.pair_accelerations(runs(spark, vals)), "accel")
-    want = list(sections.greedy_sections(accel, 30.0))
+    steady = lambda a, b: all(x is not None for x in accel[a + 1 : b + 1]) and max(accel[a + 1 : b + 1]) - min(accel[a + 1 : b + 1]) <= 30.0
+    want, at = [], 0
+    while at < len(vals) - 1:  # the longest steady section from each start; the next one starts at its end
+        ends = [b for b in range(at + 1, len(vals)) if steady(at, b)]
+        want += [(at, ends[-1])] if ends else []
+        at = ends[-1] if ends else at + 1
     got = [(r["l"], r["r"]) for r in sections.sections(runs(spark, vals), 30.0).orderBy("l").collect()]
     assert got == want and want
 
