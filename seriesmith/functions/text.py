@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CONFUSED = "OoQDIl|!ZzSsBGgTt,"
 MEANT = "00001111225586677."
 
-#: Header keys with their kinds.
+#: Fixed values of the log format: header keys with their kinds.
 SETTINGS = {
     "roi": "roi",
     "frame_start": "int",
@@ -24,9 +24,15 @@ SETTINGS = {
     "model": "str",
     "ocr_backend": "str",
     "video": "str",
+    "div": "int",
+    "buffer": "int",
+    "codec": "str",
 }
 
-#: Engine names that were written to logs, and the name to ask for.
+#: Header keys whose option has another name; fixed.
+RENAMED = {"model": "ocr_model"}
+
+#: Engine names that were written to logs, and the name to ask for; fixed.
 BACKENDS = {"onnxruntime": "cpu", "cpu": "cpu", "tensorrt": "tensorrt", "tensorrt+onnxruntime": "auto", "auto": "auto"}
 
 
@@ -49,14 +55,21 @@ def unwrap(texts: Column, scores: Column) -> Column:
 
 def header_map(line: Column) -> Column:
     """key=value pairs of a header line; a value may hold commas, and the last of equal keys wins."""
-    pattern = F.lit(r"(\w+)=(.*?)(?=,\s*\w+=|$)")
-    keys = F.regexp_extract_all(line, pattern, 1)
-    values = F.regexp_extract_all(line, pattern, 2)
-    pairs = F.arrays_zip(F.transform(keys, lambda k: F.trim(k)).alias("k"), F.transform(values, lambda v: F.trim(v)).alias("v"))
+    # a comma parts two pairs where a key follows it; what stands before a key in its part is no key's
+    parts = F.filter(F.split(line, r",\s*(?=\w+=)"), lambda part: part.rlike(r"\w="))
+    pairs = F.transform(parts, lambda part: F.struct(F.regexp_extract(part, r"(\w+)=", 1).alias("k"), F.trim(F.regexp_extract(part, r"\w=(.*)", 1)).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
 
 
+def destination(key: Column) -> Column:
+    """The option that a header key sets; null for an unknown key."""
+    out = F.when(key.isin(*SETTINGS), key)
+    for name, other in RENAMED.items():
+        out = F.when(key == name, F.lit(other)).otherwise(out)
+    return out
+
+
 def to_int(text: Column) -> Column:
     """Integer part of a number in text, else null."""
     return F.trim(text).try_cast("double").try_cast("int")

@@ -121,18 +121,41 @@ def window_sum_max(df: DataFrame, mask: str, width: str, name: str = "change") -
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
+#: Fixed weights of luma and of the two chroma planes for red, green and blue, limited range; 16 and 128 are black and no colour.
+LUMA, RED_V, GREEN_U, GREEN_V, BLUE_U = 1.164383, 1.596027, -0.391762, -0.812968, 2.017232
+
+
 def nv12_to_rgb(packed: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Full-range picture (height, width, 3) from luma rows and interleaved chroma at half size; odd edges pad with 128."""
-    y = packed[:height, :width].astype(np.float32)
-    chroma = packed[height:].reshape(-1, packed.shape[1])
-    need = ((height + 1) // 2, (width + 1) // 2 * 2)
-    full = np.full(need, 128, np.uint8)
-    full[: min(need[0], chroma.shape[0]), : min(need[1], chroma.shape[1])] = chroma[: need[0], : need[1]]
-    u, v = (np.repeat(np.repeat(full[:, k::2], 2, axis=0), 2, axis=1)[:height, :width].astype(np.float32) - 128 for k in (0, 1))
-    rgb = np.stack([y + 1.402 * v, y - 0.344136 * u - 0.714136 * v, y + 1.772 * u], axis=2)
+    """Picture (height, width, 3) from luma rows and interleaved chroma at half size, limited range; what chroma lacks at odd edges is 128."""
+    luma = packed[:height, :width].astype(np.float64) - 16
+    chroma = packed[height : height + (height + 1) // 2, : width // 2 * 2].astype(np.float64) - 128
+    small = np.zeros(((height + 1) // 2, (width + 1) // 2, 2))
+    small[: chroma.shape[0], : width // 2] = chroma.reshape(chroma.shape[0], width // 2, 2)
+    full = small.repeat(2, axis=0).repeat(2, axis=1)[:height, :width]
+    u, v = full[:, :, 0], full[:, :, 1]
+    rgb = np.stack([LUMA * luma + RED_V * v, LUMA * luma + GREEN_U * u + GREEN_V * v, LUMA * luma + BLUE_U * u], axis=2)
     return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
+def nv12_planes(packed: Column, rows: Column, width: Column) -> Column:
+    """The same for a packed picture in an array of ``rows`` rows, two thirds of them luma: struct of red, green, blue arrays."""
+    height = F.floor(rows * 2 / 3).cast("int")
+    pixels = F.sequence(F.lit(0), height * width - 1)
+
+    def chroma(i: Column, plane: int) -> Column:
+        row, column = F.floor(F.floor(i / width) / 2), F.floor((i % width) / 2)
+        at = (height * width + row * width + column * 2 + plane).cast("int")
+        return F.when(column * 2 + 1 < width, F.coalesce(F.get(packed, at), F.lit(128))).otherwise(128) - 128.0
+
+    def level(value: Column) -> Column:
+        return F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0))).cast("int")
+
+    def plane(of_u: float, of_v: float) -> Column:
+        return F.transform(pixels, lambda i: level((F.get(packed, i) - 16) * F.lit(LUMA) + chroma(i, 0) * F.lit(of_u) + chroma(i, 1) * F.lit(of_v)))
+
+    return F.struct(plane(0.0, RED_V).alias("red"), plane(GREEN_U, GREEN_V).alias("green"), plane(BLUE_U, 0.0).alias("blue"))
+
+
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear with pixel centres aligned; the same size is returned as it is."""
     if image.shape[:2] == (height, width):

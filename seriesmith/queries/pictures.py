@@ -114,6 +114,20 @@ def whole_gray_and_gamma(spark, sf_dir):
     return _pictures(spark, sf_dir).select("vec_id", _text(gm).alias("gamma"), _text(pixels.expand_range(px)).alias("full_range"), _text(gray).alias("gray"))
 
 
+_LEVEL = "CAST(floor(least(greatest((px[i + 1] - 16) * 1.164383::DOUBLE + (px[41 + (i // 8 // 2) * 8 + (i % 8) // 2 * 2] - 128) * {0}::DOUBLE + (px[42 + (i // 8 // 2) * 8 + (i % 8) // 2 * 2] - 128) * {1}::DOUBLE, 0), 255)) AS INTEGER)"
+_PLANE = "array_to_string(list_transform(range(0, 40), lambda i: " + _LEVEL + "), ' ')"
+
+
+@query(
+    "packed_colours",
+    f"WITH {PX_SQL} SELECT vec_id, {_PLANE.format('0.0', '1.596027')} AS red, {_PLANE.format('(-0.391762)', '(-0.812968)')} AS green, {_PLANE.format('2.017232', '0.0')} AS blue FROM v",
+)
+def packed_colours(spark, sf_dir):
+    """Pictures as packed ones of 8 x 5 pixels: five rows of luma, three of chroma."""
+    rgb = _pictures(spark, sf_dir).select("vec_id", pixels.nv12_planes(F.col("px"), F.lit(8), F.lit(8)).alias("c"))
+    return rgb.select("vec_id", *[_text(F.col(f"c.{n}")).alias(n) for n in ("red", "green", "blue")])
+
+
 @query(
     "contrast_stretch",
     f"""WITH {PX_SQL},

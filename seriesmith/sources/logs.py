@@ -14,7 +14,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read whole by one task, since its first lines say how to read the rest.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return _lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def _lines(files: DataFrame) -> DataFrame:
     lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), "\r?\n")).alias("line", "text"))
     return lines.where(F.trim("text") != "")
 
@@ -60,6 +63,16 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return body_rows(read_lines(spark, path)).select("path", F.col("frame").cast("int").alias("frame"), F.col("speed").alias("truth"))
 
 
+def read_truths(spark: SparkSession, folder: str) -> DataFrame:
+    """run, frame, truth of every run in a folder: from its ``_truth`` file, and only without one from its ``_ref`` file."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*_{truth,ref}.csv").select(F.col("_metadata.file_path").alias("path"), "value")
+    name = F.regexp_extract("path", r"([^/]+)_(truth|ref)\.csv$", 1)
+    files = files.withColumn("run", name).withColumn("_ref", F.col("path").endswith("_ref.csv"))
+    best = files.groupBy("run").agg(F.min("_ref").alias("_ref"))
+    rows = body_rows(_lines(files.join(best, ["run", "_ref"]).select("path", "value")))
+    return rows.select(name.alias("run"), F.col("frame").cast("int").alias("frame"), F.col("speed").alias("truth"))
+
+
 def read_named(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """A CSV with names in its first row and comments; columns that a file lacks are null."""
     df = spark.read.csv(path, header=True, comment="#")
