@@ -61,21 +61,30 @@ def discard_all() -> None:
         discard(path)
 
 
+#: Names a row by its id, null or not, and 128 bits of its text; never null, so that equal keys are equal rows.
+ROW_KEY = ["k_id", "k_a", "k_b"]
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """Columns k_id, k_a and k_b that name a row by its id, null or not, and 128 bits of its text."""
+    """The columns of ROW_KEY."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return [F.col(id_col).alias("k_id"), F.xxhash64(text).alias("k_a"), F.xxhash64(F.lit(1), text).alias("k_b")]
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    return [named.alias("k_id"), F.xxhash64(text).alias("k_a"), F.xxhash64(F.lit(1), text).alias("k_b")]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name clashes with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on the columns of ``row_key``."""
-    return left["k_id"].eqNullSafe(right["k_id"]) & (left["k_a"] == right["k_a"]) & (left["k_b"] == right["k_b"])
+def join_shuffled(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join by shuffle of both sides at every size, for a right side that grows with the data."""
+    return left.join(right.hint("merge"), keys, how)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows whose ``row_key`` is in ``gone``; any column names may occur in it."""
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
-    return keyed.join(gone, same_row(keyed, gone), "left_anti").select("row.*")
+    """``docs`` without the rows whose ROW_KEY is in ``gone``; any column names may occur in it."""
+    return join_dealt(docs.select(whole_row(docs), *row_key(id_col, text_col)), gone.hint("merge"), ROW_KEY, "left_anti").select("row.*")
 
 
 def strip_spaces(text: Column) -> Column:

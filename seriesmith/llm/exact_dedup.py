@@ -3,8 +3,8 @@
 DataFrame functions only. One pass writes (id, points, hash) of each row; groups, the row that stays
 and the group sizes come from that narrow table. The bytes of the rows in groups are then held against
 those of the row that stays, in a join by hash in which a large group is salted; a hash under which
-texts differ is taken apart by the texts themselves. So no text is a grouping key, and only texts of
-groups are shuffled where their hashes are few enough to be sent to every task.
+texts differ is taken apart by the texts themselves. So no text is a grouping key, and the texts are
+shuffled once, to the hashes of groups; those of groups once more, to the row that stays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, materialize, read_table, row_key, strip_spaces, without_rows
+from seriesmith.llm.common import ROW_KEY, join_dealt, join_shuffled, materialize, read_table, row_key, strip_spaces, without_rows
 
 #: Hexadecimal digits of the SHA-256 that make up the 128-bit content hash.
 HASH_DIGITS = 32
@@ -39,27 +39,26 @@ def _decided(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         (alone | stays).alias("kept"),
         "text_sha256",
-        "k_id",
-        "k_a",
-        "k_b",
+        *ROW_KEY,
     )
 
 
 def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """What exact_dedup returns, with the columns of row_key."""
-    texts = docs.select(*row_key(id_col, text_col), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), strip_spaces(F.col(text_col)).alias("norm"))
-    texts = texts.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("content_hash", _content_hash(F.col("text_sha256"))).withColumn("doc_id", F.col("k_id"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), strip_spaces(F.col(text_col)).alias("norm"))
+    texts = texts.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("content_hash", _content_hash(F.col("text_sha256")))
     rows = materialize(texts.drop("norm"), "exact-dedup")
     several = materialize(rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")).where("n > 1"), "exact-dedup")
     # bytes: every row of a group against the row that stays, which is copied once for each salt
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    members = texts.join(several, "content_hash").withColumn("salt", F.pmod(F.xxhash64("k_id", "k_a"), salts))
+    members = join_shuffled(texts.drop("text_sha256"), several, ["content_hash"]).withColumn("salt", F.pmod(F.xxhash64("k_id", "k_a"), salts).cast("int"))
+    members = materialize(members.drop(*ROW_KEY), "exact-dedup")
     chosen = members.where(F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.less")))
     chosen = chosen.select("content_hash", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("other")).distinct()
-    compared = members.select("content_hash", F.col("salt").cast("int").alias("salt"), "norm").join(chosen, ["content_hash", "salt"])
+    compared = join_shuffled(members.select("content_hash", "salt", "norm"), chosen, ["content_hash", "salt"])
     mixed = materialize(compared.where("norm <> other").select("content_hash").distinct(), "exact-dedup")
     # a hash under which texts differ: next to never any row
-    apart = join_dealt(texts, mixed, ["content_hash"], "left_semi")
+    apart = texts.join(F.broadcast(mixed), "content_hash", "left_semi") if mixed.isEmpty() else join_dealt(texts, mixed, ["content_hash"], "left_semi")
     exact = _decided(apart, apart.groupBy("content_hash", "norm").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")), ["content_hash", "norm"])
     sure = rows.join(F.broadcast(mixed), "content_hash", "left_anti") if mixed.isEmpty() else join_dealt(rows, mixed, ["content_hash"], "left_anti")
     return _decided(sure, several, ["content_hash"]).unionByName(exact)
@@ -76,7 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
-    return _decisions(docs, id_col, text_col).drop("k_id", "k_a", "k_b")
+    return _decisions(docs, id_col, text_col).drop(*ROW_KEY)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +84,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows go one by one, not by id: where texts share an id, each stays or goes by itself, so every
     distinct text is left. Rows with a null id cannot be named and stay.
     """
-    gone = _decisions(docs, id_col, text_col).where(~F.col("kept") & F.col("k_id").isNotNull()).select("k_id", "k_a", "k_b").distinct()
+    gone = _decisions(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(*ROW_KEY).distinct()
     return without_rows(docs, gone, id_col, text_col)
 
 

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import count_words, join_dealt, materialize, read_table, row_key, same_row
+from seriesmith.llm.common import ROW_KEY, count_words, join_dealt, join_shuffled, materialize, read_table, row_key, whole_row
 
 #: Parts that a pass cuts the exponent's interval into, and passes; the exponent is then rounded to 9 decimals.
 CUTS = 256
@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     Options are those of ``_reads``. Returns doc_id, source, n_tokens, epoch, position_key (md5 that
     orders the block).
     """
-    return _reads(docs, **options).drop("k_id", "k_a", "k_b")
+    return _reads(docs, **options).drop(*ROW_KEY)
 
 
 def _reads(
@@ -120,7 +120,7 @@ def _reads(
     def key(epoch):
         return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
 
-    columns = ["doc_id", "source", "n_tokens", "epoch", "position_key", "k_id", "k_a", "k_b"]
+    columns = ["doc_id", "source", "n_tokens", "epoch", "position_key", *ROW_KEY]
     whole = rows.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("position_key", key(F.col("epoch")))
     part = (
         rows.withColumn("epoch", F.col("full"))
@@ -146,14 +146,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     rows that repeat all three, as many are read in a block as it has of them.
     """
     reads = _reads(docs, id_col=id_col, source_col=source_col, text_col=text_col, **options)
-    keys = ["k_id", "k_a", "k_b", "k_source"]
+    keys = [*ROW_KEY, "k_source"]
     in_block = reads.withColumnRenamed("source", "k_source").groupBy(*keys, "epoch").agg(F.count(F.lit(1)).alias("copies"))
     times = in_block.groupBy(*keys).agg(F.collect_list("copies").alias("blocks"))  # one number a block
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col), F.coalesce(F.col(source_col), F.lit("")).alias("k_source")
-    )
+    rows = docs.select(whole_row(docs), *row_key(id_col, text_col), F.coalesce(F.col(source_col), F.lit("")).alias("k_source"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("k_a")))
-    joined = rows.join(times, same_row(rows, times) & (rows["k_source"] == times["k_source"]))
+    joined = join_shuffled(rows, times, keys)  # on the window's keys, so the texts are shuffled once
     read = F.size(F.filter("blocks", lambda n: n >= F.col("copy")))
     return joined.withColumn("__read", F.explode(F.array_repeat(F.lit(0), read))).select("row.*")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, materialize, read_table, row_key, without_rows
+from seriesmith.llm.common import ROW_KEY, join_dealt, materialize, read_table, row_key, without_rows
 from seriesmith.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -209,12 +209,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lesser fingerprint stay, and a text that is near no other stays whatever its id. Rows that repeat id
     and fingerprint are one document. Rows with a null id cannot be named and stay.
     """
-    keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    keys = keyed.select(F.struct("k_id", "k_a", "k_b").alias("key"), "text")
-    prints = materialize(fingerprints(keys, "key", "text").select("doc_id.*", F.col("doc_id.k_id").alias("doc_id"), "fp"), "simhash")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), *row_key(id_col, text_col)).alias("key"), F.col(text_col).alias("text"))
+    prints = materialize(fingerprints(keyed, "key", "text").select("doc_id.*", "fp").withColumnRenamed("id", "doc_id"), "simhash")
     joined = join_dealt(prints, _classes(prints.select("doc_id", "fp")), ["fp"])
     gone = joined.where(F.col("doc_id").isNotNull() & ((F.col("doc_id") != F.col("component_id")) | (F.col("fp") != F.col("first_fp"))))
-    return without_rows(docs, gone.select("k_id", "k_a", "k_b").distinct(), id_col, text_col)
+    return without_rows(docs, gone.select(*ROW_KEY).distinct(), id_col, text_col)
 
 
 def op5_simhash(spark, sf_dir) -> DataFrame:

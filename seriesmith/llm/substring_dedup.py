@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmith.llm.common import join_dealt, materialize, read_table
+from seriesmith.llm.common import join_dealt, join_shuffled, materialize, read_table
 from seriesmith.llm.unit_cache import per_worker
 
 WINDOW = 50
@@ -239,16 +239,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = several.select("m", ((F.col("n") > shard) | (F.col("held") > shard * STRETCH_WORDS)).alias("crowded"))
     keys = lambda c: F.collect_set(F.when(c, F.col("s")))
     wanted = join_dealt(first.drop("size"), several, ["m"]).groupBy(F.col("f").alias("doc_id")).agg(keys(~F.col("crowded")).alias("few"), keys(F.col("crowded")).alias("many"))
-    wanted = materialize(wanted, "wanted")  # so that it is sent to every task where it is small, and no text is shuffled
-    segments = materialize(texts.join(wanted, "doc_id").mapInArrow(_segment_rows(window), f"doc_id {id_type}, m long, s long, crowded boolean, words binary"), "segments")
+    segments = materialize(join_shuffled(texts, wanted, ["doc_id"]).mapInArrow(_segment_rows(window), f"doc_id {id_type}, m long, s long, crowded boolean, words binary"), "segments")
     dealt = segments.where("not crowded").select("doc_id", "m", "s", "words").repartition("m").sortWithinPartitions("m", "doc_id")
     matched = dealt.mapInArrow(_automaton_matches(window), f"doc_id {id_type}, s long, at array<int>")
     windows = segments.where("crowded").select("doc_id", "s", "words").mapInArrow(_window_rows(window), f"doc_id {id_type}, s long, at long, a long, b long")
     seen = windows.groupBy("a", "b").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("g")).where("f < g").select("a", "b", "f")
     hashed = join_dealt(windows, seen, ["a", "b"]).where("doc_id > f").groupBy("doc_id", "s").agg(F.collect_set(F.col("at").cast("int")).alias("at"))
     partial = matched.unionByName(hashed).groupBy("doc_id").agg(F.collect_list(F.struct("s", "at")).alias("partial"))
-    flagged = materialize(whole.join(partial, "doc_id", "full"), "flagged")
-    return texts.join(flagged, "doc_id", "left").mapInArrow(_cover(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    flagged = whole.join(partial, "doc_id", "full")
+    return join_shuffled(texts, flagged, ["doc_id"], "left").mapInArrow(_cover(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
 
 class SuffixAutomaton:
