@@ -60,7 +60,8 @@ def median_of_pairs(df: DataFrame, half: int, rows: int | None = None) -> DataFr
         near = lambda a: F.filter(a, lambda x: F.abs(x["t"] - F.col("mid")) <= half)
         out = df.withColumn("_l", near(F.collect_list(point).over(around.rowsBetween(-rows, -1)))).withColumn("_r", near(F.collect_list(point).over(around.rowsBetween(1, rows))))
     pairs = F.flatten(F.transform("_l", lambda a: F.transform("_r", lambda b: lerp(F.col("mid"), a["t"], a["v"], b["t"], b["v"]))))
-    return out.withColumn("expected", array_median(pairs)).drop("_l", "_r")
+    # a column of its own, that the median does not make the pairs anew for each use
+    return out.withColumn("_pairs", pairs).withColumn("expected", array_median(F.col("_pairs"))).drop("_l", "_r", "_pairs")
 
 
 def expand_frames(segments: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

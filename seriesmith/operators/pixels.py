@@ -64,11 +64,16 @@ def otsu(df: DataFrame, key: list[str], px: str = "px", fallback: int = DEFAULTS
     return counts.groupBy(*key).agg(F.collect_list(F.struct("bin", "n")).alias("h")).select(*key, _otsu_of(F.sort_array("h"), fallback).alias("threshold"))
 
 
-def calibration(df: DataFrame, group: str, order: str, frames: int = 50) -> DataFrame:
-    """Threshold per group: the whole part of the median of each picture's own threshold, over the first ``frames`` pictures."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    first = df.select(group, order, "px", rn.alias("_rn")).where(F.col("_rn") <= frames)
-    return otsu(first, [group, order]).groupBy(group).agg(F.percentile("threshold", F.lit(0.5)).cast("int").alias("threshold"))
+def calibration(df: DataFrame, group: str, order: str, frames: int = 50, spread: bool = False) -> DataFrame:
+    """Threshold per group: the whole part of the median of each picture's own threshold, over ``frames`` pictures.
+
+    These are the first ones, or if ``spread`` those at an even step over the whole group.
+    """
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(group)) / frames)) if spread else F.lit(1)
+    rows = df.select(group, order, "px", rn.alias("_rn"), step.alias("_step"))
+    sample = rows.where((F.col("_rn") % F.col("_step") == 0) & (F.col("_rn") < F.col("_step") * frames))
+    return otsu(sample, [group, order]).groupBy(group).agg(F.percentile("threshold", F.lit(0.5)).cast("int").alias("threshold"))
 
 
 def _otsu_of(h: Column, fallback: int) -> Column:
@@ -199,3 +204,35 @@ def component_share(mask: np.ndarray, least: int = 4) -> tuple[int, float]:
         label = best
     sizes = np.unique(label[m], return_counts=True)[1]
     return (int(sizes.max()), float(sizes[sizes >= least].sum() / sizes.sum())) if len(sizes) else (0, 0.0)
+
+
+def component_shares(df: DataFrame, mask: str, width: str, least: int = 4) -> DataFrame:
+    """Adds biggest and clustered: what ``component_share`` gives for a mask; null for a null mask."""
+    names = [c for c in df.columns if c not in ("biggest", "clustered")]
+    a, b = names.index(mask), names.index(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(None, None) if v is None else component_share(np.asarray(v, bool).reshape(-1, w), least) for v, w in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
+            biggest, clustered = (pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, biggest, clustered], [*names, "biggest", "clustered"])
+
+    rows = df.select(names)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("biggest", T.IntegerType()), T.StructField("clustered", T.DoubleType())]))
+
+
+def input_width(width: Column, height: Column, target: int = 48, aspect: float = 0.0) -> Column:
+    """Width of a picture brought to the target height, or of the given aspect; at least one pixel."""
+    if aspect > 0:
+        return F.greatest(F.lit(1), F.lit(round(target * aspect)))
+    return F.when(height > 0, F.greatest(F.lit(1), F.floor(width * target / height).cast("int"))).otherwise(width)
+
+
+def keeps_size(width: Column, height: Column, target: int = 48, aspect: float = 0.0, tolerance: float = 0.02) -> Column:
+    """Whether a picture stays as it is: its width is right, its height within the tolerance."""
+    return (input_width(width, height, target, aspect) == width) & (F.abs(F.lit(target) - height) <= F.lit(tolerance * target))
+
+
+def padded_aspect(width: Column, height: Column, floor: Column, target: int = 48) -> Column:
+    """Aspect that all pictures of a group are padded to (an aggregate): the widest one, at least the floor's width."""
+    return F.greatest(F.max(floor) / F.lit(float(target)), F.max(width / height))

@@ -27,6 +27,13 @@ def _rows(a: int, b: int):
     return run_order().rowsBetween(a, b)
 
 
+def half_width(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Adds _half: ``window`` times the run's median gap in time, at most ``window_max``; and _pm, the time of the row before."""
+    gap = F.percentile(F.col("mid") - F.col("_pm"), F.lit(0.5)).over(whole_run())
+    width = F.least(F.lit(p.window) * F.greatest(F.coalesce("_gap", F.lit(1.0)), F.lit(1.0)), F.lit(float(p.window_max)))
+    return df.withColumn("_pm", F.lag("mid").over(run_order())).withColumn("_gap", gap).withColumn("_half", width).drop("_gap")
+
+
 def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds bw: median step between neighbouring readings inside a time window about each row, 0 if none.
 
@@ -35,10 +42,8 @@ def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """
     wide = Window.partitionBy("run_id").orderBy("mid").rangeBetween(-p.window_max, p.window_max)
     return (
-        df.withColumn("_pm", F.lag("mid").over(run_order()))
+        half_width(df, p)
         .withColumn("_dv", F.abs(F.col("raw") - F.lag("raw").over(run_order())))
-        .withColumn("_gap", F.percentile(F.col("mid") - F.col("_pm"), F.lit(0.5)).over(whole_run()))
-        .withColumn("_half", F.least(F.lit(p.window) * F.greatest(F.coalesce("_gap", F.lit(1.0)), F.lit(1.0)), F.lit(float(p.window_max))))
         .withColumn("_near", F.collect_list(F.when(F.col("_dv").isNotNull(), F.struct("mid", "_pm", "_dv"))).over(wide))
         .withColumn(
             "bw",
@@ -52,11 +57,12 @@ def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
                 F.lit(0.0),
             ),
         )
-        .drop("_pm", "_dv", "_gap", "_half", "_near")
+        .drop("_pm", "_dv", "_half", "_near")
     )
 
 
-def _context(df: DataFrame, p: Params) -> DataFrame:
+def context(df: DataFrame, p: Params) -> DataFrame:
+    """Adds _med, _n, _nl and _nr: median and number of readings about each row, and the number on each side."""
     k = p.neighbours
     return (
         df.withColumn("_med", F.percentile("raw", F.lit(0.5)).over(_rows(-k, k)))
@@ -71,7 +77,7 @@ def detect(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     floor = F.when(F.col("len") == 1, p.single_floor).otherwise(p.floor)
     far = F.abs(F.col("raw") - F.col("_med")) > F.greatest("bw", floor) * p.multiplier
     out = F.when(F.col("raw").isNull() | (F.col("_n") < p.least_neighbours), True).when((F.col("_nl") == 0) | (F.col("_nr") == 0), False).otherwise(far)
-    return _context(df, p).withColumn("suspect", out).drop("_med", "_n", "_nl", "_nr")
+    return context(df, p).withColumn("suspect", out).drop("_med", "_n", "_nl", "_nr")
 
 
 def next_value(of: Column, by: list[str], *order: Column):
@@ -123,7 +129,7 @@ def confidence(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     for when, value, name in reversed(rules):
         conf, branch = F.when(when, value).otherwise(conf), F.when(when, name).otherwise(branch)
     return (
-        _context(df, p).withColumn("_ms", by_median).withColumn("_jerk", jerk).withColumn("conf", conf).withColumn("branch", branch)
+        context(df, p).withColumn("_ms", by_median).withColumn("_jerk", jerk).withColumn("conf", conf).withColumn("branch", branch)
         .drop("_med", "_n", "_nl", "_nr", "_ms", "_jerk")
     )
 
@@ -326,3 +332,16 @@ def physics_check(df: DataFrame, value: str = "raw", p: Params = DEFAULTS) -> Da
     step = F.greatest(F.abs(F.col(value) - F.lag(value).over(run_order())), F.abs(F.col(value) - F.lead(value).over(run_order())))
     dt = F.least(gap(F.col("mid") - F.lag("mid").over(run_order())), gap(F.lead("mid").over(run_order()) - F.col("mid")))
     return df.withColumn("plausible", F.coalesce(step <= F.lit(p.max_accel * KMH_PER_MS) * dt * p.review_tolerance, F.lit(True)))
+
+
+def runs(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """One row per run: its segments, frames, and duration in seconds."""
+    frames = F.sum("len").cast("long")
+    return df.groupBy("run_id").agg(F.count(F.lit(1)).alias("segments"), frames.alias("frames"), (frames / F.lit(float(p.fps))).alias("duration"))
+
+
+def run_digests(df: DataFrame, value: Column, order: str = "seg") -> DataFrame:
+    """SHA-256 of each run's values in order, as lines of order and value; one row of a run's text in memory at a time."""
+    line = F.concat(F.col(order).cast("string"), F.lit(":"), value)
+    rows = df.select("run_id", F.struct(F.col(order).alias("o"), line.alias("x")).alias("r")).groupBy("run_id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return rows.select("run_id", F.sha2(F.array_join("r.x", "\n"), 256).alias("digest"))

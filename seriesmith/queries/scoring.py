@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.catalog import query
 from seriesmith.functions.numeric import is_corrected, is_trusted, needs_review
-from seriesmith.operators import evaluation, islands, joins, sections, series
+from seriesmith.operators import evaluation, islands, joins, sections, series, variants
 from seriesmith.params import DEFAULTS
 from seriesmith.plans import chain
 from seriesmith.plans.adapters import READINGS_SQL, readings
@@ -415,9 +415,9 @@ SELECT run_id, seg, round(least(z, CASE WHEN m < 30 THEN 25 ELSE 100 END, CASE W
 def combined_signals(spark, sf_dir):
     df = series.confidence(series.local_bandwidth(readings(spark, sf_dir)))
     a, b, f = F.col("conf"), F.least(F.lit(100.0), F.coalesce("bw", F.lit(0.0))), F.col("len") * 25.0
-    z, m = F.least(F.greatest(0.5 * a + 0.3 * b + 0.2 * f, F.lit(0.0)), F.lit(100.0)), F.least(a, b)
-    cap = lambda c, v: F.when(c, F.lit(v)).otherwise(100.0)
-    return df.select("run_id", "seg", F.round(F.least(z, cap(m < 30, 25.0), cap(m < 50, 50.0), cap(m < 70, 69.0), cap(f < 50, 50.0)), 4).alias("score"))
+    m = F.least(a, b)
+    score = variants.combine_signals([(a, 0.5), (b, 0.3), (f, 0.2)], [(m, 30, 25), (m, 50, 50), (m, 70, 69), (f, 50, 50)])
+    return df.select("run_id", "seg", F.round(score, 4).alias("score"))
 
 
 @query(
