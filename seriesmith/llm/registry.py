@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import exact_dedup, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, toxicity, warc
+from seriesmith.llm import exact_dedup, hard_negatives, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_media": media.op8_media,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_mixing": mixing.op10_mixing,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
