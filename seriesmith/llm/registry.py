@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import conversations, exact_dedup, hard_negatives, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, token_ids, toxicity, warc
+from seriesmith.llm import conversations, exact_dedup, hard_negatives, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_mixing": mixing.op10_mixing,
     "op11_conversations": conversations.op11_conversations,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
