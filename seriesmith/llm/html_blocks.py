@@ -20,7 +20,7 @@ _NAME = re.compile(r"[a-z]+")
 
 #: Tags inside which text runs on.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start of one of these ends an open paragraph.
@@ -43,15 +43,26 @@ IN_SVG_TOO = frozenset("a title style script font".split())
 
 #: Elements that hold every page, or none that is a fragment.
 WRAPPERS = frozenset(("html", "body"))
+#: Elements whose tag tells something of what they hold; others do if they are named.
+TELLING = frozenset("article main nav aside header footer form dialog menu section search details".split())
+#: Elements of running text, which group no blocks unless they are named.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address".split())
+#: Parts of a form, whose text is never the page's.
+CONTROLS = frozenset("button select option optgroup textarea datalist label legend".split())
 
 
 class Block:
-    """``path``: the tags around the block, each once, that of the block itself last; ``names``: words of their names."""
+    """``path``: the tags around the block, each once, that of the block itself last; ``names``: words of their names.
 
-    __slots__ = ("path", "text", "link_chars", "names")
+    ``near``: tag and words of the innermost two ancestors that tell something, from the inside.
+    ``step``: where the block stands to the one before: in the same group, in a group within, back
+    outside, or across in another one.
+    """
+
+    __slots__ = ("path", "text", "link_chars", "names", "near", "step")
 
-    def __init__(self, path, text, link_chars, names):
-        self.path, self.text, self.link_chars, self.names = path, text, link_chars, names
+    def __init__(self, path, text, link_chars, names, near=(), step="same"):
+        self.path, self.text, self.link_chars, self.names, self.near, self.step = path, text, link_chars, names, near, step
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -64,15 +75,28 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []  # tag, words of its class, id and role
     parts: list[str] = []
     link_chars = links = 0
+    # what groups blocks and what tells something of them; groups carry the number of elements opened before
+    groups: list[int] = [0]
+    telling: list[tuple[str, tuple[str, ...]]] = []
+    opened = 0
+    last_group, last_depth, last_opened = 0, 0, 0
 
     def flush():
-        nonlocal link_chars
+        nonlocal link_chars, last_group, last_depth, last_opened
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 leaf = blocks[-1:]
-                out.append(Block((*(t for t in tags if t not in leaf), *leaf), text, min(link_chars, len(text)), tuple(names)))
+                group = groups[-1]
+                if group == last_group:
+                    step = "same"
+                elif last_depth < len(groups) and groups[last_depth] == last_group:
+                    step = "in"
+                else:
+                    step = "out" if group <= last_opened else "across"
+                last_group, last_depth, last_opened = group, len(groups) - 1, opened
+                out.append(Block((*(t for t in tags if t not in leaf), *leaf), text, min(link_chars, len(text)), tuple(names), tuple(telling[:-3:-1]), step))
         link_chars = 0
 
     # what is open, counted, so that a block costs what differs around it and not how deep it lies
@@ -82,14 +106,19 @@ def leaf_blocks(page: str) -> list[Block]:
     names: Counter = Counter()
 
     def push(tag: str, words: tuple[str, ...]):
-        nonlocal links
+        nonlocal links, opened
         links += tag == "a"
         open_tags[tag] += 1
         stack.append((tag, words))
         if tag not in INLINE:
+            opened += 1
             blocks.append(tag)
             tags[tag] += 1
             names.update(words)
+            if words or tag not in TEXTUAL:
+                groups.append(opened)
+            if tag not in WRAPPERS and (words or tag in TELLING):
+                telling.append((tag, words))
 
     def pop(upto: int):
         nonlocal links
@@ -98,6 +127,10 @@ def leaf_blocks(page: str) -> list[Block]:
             open_tags[t] -= 1
             if t not in INLINE:
                 blocks.pop()
+                if words or t not in TEXTUAL:
+                    groups.pop()
+                if t not in WRAPPERS and (words or t in TELLING):
+                    telling.pop()
                 for counts, some in ((tags, (t,)), (names, words)):
                     for x in some:
                         counts[x] -= 1
@@ -177,25 +210,31 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Ancestor tags, words of their names, and the shape of the text."""
+    """The step from the block before, ancestor tags, words of their names by nearness, and the shape of the text.
+
+    Words on an article itself (``article class="sidebar-left"``) are kept apart from those on other elements.
+    """
     out = []
-    n = len(blocks)
-    for k, b in enumerate(blocks):
+    for b in blocks:
         size = len(b.text)
         words = b.text.count(" ") + 1
         density = b.link_chars / size
-        f = ["bias", f"leaf={b.path[-1] if b.path and b.path[-1] not in WRAPPERS else ''}"]
+        f = [f"step={b.step}", "bias", f"leaf={b.path[-1] if b.path and b.path[-1] not in WRAPPERS else ''}"]
         f += [f"in={t}" for t in b.path if t not in WRAPPERS]
-        f += [f"name={x}" for x in b.names]
+        told: set[str] = set()
+        for level, (tag, named) in enumerate(b.near):
+            f.append(f"near{level}={tag}")
+            f += [f"{'article' if tag in ('article', 'main') else 'name'}{level}={x}" for x in sorted({*named})]
+            told.update(named)
+        f.append("pair=" + "<".join(tag for tag, _ in b.near))
+        f += [f"far={x}" for x in b.names if x not in told]
         f.append(f"words={min(words.bit_length(), 7)}")
         f.append("links=" + ("all" if density > 0.9 else "most" if density > 0.4 else "some" if density > 0 else "none"))
         if b.text[-1] in ".!?:;\"'»”…":
             f.append("ends")
         if "©" in b.text or "(c)" in b.text.lower():
             f.append("rights")
-        if k == 0:
-            f.append("first")
-        if k == n - 1:
-            f.append("last")
+        if not CONTROLS.isdisjoint(b.path):
+            f.append("control")
         out.append(f)
     return out

@@ -7,6 +7,7 @@ the article carry a mark, which is taken off again before anything is learned fr
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 from seriesmith.llm.html_blocks import Block, leaf_blocks
@@ -14,16 +15,19 @@ from seriesmith.llm.html_blocks import Block, leaf_blocks
 MARK = "⁠"
 #: Names that class and id attributes are drawn from, by what the element holds.
 NAMES = {
-    "article": "article content post entry story main body text article-body post-content entry-content main-content".split(),
+    "article": "article content post entry story main body text article-body post-content entry-content main-content post-body story-body article-text blog-post".split(),
     "menu": "menu nav navbar navigation main-menu topnav breadcrumb breadcrumbs links".split(),
     "header": "header masthead topbar site-header page-header banner-top logo".split(),
     "footer": "footer site-footer page-footer copyright legal bottom colophon".split(),
-    "side": "sidebar side aside related widget rail recommended trending more-stories".split(),
+    "side": "sidebar side aside related widget rail recommended trending more-stories related-posts widget-area read-more".split(),
     "notice": "notice cookie cookie-notice consent banner alert gdpr cookie-banner popup modal".split(),
-    "advert": "ad ads advert advertisement sponsored promo ad-slot sponsor banner-ad".split(),
+    "advert": "ad ads advert advertisement sponsored promo ad-slot sponsor banner-ad adsbygoogle ad-container".split(),
     "form": "form search newsletter subscribe signup login search-form".split(),
     "comments": "comments comment comment-list discussion responses replies comment-body reader-comments".split(),
 }
+#: Names of layout that hold an article and furniture alike, and names that say what an article has beside it.
+LAYOUT = "page wrapper container layout site wrap row grid outer inner columns page-wrapper site-content".split()
+BESIDE = "sidebar-left has-sidebar with-sidebar right-sidebar no-comments has-comments with-ads has-ads header-fixed no-header sticky-nav has-nav has-banner with-footer menu-open".split()
 _SYLLABLES = "an er in on the re ti es or ou ea st en le la de el os ar ie ung sch ein der que ent ion pa vi mi lo ta ci ra zu".split()
 
 #: What sentences end with; text alone should not give a block away.
@@ -53,10 +57,19 @@ class _Maker:
     def box(self, kind: str, tags: tuple[str, ...], inner: str) -> str:
         """An element whose tag says what it holds, or a plain one whose name does."""
         r = self.rng
+        if kind != "article" and r.random() < 0.25:  # neutral elements within
+            inner = f'<div class="{r.choice([*LAYOUT, "content", "body", "text", "main"])}">{inner}</div>'
         if tags and r.random() < 0.6:
             tag = r.choice(tags)
-            return f"<{tag}{' ' + self.name(kind) if r.random() < 0.4 else ''}>{inner}</{tag}>"
+            name = f" {self.name(kind)}" if r.random() < 0.4 else ""
+            if kind == "article" and r.random() < 0.3:
+                name = f' class="{" ".join(r.sample([*NAMES[kind], *BESIDE], 2))}"'
+            return f"<{tag}{name}>{inner}</{tag}>"
         tag = r.choice(["div", "div", "section"])
+        if kind == "article" and r.random() < 0.25:
+            names = [r.choice(NAMES[kind]), r.choice(BESIDE)]
+            r.shuffle(names)
+            return f'<{tag} class="{" ".join(names)}">{inner}</{tag}>'
         return f"<{tag} {self.name(kind)}>{inner}</{tag}>"
 
     def items(self, low: int, high: int) -> str:
@@ -113,6 +126,26 @@ class _Maker:
         text = self.sentences(1, 3)  # notices and adverts
         return self.box(kind, ("dialog",) if kind == "notice" and r.random() < 0.2 else (), text if r.random() < 0.5 else f"<p>{text}</p>" + f"<button>{self.words(1, 2)}</button>" * r.randint(0, 1))
 
+    def interrupted(self, inner: str) -> str:
+        """The article with furniture between its paragraphs, some of it a named paragraph or list only."""
+        r = self.rng
+        for kind in ("advert", "side", "form", "menu", "notice", "comments"):
+            for _ in range(r.choice([0, 0, 0, 1, 1, 2]) if kind in ("advert", "side") else r.random() < 0.2):
+                cut = inner.find("<p>", r.randint(0, max(0, len(inner) - 1)))
+                where = cut if cut >= 0 and kind != "comments" else len(inner)
+                if kind in ("advert", "side") and r.random() < 0.25:
+                    piece = r.choice([f"<p {self.name(kind)}>{self.sentences(1, 2)}</p>", self.items(1, 4).replace("<ul", f"<ul {self.name(kind)}")])
+                else:
+                    piece = self.furniture(kind)
+                inner = inner[:where] + piece + inner[where:]
+        return inner
+
+    def plain(self, inner: str) -> str:
+        """The article in elements that say nothing, or in none."""
+        for _ in range(self.rng.choice([0, 0, 1, 2, 3])):
+            inner = f"<div>{inner}</div>"
+        return inner
+
     def page(self) -> str:
         r = self.rng
         before = [k for k, p in (("notice", 0.3), ("header", 0.5), ("menu", 0.7), ("advert", 0.4), ("form", 0.2), ("side", 0.15)) if r.random() < p]
@@ -120,21 +153,25 @@ class _Maker:
         r.shuffle(before)
         r.shuffle(after)
         inner = _marked(self.article())
-        for kind in ("advert", "side", "form", "comments"):
-            if r.random() < 0.12:
-                cut = inner.find("<p>", r.randint(0, max(0, len(inner) - 1)))
-                where = cut if cut >= 0 and kind != "comments" else len(inner)
-                inner = inner[:where] + self.furniture(kind) + inner[where:]
-        main = self.box("article", ("article", "article", "main"), inner)
+        if r.random() < 0.04:  # text and nothing else
+            return MARK + re.sub("<[^>]*>", " ", self.prose(1, 3))
+        if r.random() < 0.7:
+            inner = self.interrupted(inner)
+        main = self.plain(inner) if r.random() < 0.15 else self.box("article", ("article", "article", "main"), inner)
         if r.random() < 0.3:
             main = f"<main>{main}{self.furniture('comments') if r.random() < 0.2 else ''}</main>"
+        if r.random() < 0.2:
+            main = f'<div class="{r.choice([*LAYOUT, *BESIDE])}">{main}{self.furniture("side") if r.random() < 0.3 else ""}</div>'
         title = self.words(2, 8)
         body = "".join(map(self.furniture, before)) + main + "".join(map(self.furniture, after)) + (self.furniture("footer") if r.random() < 0.85 else "")
-        if r.random() < 0.3:
-            body = f'<div class="{r.choice(["page", "wrapper", "container", "layout"])}">{body}</div>'
-        if r.random() < 0.1:  # a fragment: no wrapper, perhaps nothing but the article
-            return body if r.random() < 0.5 else main
-        return f"<!DOCTYPE html><html><head><title>{title}</title></head><body>{body}</body></html>"
+        if r.random() < 0.4:
+            body = f'<div class="{" ".join(r.sample([*LAYOUT, *BESIDE], r.randint(1, 2)))}">{body}</div>'
+        if r.random() < 0.06:
+            body = f'<form id="{r.choice(["form", "page-form", "main-form"])}" method="post">{body}</form>'
+        if r.random() < 0.25:  # a fragment: no wrapper, perhaps nothing but the article
+            return body if r.random() < 0.4 else main
+        head = f' class="{" ".join(r.sample(BESIDE, 2))}"' if r.random() < 0.2 else ""
+        return f"<!DOCTYPE html><html><head><title>{title}</title></head><body{head}>{body}</body></html>"
 
 
 def _marked(fragment: str) -> str:
