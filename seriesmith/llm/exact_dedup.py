@@ -2,9 +2,9 @@
 
 DataFrame functions only. One pass writes (id, points, hash) of each row; groups, the row that stays
 and the group sizes come from that narrow table. The bytes of the rows in groups are then held against
-those of the row that stays, in a join by hash in which a large group is salted; a hash under which
-texts differ is taken apart by the texts themselves. So no text is a grouping key, and the texts are
-shuffled once, to the hashes of groups; those of groups once more, to the row that stays.
+one text that stays, in a join by hash in which a large group is salted by row; a hash under which
+texts differ, next to never any, is taken apart by the texts themselves. Otherwise no text is a grouping
+key, and the texts are shuffled once, to the hashes of groups; those of groups once more, to the text that stays.
 """
 
 from __future__ import annotations
@@ -49,12 +49,13 @@ def _decisions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = texts.withColumn("text_sha256", F.sha2("norm", 256)).withColumn("content_hash", _content_hash(F.col("text_sha256")))
     rows = materialize(texts.drop("norm"), "exact-dedup")
     several = materialize(rows.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")).where("n > 1"), "exact-dedup")
-    # bytes: every row of a group against the row that stays, which is copied once for each salt
+    # bytes: every row of a group against one text of it, which is copied once for each salt
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    members = join_shuffled(texts.drop("text_sha256"), several, ["content_hash"]).withColumn("salt", F.pmod(F.xxhash64("k_id", "k_a"), salts).cast("int"))
+    members = join_shuffled(texts.drop("text_sha256"), several, ["content_hash"]).withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
     members = materialize(members.drop(*ROW_KEY), "exact-dedup")
-    chosen = members.where(F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.less")))
-    chosen = chosen.select("content_hash", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("other")).distinct()
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.less")))
+    one = stays.groupBy("content_hash").agg(F.min("norm").alias("other"), F.first("n").alias("n"))  # rows that repeat the one that stays become one before they are copied
+    chosen = one.select("content_hash", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "other")
     compared = join_shuffled(members.select("content_hash", "salt", "norm"), chosen, ["content_hash", "salt"])
     mixed = materialize(compared.where("norm <> other").select("content_hash").distinct(), "exact-dedup")
     # a hash under which texts differ: next to never any row

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmith.llm.common import join_dealt, join_shuffled, materialize, read_table
-from seriesmith.llm.unit_cache import per_worker
+from seriesmith.llm.unit_cache import newest_per_worker
 
 WINDOW = 50
 #: Words of the runs among whose hashes a window's minimizer is chosen.
@@ -343,7 +343,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, id_col: str =
         return [*shards, SuffixAutomaton(some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = per_worker(("reference", name), automata)  # built once a worker
+        shards = newest_per_worker("reference", name, automata)  # built once a worker
         for batch in batches:
             total, removed, kept = [], [], []
             for text in batch.column(1).to_pylist():

@@ -25,6 +25,15 @@ def per_worker(key: tuple, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def newest_per_worker(kind: str, name: str, make: Callable[[], object]) -> object:
+    """As per_worker, but of a kind only the object of the last name is held: large ones of past jobs are let go."""
+    slot = per_worker((kind,), dict)
+    if name not in slot:
+        slot.clear()
+        slot[name] = make()
+    return slot[name]
+
+
 class UnitCache:
     """Maps units to bytes; what was not used for a generation is forgotten, and long units at once."""
 
