@@ -156,9 +156,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     texts are allowed: a null text is an empty payload, a null id is never referred to.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= LEAST_REVISIT, F.sha2("payload", 256)))
-    several = rows.where("sha is not null").groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
+    long = F.octet_length("payload") >= LEAST_REVISIT
+    small = rows.where(~long).withColumn("refers_to", F.lit(None).cast(rows.schema["page_id"].dataType))  # never a revisit, and not shuffled
+    rows = rows.where(long).withColumn("sha", F.sha2("payload", 256))
+    several = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null")
     dealt = join_dealt(rows, several.select("sha", "last"), ["sha"], "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    dealt = dealt.unionByName(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
