@@ -15,7 +15,7 @@ common prefixes give what each suffix shares with its neighbours).
 4. A minimizer with more bytes than a task should sort has its windows counted by 128-bit hashes.
 5. A last pass over the texts removes what repeated strings cover.
 
-Texts are shuffled once; both passes over them read the same exchange. Stretches are equal where the
+Texts are shuffled once; all later passes over them read the same exchange. Stretches are equal where the
 64 bits of their minimizer and 64 bits of their bytes are.
 """
 
@@ -122,10 +122,10 @@ def _wanted_bytes(window: int):
                 text = text.as_py()
                 for w in wanted:
                     rows.append(i)
-                    out.append((w["at"], w["m"], w["several"], w["crowded"], text[w["at"] : w["at"] + w["size"] + window - 1]))
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+                    out.append((w["at"], w["m"], w["several"], text[w["at"] : w["at"] + w["size"] + window - 1]))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             columns = list(zip(*out)) or [()] * len(types)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types))], ["doc", "at", "m", "several", "crowded", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types))], ["doc", "at", "m", "several", "bytes"])
 
     return run
 
@@ -174,11 +174,14 @@ def _shards(window: int, shard_bytes: int):
 def _window_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (at, several, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
-                n = len(text) - window + 1
-                sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + window]) for k in range(n)), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-                columns = [pa.array(np.arange(at, at + n)), pa.array([several] * n), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), *columns], ["doc", "at", "several", "a", "b"])
+            for i, (text, wanted) in enumerate(zip(batch.column(1), batch.column(2).to_pylist())):
+                text = text.as_py()
+                for w in wanted:
+                    at = np.arange(w["at"], w["at"] + w["size"])
+                    n = len(at)
+                    sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + window]) for k in at.tolist()), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+                    columns = [pa.array(at), pa.array([w["several"]] * n), pa.array(np.ascontiguousarray(sums[:, 0])), pa.array(np.ascontiguousarray(sums[:, 1]))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), *columns], ["doc", "at", "several", "a", "b"])
 
     return run
 
@@ -229,15 +232,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shards = pieces.groupBy("m").agg(F.count(F.lit(1)).alias("different"), held.alias("held"), F.max("inside").alias("inside"))
     shards = materialize(shards.where("different > 1 or inside").select("m", (F.col("held") > crowded_bytes).alias("crowded")), "stretches")
     wanted = join_dealt(pieces.select("m", "one", (F.col("n") > 1).alias("several")), shards, ["m"])
-    wanted = wanted.groupBy("one.doc").agg(F.collect_list(F.struct("one.at", F.col("one.size").cast("int").alias("size"), "m", "several", "crowded")).alias("wanted"))
-    sent = texts.join(wanted.hint("merge"), "doc").mapInArrow(_wanted_bytes(window), f"{doc}, at long, m long, several boolean, crowded boolean, bytes binary")
-    crowds = not shards.where("crowded").isEmpty()
-    sent = materialize(sent, "stretches") if crowds else sent
-    dealt = sent.where("not crowded").select("doc", "at", "m", "several", "bytes").repartition("m").sortWithinPartitions("m")
+
+    def read(some: DataFrame, run, columns: str) -> DataFrame:
+        """The bytes of stretches, from their texts; every call reads the same exchange of the texts."""
+        by_doc = some.groupBy("one.doc").agg(F.collect_list(F.struct("one.at", F.col("one.size").cast("int").alias("size"), "m", "several")).alias("wanted"))
+        return texts.join(by_doc.hint("merge"), "doc").mapInArrow(run, f"{doc}, at long, {columns}")
+
+    sent = read(wanted.where("not crowded"), _wanted_bytes(window), "m long, several boolean, bytes binary")
+    dealt = sent.repartition("m").sortWithinPartitions("m")
     marks = dealt.mapInArrow(_shards(window, shard_bytes), f"{doc}, at long, size long")
     marks = marks.unionByName(join_dealt(shared, pieces.where("n > 1").select("m", "s"), ["m", "s"]).select("doc", "at", F.col("size").cast("long").alias("size")))
-    if crowds:
-        windows = sent.where("crowded").select("doc", "at", "several", "bytes").mapInArrow(_window_rows(window), f"{doc}, at long, several boolean, a long, b long")
+    if not shards.where("crowded").isEmpty():
+        windows = read(wanted.where("crowded"), _window_rows(window), "several boolean, a long, b long")
         seen = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
         marks = marks.unionByName(join_dealt(windows.where("not several"), seen, ["a", "b"]).select("doc", "at", F.lit(1).cast("long").alias("size")))
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
