@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seriesmith.queries import chain_sql, files, pictures, relations, scoring, text, variants  # noqa: F401
+    from seriesmith.queries import chain_sql, files, more, pictures, relations, scoring, text, variants  # noqa: F401
 
     _SQL.update(chain_sql.ORACLES)
 

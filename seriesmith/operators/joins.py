@@ -78,6 +78,30 @@ def containing_segment(frames: DataFrame, segments: DataFrame) -> DataFrame:
     return both.withColumn("seg", F.when(F.col("_h.end") >= F.col("frame"), F.col("_h.seg"))).drop("_s", "_side", "_h")
 
 
+def containing_segments(frames: DataFrame, segments: DataFrame, how: str = "inner") -> DataFrame:
+    """Each frame with every segment [start, end] that holds it: segments may nest and overlap.
+
+    Bins instead of an inequality join. A segment's bins are as wide as the next power of two above its
+    length, so it lies in two of them at most, long or short; a frame looks into one bin for each
+    width that its run has. ``how`` "left" keeps frames that no segment holds, with nulls. Segments that
+    end before they start hold nothing. Segments have run_id, start, end and what is to be added to frames.
+    """
+    added = [c for c in segments.columns if c not in ("run_id", "start", "end")]
+    bits = lambda n: F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
+    held = segments.where("start <= end").withColumn("_level", bits(F.col("end").cast("long") - F.col("start").cast("long") + 1))
+    bin_of = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), _level)")  # noqa: E731  rounds down, below zero too
+    held = held.select("run_id", "_level", F.explode(F.array_distinct(F.array(bin_of("start"), bin_of("end")))).alias("_bin"), F.struct("start", "end", *added).alias("_s"))
+    levels = held.groupBy("run_id").agg(F.collect_set("_level").alias("_levels"))
+    spread = frames.join(levels, "run_id").withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_bin", bin_of("frame"))
+    hits = spread.join(held, ["run_id", "_level", "_bin"]).where(F.col("frame").between(F.col("_s.start"), F.col("_s.end")))
+    out = hits.select(*frames.columns, *[F.col(f"_s.{c}") for c in added])
+    if how == "inner":
+        return out
+    none = [F.lit(None).cast(segments.schema[c].dataType).alias(c) for c in added]
+    alone = frames.join(out.select("run_id", "frame").distinct(), ["run_id", "frame"], "left_anti")
+    return out.unionByName(alone.select(*frames.columns, *none))
+
+
 def overlay(segments: DataFrame, edits: DataFrame) -> DataFrame:
     """Segments with the user's values in place; edits of segments that do not exist are ignored."""
     last = edits.select("run_id", "seg", F.col("value").alias("_e"))

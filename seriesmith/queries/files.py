@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from seriesmith.catalog import query
 from seriesmith.operators import series
 from seriesmith.plans.adapters import READINGS_SQL, readings
-from seriesmith.sources import frames, logs
+from seriesmith.queries.pictures import PX_SQL, stored_frames
+from seriesmith.sources import logs, pictures
 from seriesmith.streaming import segmenter, windows
 
 
 def scratch(spark, label: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
+    """A new path in the folder that driver and executors share.
+
+    Only on a local master is a temporary folder set where the session names none.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -61,18 +67,27 @@ def series_json(spark, sf_dir):
     )
     path = scratch(spark, "series")
     doc.write.json(path)
-    # one document a line here; a file with one document over several lines is read the same way
-    schema = "video string, segments array<struct<rep:int,mid:int,len:int,raw:int,corr:int,truth:int>>"
-    return spark.read.schema(schema).json(path).select(F.col("video").alias("run"), F.posexplode("segments").alias("seg", "s")).select("run", "seg", "s.mid", "s.len", "s.raw", "s.truth")
+    return logs.read_series_json(spark, path, multi_line=False).select("run", "seg", "mid", "len", "raw", "truth")
+
+
+_FRAMES_SQL = f"{PX_SQL}, f AS (SELECT label AS run_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame, px FROM v)"
+
+
+@query("stored_pictures", f"WITH {_FRAMES_SQL} SELECT run_id, frame, 8 AS h, 8 AS w, array_to_string(px, ' ') AS px FROM f")
+def stored_pictures(spark, sf_dir):
+    """Written as NPY stacks and read again."""
+    pictures.write_pictures(stored_frames(spark, sf_dir), path := scratch(spark, "pictures"))
+    return pictures.read_pictures(spark, path).withColumn("px", F.array_join(F.col("px").cast("array<string>"), " "))
 
 
 @query(
-    "frames_source",
-    "SELECT r AS run_id, f AS frame, CAST(60 + f // 3 + r AS INTEGER) AS speed FROM range(2) a(r) CROSS JOIN range(10, 40) b(f)",
+    "cropped_pictures",
+    f"""WITH {_FRAMES_SQL} SELECT run_id, frame, 5 AS h, 4 AS w, array_to_string(list_transform(range(0, 20), lambda i: px[(i // 4 + 2) * 8 + i % 4 + 4]), ' ') AS px FROM f WHERE frame >= 3""",
 )
-def frames_source(spark, sf_dir):
-    frames.register(spark)
-    return spark.read.format("frames").option("runs", 2).option("frames", 60).load().where("frame >= 10 and frame < 40").select("run_id", F.col("frame").cast("long").alias("frame"), "speed")
+def cropped_pictures(spark, sf_dir):
+    """A box of every picture exported as PNG, and those after the first three read again."""
+    pictures.write_pictures(pictures.crop(stored_frames(spark, sf_dir), 2, 3, 5, 4), path := scratch(spark, "crops"), "png")
+    return pictures.read_pictures(spark, path).where("frame >= 3").withColumn("px", F.array_join(F.col("px").cast("array<string>"), " "))
 
 
 @query(

@@ -17,6 +17,12 @@ def _pictures(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", px.alias("px"))
 
 
+def stored_frames(spark, sf_dir):
+    """The pictures as rows of schemas.FRAMES: a run a label, frames in the order of the ids."""
+    frame = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("frame")
+    return _pictures(spark, sf_dir).select(F.col("label").cast("long").alias("run_id"), frame, F.lit(8).alias("h"), F.lit(8).alias("w"), "px")
+
+
 def _text(a):
     return F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
 
@@ -37,18 +43,6 @@ def otsu_thresholds(spark, sf_dir):
     return pixels.otsu(_pictures(spark, sf_dir), ["label"])
 
 
-@query(
-    "calibration_threshold",
-    f"""WITH {PX_SQL}, u AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, list_avg(px) AS m FROM v)
-SELECT label, CAST(trunc(median(m)) AS INTEGER) AS threshold FROM u WHERE rn <= 50 GROUP BY label""",
-)
-def calibration_threshold(spark, sf_dir):
-    mean = F.aggregate("px", F.lit(0.0), lambda a, x: a + x) / F.size("px")
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    df = _pictures(spark, sf_dir).select("label", mean.alias("m"), rn.alias("rn")).where("rn <= 50")
-    return df.groupBy("label").agg(F.percentile("m", F.lit(0.5)).cast("int").alias("threshold"))
-
-
 @query(
     "calibration_otsu",
     f"""WITH {PX_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v), u AS (SELECT label, vec_id, unnest(px) AS bin FROM f WHERE rn <= 50),
@@ -59,7 +53,7 @@ o AS (SELECT label, vec_id, coalesce(arg_max(bin, {{'v': round(var, 4), 'b': -bi
 SELECT label, CAST(trunc(median(threshold)) AS INTEGER) AS threshold FROM o GROUP BY label""",
 )
 def calibration_otsu(spark, sf_dir):
-    """Each picture's Otsu threshold; calibration_threshold takes mean grays."""
+    """The median of the first pictures' Otsu thresholds."""
     return pixels.calibration(_pictures(spark, sf_dir), "label", "vec_id")
 
 
@@ -88,18 +82,6 @@ def change_windows(spark, sf_dir):
     return pixels.window_sum_max(rows, "mask", "w").select("vec_id", "change", (F.col("change") >= 5).alias("boundary"))
 
 
-@query(
-    "gray_and_gamma",
-    f"""WITH {PX_SQL} SELECT vec_id, array_to_string(list_transform(px[1:16], lambda x: CAST(floor(255 * pow(x / 255.0, 2.0) + 1e-9) AS INTEGER)), ' ') AS gamma,
-array_to_string(list_transform(px[1:16], lambda y: CAST(least(greatest(floor((y - 16) * 255 / 219.0 + 0.5), 0), 255) AS INTEGER)), ' ') AS full_range,
-array_to_string(list_transform(range(1, 17), lambda i: CAST(floor(px[i] * 0.299::DOUBLE + px[i + 16] * 0.587::DOUBLE + px[i + 32] * 0.114::DOUBLE) AS INTEGER)), ' ') AS gray FROM v""",
-)
-def gray_and_gamma(spark, sf_dir):
-    part = lambda a: F.slice("px", a, 16)
-    g = F.transform(part(1), lambda x: F.floor(F.lit(255.0) * F.pow(x / F.lit(255.0), F.lit(2.0)) + 1e-9).cast("int"))
-    return _pictures(spark, sf_dir).select("vec_id", _text(g).alias("gamma"), _text(pixels.expand_range(part(1))).alias("full_range"), _text(pixels.gray(part(1), part(17), part(33))).alias("gray"))
-
-
 @query(
     "whole_gray_and_gamma",
     f"""WITH {PX_SQL}, g AS (SELECT *, list_transform(px, lambda x: CAST(floor(255 * pow(x / 255.0, 2.0)) AS INTEGER)) AS gm FROM v)
@@ -151,9 +133,3 @@ def histogram_equalised(spark, sf_dir):
     h = _pictures(spark, sf_dir).select("label", F.explode("px").alias("bin")).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("label")
     return h.select("label", "bin", F.floor(255.0 * F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).cast("int").alias("value"))
-
-
-@query("window_schemes", "SELECT c AS centre, c - 20 AS low, c + 20 AS high FROM (SELECT unnest(range(255, 214, -10)) AS c)")
-def window_schemes(spark, sf_dir):
-    c = spark.range(1).select(F.explode(F.sequence(F.lit(255), F.lit(215), F.lit(-10))).alias("centre"))
-    return c.select("centre", (F.col("centre") - 20).alias("low"), (F.col("centre") + 20).alias("high"))

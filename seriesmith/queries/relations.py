@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesmith.catalog import query
 from seriesmith.operators import evaluation, joins, series
 from seriesmith.plans.adapters import READINGS_SQL, readings, table
+from seriesmith.sources import logs
 from seriesmith.queries.scoring import CONFIDENCE_SQL, DETECT_SQL
 
 
@@ -36,7 +37,7 @@ def labelled_documents(spark, sf_dir):
 
 @query("orphan_documents", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def orphan_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return logs.orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("semi_join_orders", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")
@@ -47,13 +48,14 @@ def semi_join_orders(spark, sf_dir):
 
 @query(
     "full_outer_counts",
-    """SELECT coalesce(a.k, b.k) AS k, a.n AS suppliers, b.n AS customers FROM (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey < 15 GROUP BY 1) a
-FULL JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey > 5 GROUP BY 1) b ON a.k = b.k""",
+    """SELECT coalesce(a.k, b.k) AS k, orders, shipments FROM (SELECT o_orderdate AS k, count(*) AS orders FROM orders GROUP BY 1) a
+FULL JOIN (SELECT l_shipdate AS k, count(*) AS shipments FROM lineitem GROUP BY 1) b ON a.k = b.k""",
 )
 def full_outer_counts(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").where("s_nationkey < 15").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = table(spark, sf_dir, "customer").where("c_nationkey > 5").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
-    return a.join(b, "k", "full").select("k", "suppliers", "customers")
+    """By day: the last days have shipments and no orders, the first ones the reverse."""
+    a = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("k")).agg(F.count(F.lit(1)).alias("orders"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").alias("k")).agg(F.count(F.lit(1)).alias("shipments"))
+    return a.join(b, "k", "full").select("k", "orders", "shipments")
 
 
 @query(
@@ -68,65 +70,38 @@ def edits_overlay(spark, sf_dir):
     return joins.overlay(df.select("run_id", "seg", F.col("raw").alias("value")), edits)
 
 
-_CURVES = """
-o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, o_totalprice AS x FROM orders),
-q AS (SELECT o_custkey % 50 AS k, round(o_totalprice, -3) AS x, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)"""
-
-
 #: The right curve of every order.
-_WHOLE_CURVES = """
+_CURVES = """
 o AS (SELECT o_custkey % 50 AS k, o_orderkey AS id, o_totalprice AS x FROM orders),
 q AS (SELECT o_custkey % 50 AS k, round(o_totalprice, -3) AS x, max(o_orderkey) AS v FROM orders GROUP BY 1, 2)"""
 
 
-def _curves(spark, sf_dir, kept="o_orderkey % 7 = 0"):
+def _curves(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 50)
     left = o.select("k", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"))
-    right = o.where(kept).groupBy("k", F.round("o_totalprice", -3).alias("x")).agg(F.max("o_orderkey").alias("v"))
+    right = o.groupBy("k", F.round("o_totalprice", -3).alias("x")).agg(F.max("o_orderkey").alias("v"))
     return left, right
 
 
-@query(
-    "interpolation_join",
-    f"""WITH {_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
-n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
-SELECT k, id, round(CASE WHEN px = x THEN pv WHEN px IS NULL THEN nv WHEN nx IS NULL THEN pv ELSE pv + (nv - pv) * CASE WHEN nx - px > 1e-3 THEN (x - px) / (nx - px) ELSE 0.5 END END + 1e-7, 4) AS v FROM n""",
-)
-def interpolation_join(spark, sf_dir):
-    left, right = _curves(spark, sf_dir)
-    return joins.interpolate_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.round(F.col("out") + 1e-7, 4).alias("v"))
-
-
-@query(
-    "nearest_join",
-    f"""WITH {_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
-n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
-SELECT k, id, CAST(CASE WHEN px = x OR nx IS NULL OR abs(px - x) < abs(nx - x) THEN pv ELSE nv END AS DOUBLE) AS v FROM n""",
-)
-def nearest_join(spark, sf_dir):
-    left, right = _curves(spark, sf_dir)
-    return joins.nearest_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.col("out").alias("v"))
-
-
 @query(
     "whole_interpolation_join",
-    f"""WITH {_WHOLE_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
+    f"""WITH {_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
 n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
 SELECT k, id, round(CASE WHEN px = x THEN pv WHEN px IS NULL THEN nv WHEN nx IS NULL THEN pv ELSE pv + (nv - pv) * CASE WHEN nx - px > 1e-3 THEN (x - px) / (nx - px) ELSE 0.5 END END + 1e-7, 4) AS v FROM n""",
 )
 def whole_interpolation_join(spark, sf_dir):
-    left, right = _curves(spark, sf_dir, "true")
+    left, right = _curves(spark, sf_dir)
     return joins.interpolate_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.round(F.col("out") + 1e-7, 4).alias("v"))
 
 
 @query(
     "whole_nearest_join",
-    f"""WITH {_WHOLE_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
+    f"""WITH {_CURVES}, p AS (SELECT o.*, q.x AS px, q.v AS pv FROM o ASOF LEFT JOIN q ON o.k = q.k AND o.x >= q.x),
 n AS (SELECT p.*, q.x AS nx, q.v AS nv FROM p ASOF LEFT JOIN q ON p.k = q.k AND p.x <= q.x)
 SELECT k, id, CAST(CASE WHEN px = x OR nx IS NULL OR abs(px - x) < abs(nx - x) THEN pv ELSE nv END AS DOUBLE) AS v FROM n""",
 )
 def whole_nearest_join(spark, sf_dir):
-    left, right = _curves(spark, sf_dir, "true")
+    left, right = _curves(spark, sf_dir)
     return joins.nearest_onto(left, right, ["k"], "x", "v", "out").select("k", "id", F.col("out").alias("v"))
 
 
@@ -319,10 +294,10 @@ def keys_in_both(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("keys_missing", "SELECT c_nationkey AS k FROM customer WHERE c_nationkey <= 20 EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey >= 7")
+@query("keys_missing", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def keys_missing(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_nationkey <= 20").select(F.col("c_nationkey").alias("k"))
-    return c.subtract(table(spark, sf_dir, "supplier").where("s_nationkey >= 7").select(F.col("s_nationkey").alias("k")))
+    """Customers who ordered nothing."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("keys_of_either", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")

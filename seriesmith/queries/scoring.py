@@ -369,18 +369,6 @@ def rebuilt_curve(spark, sf_dir):
     return sections.apply_rebuilt(sections.reconstruct(df, trusted), 5.0).select("run_id", "seg", F.round("rebuilt", 6).alias("rebuilt"), "patched")
 
 
-@query(
-    "median_of_pairs",
-    f"""WITH {READINGS_SQL}, p AS (
-  SELECT m.run_id, m.seg, a.raw + (b.raw - a.raw) * CASE WHEN b.mid - a.mid > 1e-3 THEN (m.mid - a.mid)::DOUBLE / (b.mid - a.mid) ELSE 0.5 END AS v
-  FROM r m JOIN r a ON a.run_id = m.run_id AND a.seg BETWEEN m.seg - 5 AND m.seg - 1 AND a.raw IS NOT NULL AND abs(a.mid - m.mid) <= 60
-           JOIN r b ON b.run_id = m.run_id AND b.seg BETWEEN m.seg + 1 AND m.seg + 5 AND b.raw IS NOT NULL AND abs(b.mid - m.mid) <= 60)
-SELECT r.run_id, r.seg, round(median(v) + 1e-7, 4) AS expected FROM r LEFT JOIN p USING (run_id, seg) GROUP BY r.run_id, r.seg""",
-)
-def median_of_pairs(spark, sf_dir):
-    return joins.median_of_pairs(readings(spark, sf_dir), 60, 5).select("run_id", "seg", F.round(F.col("expected") + 1e-7, 4).alias("expected"))
-
-
 @query(
     "median_of_all_pairs",
     f"""WITH {READINGS_SQL}, p AS (
@@ -390,7 +378,7 @@ def median_of_pairs(spark, sf_dir):
 SELECT r.run_id, r.seg, round(median(v) + 1e-7, 4) AS expected FROM r LEFT JOIN p USING (run_id, seg) GROUP BY r.run_id, r.seg""",
 )
 def median_of_all_pairs(spark, sf_dir):
-    """All pairs of the window; median_of_pairs sees five rows a side."""
+    """All pairs of the window."""
     return joins.median_of_pairs(readings(spark, sf_dir), 60).select("run_id", "seg", F.round(F.col("expected") + 1e-7, 4).alias("expected"))
 
 

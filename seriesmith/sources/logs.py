@@ -79,10 +79,10 @@ def read_named(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     return df.select(*[(F.col(c).try_cast("double") if c in df.columns else F.lit(None).cast("double")).alias(c) for c in wanted])
 
 
-def read_series_json(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded series: one JSON document per run with an array of segments."""
+def read_series_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Recorded series: one JSON document per run with an array of segments; over several lines, or one a line."""
     schema = "video string, version string, tol double, segments array<struct<rep:int,mid:int,len:int,raw:int,corr:int,truth:int>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
+    docs = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return docs.select(F.col("video").alias("run"), "version", "tol", F.posexplode("segments").alias("seg", "s")).select("run", "version", "tol", "seg", "s.*")
 
 
@@ -114,9 +114,9 @@ def write_baseline(result: DataFrame, path: str, tolerance: float, version: str)
     result.withColumn("tol", F.lit(float(tolerance))).withColumn("version", F.lit(version)).write.mode("overwrite").json(path)
 
 
-def read_baseline(spark: SparkSession, path: str, tolerance: float) -> DataFrame:
+def read_baseline(spark: SparkSession, path: str, tolerance: float, run_type: str = "long") -> DataFrame:
     """The rows of a baseline; raises ValueError if it holds for another tolerance."""
-    schema = "run_id long, seg long, raw long, fix long, fix_wrong long, missed long, harm long, final long, tol double, version string"
+    schema = f"run_id {run_type}, seg long, raw long, fix long, fix_wrong long, missed long, harm long, final long, tol double, version string"
     df = spark.read.schema(schema).json(path)
     if df.where(F.col("tol") != tolerance).limit(1).count():
         raise ValueError(f"the baseline was made for another tolerance than {tolerance}")

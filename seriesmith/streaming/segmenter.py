@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "run_id long, seg int, start int, end int, n int, rep int, value int"
+#: Columns beside the run id, which is of any type.
+OUTPUT = "seg int, start int, end int, n int, rep int, value int"
 STATE = "seg int, start int, end int, n int, rep int, sharp double, value int"
 
 
@@ -46,4 +47,4 @@ def close_segments(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
 
 def segment_stream(frames: DataFrame) -> DataFrame:
     """frames: run_id, frame, value, sharp, last. The same rows batch or stream."""
-    return frames.groupBy("run_id").applyInPandasWithState(close_segments, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("run_id").applyInPandasWithState(close_segments, f"run_id {frames.schema['run_id'].dataType.simpleString()}, {OUTPUT}", STATE, "append", GroupStateTimeout.NoTimeout)

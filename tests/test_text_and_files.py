@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesmith.functions import recognise, text
 from seriesmith.operators import joins, pixels
-from seriesmith.sources import frames, logs
+from seriesmith.sources import logs, pictures
 from seriesmith.streaming import segmenter
 
 
@@ -91,14 +91,6 @@ def test_series_json_and_dictionary(spark, tmp_path):
     assert [tuple(r) for r in logs.read_dictionary(spark, str(tmp_path / "d.txt")).orderBy("idx").collect()] == [(0, "blank"), (1, "a"), (2, "b"), (3, " ")]
 
 
-def test_frames_source_pushes_the_range_down(spark):
-    frames.register(spark)
-    df = spark.read.format("frames").option("frames", 60).load().where("frame >= 20 and frame < 30 and speed > 0")
-    assert sorted(r["frame"] for r in df.collect()) == list(range(20, 30))
-    reader = frames.FramesReader({"frames": "100", "start": "10", "end": "0"})
-    assert (reader.start, reader.end) == (10, 100)
-
-
 def test_ctc(spark):
     chars = F.array(*[F.lit(c) for c in ("blank", "1", "2")])
     got = spark.range(1).select(text.ctc_decode(F.array(*map(F.lit, (1, 1, 0, 1, 2))), F.array(*map(F.lit, (0.5, 0.9, 0.9, 0.7, 0.9))), chars).alias("d")).first()["d"]
@@ -168,9 +160,9 @@ def test_stream_of_frames_in_two_batches(spark, tmp_path):
 
 def test_split_frames():
     frames_ = list(range(100))
-    assert frames.split_frames(frames_, 10, 0.55) == (frames_[10:55], frames_[55:])
-    assert frames.split_frames(frames_[:30], 50, 0.55) == ([], [])
-    assert frames.split_frames(frames_, 40, 0.1) == ([], frames_[40:])
+    assert pictures.split_frames(frames_, 10, 0.55) == (frames_[10:55], frames_[55:])
+    assert pictures.split_frames(frames_[:30], 50, 0.55) == ([], [])
+    assert pictures.split_frames(frames_, 40, 0.1) == ([], frames_[40:])
 
 
 def test_baseline_round_trip(spark, tmp_path):
