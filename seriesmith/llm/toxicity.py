@@ -37,11 +37,6 @@ LEAST_LIFT = 1.5
 L1 = 0.002
 L2 = 0.00001
 COUNTERFACTUAL = 1.0
-#: Labelled sentences that are varied, by the least hash: those that hold a term first. A text gives all
-#: of those that hold one, and else the one of least hash.
-SENTENCES = 4000
-#: Labelled texts that are copied with another identity term and their label.
-COPIES = 2000
 #: Weight of the squares of the identity terms' weights.
 L2_TERMS = 0.001
 STEPS = 120
@@ -98,48 +93,65 @@ def _other(rng: random.Random, term: str) -> str:
     return rng.choice([t for t in KIND_OF[term] if t != term])
 
 
-def _variants(sentences: list[list[str]], limit: int, seed: int) -> list[tuple[set, set]]:
-    """Pairs of word sets that a fair score does not tell apart."""
-    rng, out = random.Random(seed), []
-    having = [s for s in sentences if not KIND_OF.keys().isdisjoint(s)]
-    others = [s for s in sentences if KIND_OF.keys().isdisjoint(s)]
-    rng.shuffle(having)
-    rng.shuffle(others)
-    for s in having[:limit]:
-        at = rng.choice([k for k, w in enumerate(s) if w in KIND_OF])
-        out.append((features_of(s), features_of([*s[:at], _other(rng, s[at]), *s[at + 1 :]])))
-        out.append((features_of(s), features_of([*s[:at], *s[at + 1 :]])))
-    for s in others[: max(0, limit - len(having))]:
+#: Features that only the one and only the other of two word sets have.
+Pair = tuple[frozenset[str], frozenset[str]]
+
+
+def variants(sentence: list[str], seed: int = SEED) -> list[Pair]:
+    """Pairs of word sets that a fair score does not tell apart, as their differences.
+
+    An identity term is swapped for another one of its kind, and left out; into a sentence without
+    one, two of a kind are put in. Which ones follows from the sentence alone.
+    """
+    if not sentence:
+        return []
+    rng = random.Random(zlib.crc32(" ".join(sentence).encode()) ^ seed)
+    terms = [k for k, w in enumerate(sentence) if w in KIND_OF]
+    own = features_of(sentence)
+    if terms:
+        at = rng.choice(terms)
+        rest = [*sentence[:at], *sentence[at + 1 :]]
+        sets = [(own, features_of([*rest, _other(rng, sentence[at])])), (own, features_of(rest))]
+    else:
         a, b = rng.sample(rng.choice(IDENTITY_TERMS), 2)
-        out.append((features_of([*s, a]), features_of([*s, b])))
-        out.append((features_of(s), features_of([*s, a])))
-    return out
+        sets = [(own | features_of([a]), own | features_of([b])), (own, own | features_of([a]))]
+    return [(frozenset(x - y), frozenset(y - x)) for x, y in sets]
+
 
+def _written(pair: Pair) -> str:
+    return " ".join(sorted(pair[0])) + "|" + " ".join(sorted(pair[1]))
 
-def _copies(word_sets: list[set[str]], labels: list[int], limit: int, seed: int) -> tuple[list[set[str]], list[int]]:
-    """Labelled texts once more with their labels: identity terms swapped, or one put in where there is none."""
+
+def _read(text: str) -> Pair:
+    return tuple(frozenset(side.split()) for side in text.split("|"))
+
+
+def _copies(word_sets: list[set[str]], seed: int) -> list[set[str]]:
+    """Every text once more: identity terms swapped, or one put in where there is none."""
     rng = random.Random(seed + 1)
-    chosen = rng.sample(range(len(labels)), min(limit, len(labels)))
     out = []
-    for k in chosen:
-        terms = sorted(w for w in word_sets[k] if w in KIND_OF)
+    for words in word_sets:
+        terms = sorted(w for w in words if w in KIND_OF)
         swapped = {t: _other(rng, t) for t in terms} or {None: rng.choice(sorted(KIND_OF))}
         gone = {f for t in terms for f in features_of([t])}
-        out.append((word_sets[k] - gone) | features_of(swapped.values()))
-    return out, [labels[k] for k in chosen]
+        out.append((words - gone) | features_of(swapped.values()))
+    return out
 
 
 def fit(
     word_sets: list[set[str]],
     labels: list[int],
-    sentences: list[list[str]] = (),
+    sentences: list[list[str]] | dict[Pair, int] = (),
     counterfactual: float = COUNTERFACTUAL,
     l1: float = L1,
     least_texts: int = LEAST_TEXTS,
     steps: int = STEPS,
     seed: int = SEED,
 ) -> ToxicModel:
-    """Fit on feature sets with labels 0 or 1. Without rows of both labels the score is one constant."""
+    """Fit on feature sets with labels 0 or 1. Without rows of both labels the score is one constant.
+
+    ``sentences`` are varied, or are counts of pairs that ``variants`` made.
+    """
     y = np.array(labels, float)
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1)
@@ -148,42 +160,44 @@ def fit(
         return ToxicModel(bias, {})
     often = Counter(w for s in word_sets for w in s)
     vocabulary = sorted(TERM_FEATURES.union(w for w, k in often.items() if k >= least_texts))
-    more, more_labels = _copies(word_sets, labels, COPIES, seed)
-    word_sets, y = [*word_sets, *more], np.array([*labels, *more_labels], float)
+    word_sets, y = [*word_sets, *_copies(word_sets, seed)], np.array([*labels, *labels], float)
     n = len(y)
     index = {w: k for k, w in enumerate(vocabulary)}
     rows = np.repeat(np.arange(n), [len(s) for s in word_sets])
     free = np.array([w in TERM_FEATURES for w in vocabulary])
     cols = np.fromiter((index.get(w, -1) for s in word_sets for w in sorted(s)), int, len(rows))
     rows, cols = rows[cols >= 0], cols[cols >= 0]
-    # each pair is the difference of two word sets: +1 and -1 at the words that only one has
-    pairs = _variants(list(sentences), SENTENCES, seed)
+    # each pair is the difference of two word sets: +1 and -1 at the words that only one has; equal ones are counted
+    counted = sentences if isinstance(sentences, dict) else Counter(pair for s in sentences for pair in variants(list(s), seed))
+    pairs = sorted(counted.items(), key=lambda x: _written(x[0]))
+    often = np.array([k for _, k in pairs], float)
     pair_rows, pair_cols, pair_signs = [], [], []
-    for k, (a, b) in enumerate(pairs):
-        for only, sign in ((a - b, 1.0), (b - a, -1.0)):
-            for w in only:
+    for k, ((one, other), _) in enumerate(pairs):
+        for only, sign in ((one, 1.0), (other, -1.0)):
+            for w in sorted(only):
                 if w in index:
                     pair_rows.append(k)
                     pair_cols.append(index[w])
                     pair_signs.append(sign)
     pr, pc, ps = np.array(pair_rows, int), np.array(pair_cols, int), np.array(pair_signs)
     d = len(vocabulary)
-    lasso, bias = _descend(rows, cols, y, (pr, pc, ps, len(pairs)), d, bias, counterfactual, l1, 0.0, steps, free)
+    lasso, bias = _descend(rows, cols, y, (pr, pc, ps, often), d, bias, counterfactual, l1, 0.0, steps, free)
     # the penalty that chose the words also shrank them: fit those again with a light one
     chosen = np.flatnonzero((np.abs(lasso) > 1e-6) | free)
     place = np.full(d, -1)
     place[chosen] = np.arange(len(chosen))
     some = place[cols] >= 0
     there = place[pc] >= 0
-    kept = (pr[there], place[pc[there]], ps[there], len(pairs))
+    kept = (pr[there], place[pc[there]], ps[there], often)
     w, bias = _descend(rows[some], place[cols[some]], y, kept, len(chosen), bias, counterfactual, 0.0, L2, 5 * steps, free[chosen])
-    touched = len(np.unique(pr[there][w[kept[1]] != 0])) / max(1, len(pairs))
+    touched = float(often[np.unique(pr[there][w[kept[1]] != 0])].sum() / max(1.0, often.sum()))
     return ToxicModel(bias, {vocabulary[k]: float(v) for k, v in zip(chosen, w) if v}, touched)
 
 
 def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps, free) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient; rows and cols say which text has which word, free which are identity terms."""
-    pr, pc, ps, n_pairs = pairs
+    pr, pc, ps, often = pairs
+    n_pairs = often.sum()
     l1, l2 = np.where(free, 0.0, l1), np.where(free, L2_TERMS, l2)
     least = np.where(free, -np.inf, 0.0)  # no other word makes a text less toxic
     n = len(y)
@@ -193,7 +207,7 @@ def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps, free)
     together = max(1.0, float(np.bincount(rows, minlength=n).max()) ** 0.5) if len(rows) else 1.0
     curve = 0.25 * np.bincount(cols, weight[rows], d) / n * together + l2 + 1e-6
     if len(pr):
-        curve += 4 * counterfactual * np.bincount(pc, minlength=d) / n_pairs
+        curve += 4 * counterfactual * np.bincount(pc, often[pr], d) / n_pairs
     w, ahead, pace = np.zeros(d), np.zeros(d), 1.0
     best, held, held_bias = np.inf, w, bias
     for _ in range(steps):
@@ -203,9 +217,9 @@ def _descend(rows, cols, y, pairs, d, bias, counterfactual, l1, l2, steps, free)
         gradient = np.bincount(cols, off[rows], d) / n + l2 * ahead
         loss = float((weight * (np.logaddexp(0, z) - y * z)).mean() + (l1 * np.abs(ahead)).sum() + (l2 / 2 * ahead**2).sum())
         if len(pr):
-            change = np.bincount(pr, ps * ahead[pc], n_pairs)
-            gradient += 2 * counterfactual * np.bincount(pc, ps * change[pr], d) / n_pairs
-            loss += counterfactual * float((change**2).mean())
+            change = np.bincount(pr, ps * ahead[pc], len(often))
+            gradient += 2 * counterfactual * np.bincount(pc, ps * (often * change)[pr], d) / n_pairs
+            loss += counterfactual * float((often * change**2).sum() / n_pairs)
         if loss < best:
             best, held, held_bias = loss, ahead, bias
         elif loss > best + 0.1 * abs(best):  # went too far: start again from the best, slower
@@ -230,7 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     Rows without a label, and labels without a text, are left out. Ids may be of any type; where one
     comes with several texts or labels, each pair is a row of its own. The sample is the rows of least
     hash. Its features are counted in Spark; the driver gets those that are in toxic texts more often
-    than others, the identity terms, and for each text which of them it has.
+    than others, the identity terms, for each text which of them it has, and how often
+    each difference between two variants of a sentence occurs.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out("id")).distinct()
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
@@ -241,15 +256,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
         for batch in batches:
             for h, text, label in zip(*(batch.column(n).to_pylist() for n in ("h", "text", "label"))):  # row by row: a long text has many words
                 text = text.lower()
-                sentences = [" ".join(_WORD.findall(s)) for s in _SENTENCE.findall(text)]
-                named = [s for s in sentences if not KIND_OF.keys().isdisjoint(s.split())]
-                some = named or sorted(filter(None, sentences), key=lambda s: zlib.crc32(s.encode()))[:1]
+                pairs = Counter(_written(pair) for s in _SENTENCE.findall(text) for pair in variants(_WORD.findall(s)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([h]), pa.array([label], pa.int32()), pa.array([sorted(words_of(text))], pa.list_(pa.string())), pa.array([some], pa.list_(pa.string()))],
-                    ["h", "label", "words", "sentences"],
+                    [pa.array([h]), pa.array([label], pa.int32()), pa.array([sorted(words_of(text))], pa.list_(pa.string())), pa.array([list(pairs)], pa.list_(pa.string())), pa.array([list(pairs.values())], pa.list_(pa.int64()))],
+                    ["h", "label", "words", "pairs", "often"],
                 )
 
-    found = materialize(texts.mapInArrow(run, "h long, label int, words array<string>, sentences array<string>"), "toxicity")
+    found = materialize(texts.mapInArrow(run, "h long, label int, words array<string>, pairs array<string>, often array<long>"), "toxicity")
     if found.count() > sample_rows:  # ids with several texts
         found = materialize(found.orderBy("h", "label").limit(sample_rows), "toxicity")
     size = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
@@ -257,9 +270,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     more = counts.where((F.col("n") >= options.get("least_texts", LEAST_TEXTS)) & (F.col("toxic") * size["n"] > F.col("n") * size["toxic"] * LEAST_LIFT))
     vocabulary = TERM_FEATURES.union(r["w"] for r in more.select("w").collect())  # at most what the bounded sample holds
 
-    # sentences: those with a term first, then by hash, over the whole sample
-    each = found.select(F.explode("sentences").alias("s")).withColumn("named", F.exists(F.split("s", " "), lambda w: w.isin(*KIND_OF))).distinct()
-    sentences = [r["s"].split() for r in each.orderBy(F.col("named").desc(), F.xxhash64("s"), "s").limit(SENTENCES).select("s").collect()]
+    # every sentence of the sample is varied; equal differences are counted, and there are few: they hold identity terms only
+    each = found.select(F.explode(F.arrays_zip("pairs", "often")).alias("p")).groupBy("p.pairs").agg(F.sum("p.often").alias("often"))
+    pairs = {_read(r["pairs"]): r["often"] for r in each.collect()}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     rows = found.select("h", "label", "words").mapInArrow(keep, "h long, label int, words array<string>").collect()
     rows.sort(key=lambda r: (r["h"], r["label"], r["words"]))
-    return fit([set(r["words"]) for r in rows], [r["label"] for r in rows], sentences, **options)
+    return fit([set(r["words"]) for r in rows], [r["label"] for r in rows], pairs, **options)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
