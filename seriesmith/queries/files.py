@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seriesmith.catalog import query
@@ -12,7 +13,7 @@ from seriesmith.operators import series
 from seriesmith.plans.adapters import READINGS_SQL, readings
 from seriesmith.queries.pictures import PX_SQL, stored_frames
 from seriesmith.sources import logs, pictures
-from seriesmith.streaming import segmenter, windows
+from seriesmith.streaming import calibrated, run_log, segmenter, windows
 
 
 def scratch(spark, label: str) -> str:
@@ -141,3 +142,58 @@ g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 def session_windows(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     return windows.sessions(df, "6 hours")
+
+
+def event_stream(spark, sf_dir):
+    """The events as a stream; a stream reads folders: a table that is one file is picked out of its folder."""
+    source = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if windows.is_folder(spark, source) else f"{sf_dir}/events*.parquet")
+
+
+def logged(stream, spark, app: str):
+    """The rows of a stream through the append-only log."""
+    path = scratch(spark, "log")
+    run_log.write_log(stream, path, app, scratch(spark, "stream")).awaitTermination()
+    return run_log.read_log(spark, path, stream.schema).drop("app", "batch")
+
+
+@query(
+    "closed_windows",
+    """SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS "start", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+WHERE "start" + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)""",
+)
+def closed_windows(spark, sf_dir):
+    """Windows that the watermark has passed, each added to the log once it is closed."""
+    out = logged(windows.tumbling(event_stream(spark, sf_dir), "6 hours", "2 hours"), spark, "closed_windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "clicks_before_purchases",
+    """SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id, epoch_us(b.ts) - epoch_us(a.ts) AS wait_us FROM events a JOIN events b ON a.user_id = b.user_id
+AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR""",
+)
+def clicks_before_purchases(spark, sf_dir):
+    """A join of two streams within a time, its rows through the log."""
+    return logged(windows.followed_by(event_stream(spark, sf_dir), "click", "purchase", "6 hours"), spark, "clicks_before_purchases")
+
+
+@query(
+    "stream_picture_segments",
+    f"""WITH {_FRAMES_SQL}, u AS (SELECT run_id, frame, unnest(px) AS bin FROM f WHERE frame < 50), h AS (SELECT run_id, frame, bin, count(*) AS n FROM u GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(n * bin) OVER w AS cm, sum(n) OVER t AS tn, sum(n * bin) OVER t AS tm FROM h WINDOW w AS (PARTITION BY run_id, frame ORDER BY bin), t AS (PARTITION BY run_id, frame)),
+b AS (SELECT run_id, frame, bin, CASE WHEN cn > 0 AND tn > cn THEN cn::DOUBLE * (tn - cn) * pow(cm::DOUBLE / cn - (tm - cm)::DOUBLE / (tn - cn), 2) END AS var FROM c),
+o AS (SELECT run_id, frame, coalesce(arg_max(bin, {{'v': round(var, 4), 'b': -bin}}) FILTER (var IS NOT NULL), 127) AS own FROM b GROUP BY run_id, frame),
+t AS (SELECT run_id, CAST(trunc(median(own)) AS INTEGER) AS threshold FROM o GROUP BY run_id),
+p AS (SELECT f.*, threshold, lag(px) OVER (PARTITION BY f.run_id ORDER BY frame) AS prev FROM f JOIN t USING (run_id)),
+d AS (SELECT run_id, frame, threshold, CASE WHEN prev IS NOT NULL AND list_sum(list_transform(range(1, len(px) + 1), lambda i: CASE WHEN (px[i] > threshold) <> (prev[i] > threshold) THEN 1 ELSE 0 END)) >= 0.4 * len(px) THEN 1 ELSE 0 END AS b FROM p),
+s AS (SELECT *, CAST(sum(b) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS INTEGER) AS seg FROM d)
+SELECT run_id, seg, min(frame) AS "start", max(frame) AS "end", CAST(count(*) AS INTEGER) AS n, any_value(threshold) AS threshold FROM s GROUP BY run_id, seg""",
+)
+def stream_picture_segments(spark, sf_dir):
+    """Calibrated on each run's first pictures, which are then replayed."""
+    df = stored_frames(spark, sf_dir)
+    df = df.select("run_id", "frame", "px", F.lead("frame").over(Window.partitionBy("run_id").orderBy("frame")).isNull().alias("last"))
+    df.write.parquet(source := scratch(spark, "frames"))
+    return logged(calibrated.segment_pictures(spark.readStream.schema(df.schema).parquet(source)), spark, "picture_segments")

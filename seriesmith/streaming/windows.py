@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def timed(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -29,6 +30,24 @@ def sessions(events: DataFrame, gap: str, late: str = "2 hours") -> DataFrame:
     return out.select("user_id", "n", F.col("w.start").cast("timestamp_ntz").alias("start"))
 
 
+def followed_by(events: DataFrame, first: str, then: str, within: str, late: str = "2 hours") -> DataFrame:
+    """Every event of type ``first`` with each of type ``then`` that the same user has within a time after it.
+
+    user_id, first_id, then_id and wait_us, the time between in microseconds. Of a stream both sides carry a watermark, and the bounds
+    on the times say for how long either has to be held in state.
+    """
+    rows = timed(events, late)
+    a = rows.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = rows.where(F.col("event_type") == then).select(F.col("user_id").alias("user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts"))
+    soon = (F.col("user") == F.col("user_id")) & (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, soon).select("user_id", "first_id", "then_id", (F.unix_micros("then_ts") - F.unix_micros("first_ts")).alias("wait_us"))
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped as later than the watermark, over the progress it still has."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
