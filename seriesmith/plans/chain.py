@@ -46,6 +46,25 @@ def finalize(repaired: DataFrame, edits: DataFrame, p: Params = DEFAULTS) -> Dat
     return log_rows(out.drop("pinned"), p, pinned)
 
 
+def finalize_values(repaired: DataFrame, values: DataFrame, pinned: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """The log again with whole lists of values: run_id and values, one for each of the run's segments in order.
+
+    A run that ``values`` does not name keeps its own. The query fails if a list is longer or shorter
+    than its run, or its run does not exist. ``pinned``: run_id and seg of values that the user set.
+    """
+    at = (F.row_number().over(Window.partitionBy("run_id").orderBy("seg")) - 1).alias("_at")
+    rows = repaired.select("*", at, F.lit(True).alias("_row"))
+    each = values.select("run_id", F.posexplode_outer("values").alias("_at", "_value"))
+    each = each.withColumn("_at", F.coalesce("_at", F.lit(0))).withColumn("_given", F.lit(True))
+    named = values.select("run_id", F.lit(True).alias("_named"), F.size("values").alias("_size")).dropDuplicates(["run_id"])
+    both = rows.join(each, ["run_id", "_at"], "full").join(named, "run_id", "left")
+    wrong = F.col("_named") & (F.col("_row").isNull() | F.col("_given").isNull() | (F.col("_at") >= F.col("_size")))
+    told = F.concat(F.lit("run "), F.col("run_id").cast("string"), F.lit(": "), F.col("_size").cast("string"), F.lit(" values are not one for each segment"))
+    final = F.when(wrong, F.raise_error(told).cast("int")).when(F.col("_named"), F.bround("_value", 0).cast("int")).otherwise(F.col("final"))
+    out = both.withColumn("final", final).drop("_at", "_row", "_value", "_given", "_named", "_size")
+    return log_rows(out, p, pinned)
+
+
 def change_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per run, segments whose value is new and differs from the old one."""
     both = before.select("run_id", "seg", F.col("final").alias("old")).join(after.select("run_id", "seg", F.col("final").alias("new")), ["run_id", "seg"])

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from seriesmith.catalog import query
 from seriesmith.functions import tables
-from seriesmith.operators import joins, series, sketches
-from seriesmith.plans.adapters import READINGS_SQL, readings
+from seriesmith.operators import evaluation, joins, series, sketches
+from seriesmith.plans import chain
+from seriesmith.plans.adapters import READINGS_SQL, readings, table
 from seriesmith.queries.chain_sql import ORACLES
+from seriesmith.queries.files import scratch
+from seriesmith.sources import logs
+from seriesmith.streaming import windows
 
 _NESTED = """
 s AS (SELECT run_id, seg, seg * 10 AS "start", seg * 10 + len + 4 AS "end" FROM r
@@ -96,3 +100,61 @@ def jumps_by_doubling(spark, sf_dir):
         SELECT least, coalesce(sum(c), 0) AS n FROM t LEFT JOIN j ON jump >= least GROUP BY least""",
         steps=df,
     )
+
+
+@query(
+    "finalized_values",
+    f"""WITH {READINGS_SQL}, f AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN event_id % 250 ELSE raw END AS final, run_id % 2 = 0 AND seg % 5 = 0 AS pin FROM r),
+s AS (SELECT *, coalesce(final, -1) AS speed FROM f),
+d AS (SELECT *, CASE WHEN speed >= 0 THEN coalesce(lag(speed) OVER w / 3.6 / 30.0, 0) ELSE 0 END AS step FROM s WINDOW w AS (PARTITION BY run_id ORDER BY seg))
+SELECT run_id, seg AS frame, round(sum(step) OVER (PARTITION BY run_id ORDER BY seg ROWS UNBOUNDED PRECEDING), 2) AS dist, CAST(speed AS BIGINT) AS speed,
+CASE WHEN pin THEN 22 WHEN raw IS NULL THEN 12 WHEN final <> raw THEN 11 ELSE 21 END AS flag FROM d""",
+)
+def finalized_values(spark, sf_dir):
+    """Every second run gets a whole list of values, some of them pinned."""
+    df = readings(spark, sf_dir).withColumn("len", F.lit(1)).withColumn("final", F.col("raw")).withColumn("conf", F.lit(100.0))
+    even = df.where("run_id % 2 = 0")
+    lists = even.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seg", (F.col("event_id") % 250).cast("double").alias("v")))).alias("all"))
+    values = lists.select("run_id", F.transform("all", lambda x: x["v"]).alias("values"))
+    return chain.finalize_values(df, values, even.where("seg % 5 = 0").select("run_id", "seg")).withColumn("speed", F.col("speed").cast("long"))
+
+
+@query(
+    "log_curves",
+    f"WITH {READINGS_SQL} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY seg) - 1 AS INTEGER) AS idx, round(seg / 25.0, 6) AS t, round(mid / 4.0, 2) AS dist, CAST(coalesce(raw, -1) AS DOUBLE) AS speed, len AS flag FROM r",
+)
+def log_curves(spark, sf_dir):
+    """Logs with 25 frames a second in their headers, read again as curves in seconds."""
+    df = readings(spark, sf_dir).select("run_id", F.col("seg").alias("frame"), (F.col("mid") / 4.0).alias("dist"), F.coalesce("raw", F.lit(-1)).alias("speed"), F.col("len").alias("flag"))
+    head = df.select("run_id").distinct().select("run_id", F.array(F.lit("log v1"), F.lit("fps=25.000")).alias("header"))
+    logs.write_logs(df, head, path := scratch(spark, "logs"))
+    run = F.regexp_extract("path", r"run_id=(\d+)", 1).cast("long")
+    return logs.read_curves(spark, f"{path}/*/*.txt").select(run.alias("run_id"), "idx", F.round("t", 6).alias("t"), "dist", "speed", "flag")
+
+
+@query(
+    "baseline_round_trip",
+    f"WITH {READINGS_SQL} SELECT run_id, count(*) FILTER (raw IS NOT NULL AND truth IS NOT NULL) AS seg, count(*) FILTER (abs(raw - truth) > 1) AS raw FROM r GROUP BY run_id",
+)
+def baseline_round_trip(spark, sf_dir):
+    """A graded result kept as a baseline and read again for the same tolerance."""
+    df = readings(spark, sf_dir)
+    known = F.col("raw").isNotNull() & F.col("truth").isNotNull()
+    graded = df.groupBy("run_id").agg(evaluation.count_if(known).alias("seg"), evaluation.count_if(F.abs(F.col("raw") - F.col("truth")) > 1).alias("wrong")).withColumnRenamed("wrong", "raw")
+    logs.write_baseline(graded, path := scratch(spark, "baseline"), 1.0, "1")
+    return logs.read_baseline(spark, path, 1.0).select("run_id", "seg", "raw")
+
+
+@query(
+    "sliding_windows",
+    """WITH w AS (SELECT unnest([time_bucket(INTERVAL 3 HOUR, ts), time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR]) AS "start" FROM events) SELECT "start", count(*) AS n FROM w GROUP BY 1""",
+)
+def sliding_windows(spark, sf_dir):
+    out = windows.sliding(table(spark, sf_dir, "events"), "6 hours", "3 hours")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("changed_values", f"WITH {READINGS_SQL} SELECT run_id, count(*) FILTER (truth IS NOT NULL AND (raw IS NULL OR raw <> truth)) AS changed FROM r GROUP BY run_id")
+def changed_values(spark, sf_dir):
+    df = readings(spark, sf_dir)
+    return chain.change_count(df.withColumnRenamed("raw", "final"), df.withColumnRenamed("truth", "final"))
