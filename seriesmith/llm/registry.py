@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesmith.llm import conversations, exact_dedup, hard_negatives, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, token_ids, toxicity, warc
+from seriesmith.llm import conversations, conversations_sql, exact_dedup, hard_negatives, html_extraction, media, mixing, sentencepiece_codec, simhash, substring_dedup, suffix_dedup, token_ids, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -24,5 +24,6 @@ ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_conversations": conversations_sql.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
