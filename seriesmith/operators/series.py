@@ -7,8 +7,15 @@ they are ordered by seg, but for the window in time about a row and the search f
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmith.functions.numeric import array_median, lerp
 from seriesmith.params import DEFAULTS, KMH_PER_MS, Params
@@ -34,31 +41,86 @@ def half_width(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return df.withColumn("_pm", F.lag("mid").over(run_order())).withColumn("_gap", gap).withColumn("_half", width).drop("_gap")
 
 
+class _Medians:
+    """Medians of steps in a window of time that moves forward over one run; only what the window holds is kept."""
+
+    def __init__(self, half: float):
+        self.half = half
+        self.rows: deque = deque()  # times of rows that wait for their median
+        self.ahead: deque = deque()  # steps that no window has reached yet: time, begin, size
+        self.inside: list[float] = []  # sizes in order
+        self.leaving: list[tuple] = []  # begin and size, a heap
+
+    def add(self, mid, begin, size) -> list[float]:
+        """Take the next row in time; the medians of the rows whose windows it ends."""
+        done = self.upto(mid)
+        self.rows.append(mid)
+        if mid is not None and begin is not None and size is not None:
+            self.ahead.append((mid, min(mid, begin), float(size)))
+        return done
+
+    def upto(self, mid) -> list[float]:
+        """Medians of waiting rows whose windows end before ``mid``; of all for None at the end."""
+        out = []
+        while self.rows and (self.rows[0] is None or mid is None or mid - self.rows[0] > self.half):
+            out.append(self._median(self.rows.popleft()))
+        return out
+
+    def _median(self, mid) -> float:
+        if mid is None:
+            return 0.0
+        inside, leaving = self.inside, self.leaving
+        while self.ahead and self.ahead[0][0] - mid <= self.half:
+            _, begin, size = self.ahead.popleft()
+            insort(inside, size)
+            heappush(leaving, (begin, size))
+        while leaving and leaving[0][0] < mid - self.half:
+            del inside[bisect_left(inside, heappop(leaving)[1])]
+        n = len(inside)
+        return (inside[(n - 1) // 2] + inside[n // 2]) / 2.0 if n else 0.0
+
+
+def _bandwidths(keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come ordered by run and time; a batch goes on once the windows of its rows are complete."""
+        waiting: deque = deque()
+        found: list[float] = []
+        key, medians = None, None
+
+        def ready():
+            nonlocal found
+            while waiting and len(found) >= waiting[0].num_rows:
+                batch = waiting.popleft()
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(found[: batch.num_rows], pa.float64())], [*keep, "bw"])
+                found = found[batch.num_rows :]
+
+        for batch in batches:
+            waiting.append(batch)
+            for this, mid, begin, size, half in zip(*(batch.column(c).to_pylist() for c in ("run_id", "mid", "_pm", "_dv", "_half"))):
+                if medians is None or this != key:
+                    if medians is not None:
+                        found += medians.upto(None)
+                    key, medians = this, _Medians(half)
+                found += medians.add(mid, begin, size)
+            yield from ready()
+        if medians is not None:
+            found += medians.upto(None)
+        yield from ready()
+
+    return run
+
+
 def local_bandwidth(df: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Adds bw: median step between neighbouring readings inside a time window about each row, 0 if none.
 
-    The half-width is ``window`` times the run's median gap, at most ``window_max``. A frame's bounds
-    must be literals, so the widest frame is collected and narrowed row by row.
+    Both ends of a step must be inside. The half-width is ``window`` times the run's median gap, at most
+    ``window_max``. The rows of a run are read once in order of time, with the steps of one window
+    in order of size: work and memory follow the rows of a window, which a frame of literal bounds would list for every row.
     """
-    wide = Window.partitionBy("run_id").orderBy("mid").rangeBetween(-p.window_max, p.window_max)
-    return (
-        half_width(df, p)
-        .withColumn("_dv", F.abs(F.col("raw") - F.lag("raw").over(run_order())))
-        .withColumn("_near", F.collect_list(F.when(F.col("_dv").isNotNull(), F.struct("mid", "_pm", "_dv"))).over(wide))
-        .withColumn(
-            "bw",
-            F.coalesce(
-                array_median(
-                    F.transform(
-                        F.filter("_near", lambda x: (F.abs(x["mid"] - F.col("mid")) <= F.col("_half")) & (x["_pm"] >= F.col("mid") - F.col("_half"))),
-                        lambda x: x["_dv"].cast("double"),
-                    )
-                ),
-                F.lit(0.0),
-            ),
-        )
-        .drop("_pm", "_dv", "_half", "_near")
-    )
+    keep = [c for c in df.columns if c != "bw"]
+    rows = half_width(df.select(*keep), p).withColumn("_dv", F.abs(F.col("raw") - F.lag("raw").over(run_order())))
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("bw", T.DoubleType())])
+    return rows.sortWithinPartitions("run_id", "mid", "seg").mapInArrow(_bandwidths(keep), schema)
 
 
 def context(df: DataFrame, p: Params) -> DataFrame:
