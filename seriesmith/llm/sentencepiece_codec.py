@@ -132,6 +132,11 @@ _UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 _END, _END_ID = "\udfff", 0xFFFFFFFF
 
 
+#: Bytes that one generation of remembered units may hold, and rows whose texts are taken from a batch together.
+CACHE_BYTES = 32 << 20
+ROWS = 64
+
+
 class Codec:
     """Encoder and decoder of one worker; ids are those of the rebuilt tokenizer."""
 
@@ -149,7 +154,7 @@ class Codec:
         self.identity = not self.model.charsmap and not self.model.squeeze
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_units = self.model.by_units and self.model.dummy_prefix and USER_DEFINED not in self.model.kinds and MARK in self.model.pieces
-        self.cache = UnitCache(self._new_units)
+        self.cache = UnitCache(self._new_units, CACHE_BYTES)
 
     def _decoded(self, ids: list) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -220,7 +225,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         codec = per_worker(("sentencepiece", path), lambda: Codec(path))
         for batch in batches:
             at = 0
-            for texts in chunks([t or "" for t in batch.column(1).to_pylist()]):
+            parts = (batch.column(1).slice(k, ROWS) for k in range(0, batch.num_rows, ROWS))
+            for texts in chunks(t or "" for part in parts for t in part.to_pylist()):
                 ids, sizes, same, back = codec.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 data = memoryview(ids.astype("<u4").tobytes())

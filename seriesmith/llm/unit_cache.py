@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: Bytes that one generation of a cache may hold; two generations are held.
 GENERATION_BYTES = 96 << 20
@@ -68,7 +68,7 @@ class UnitCache:
         return list(map(self.known(units).__getitem__, units))
 
 
-def chunks(texts: list[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Consecutive runs of texts of about ``size`` characters; a longer text is a run of its own."""
     some, n = [], 0
     for text in texts:
