@@ -189,6 +189,48 @@ def recogniser_input(image: np.ndarray, aspect: float | None = None, height: int
     return out
 
 
+def prepared(frames: DataFrame, height: int = 48, power: float = 2.0, tolerance: float = 0.02) -> DataFrame:
+    """Adds width and levels: pictures as a recogniser takes them, before they are scaled to -1..1.
+
+    Grays go through the gamma ``power``, then pictures are brought to ``height`` keeping their shape,
+    bilinear; one that has its size within the tolerance stays as it is. levels has ``height`` rows (of a
+    picture that stays, its own) of ``width`` values each. Pictures of one size in a batch are resized
+    together. A picture without pixels gives null.
+    """
+    names = [c for c in frames.columns if c not in ("width", "levels")]
+    at = [names.index(c) for c in ("h", "w", "px")]
+    curve = np.floor(255.0 * (np.arange(256) / 255.0) ** power).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heights, widths = (batch.column(k).to_pylist() for k in at[:2])
+            column, n = batch.column(at[2]), batch.num_rows
+            sizes: dict = {}
+            for k, size in enumerate(zip(heights, widths)):
+                if column[k].is_valid and None not in size and size[0] * size[1]:
+                    sizes.setdefault(size, []).append(k)
+            width, levels = [None] * n, [None] * n
+            for (h, w), rows in sizes.items():
+                stack = curve[np.stack([column[k].values.to_numpy(zero_copy_only=False) for k in rows])].reshape(len(rows), h, w)
+                wide = max(1, w * height // h)
+                if not (wide == w and abs(height - h) <= tolerance * height):
+                    stack = np.moveaxis(resize_bilinear(np.moveaxis(stack, 0, 2), height, wide), 2, 0)
+                for k, picture in zip(rows, stack):
+                    width[k], levels[k] = picture.shape[1], picture.ravel()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width, pa.int32()), pa.array(levels, pa.list_(pa.float32()))], [*names, "width", "levels"])
+
+    rows = frames.select(names)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("levels", T.ArrayType(T.FloatType()))]))
+
+
+def scaled(levels: Column, width: Column, pad_to: Column) -> Column:
+    """levels on the scale -1..1, each row of ``width`` values padded with zeros on the right."""
+    rows = F.sequence(F.lit(0), (F.size(levels) / width).cast("int") - 1)
+    zeros = F.array_repeat(F.lit(0.0), F.greatest(pad_to - width, F.lit(0)))
+    one = lambda y: F.concat(F.transform(F.slice(levels, y * width + 1, width), lambda x: (x.cast("double") / 255.0 - 0.5) / 0.5), zeros)
+    return F.when(width > 0, F.flatten(F.transform(rows, one)))
+
+
 def component_share(mask: np.ndarray, least: int = 4) -> tuple[int, float]:
     """Size of the largest 8-connected component of a mask, and the share of its pixels in components of ``least`` or more."""
     m = np.pad(np.asarray(mask, bool), 1)

@@ -133,3 +133,27 @@ def histogram_equalised(spark, sf_dir):
     h = _pictures(spark, sf_dir).select("label", F.explode("px").alias("bin")).groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("label")
     return h.select("label", "bin", F.floor(255.0 * F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).cast("int").alias("value"))
+
+
+_AT = "(({0}) / 2.0 - 0.25)"
+_X, _Y = _AT.format("i % 16"), _AT.format("i // 16")
+_SHARE = "(least(greatest({0}, 0), 7) - floor(least(greatest({0}, 0), 7)))"
+
+
+def _corner(dy: int, dx: int) -> str:
+    low = "CAST(least(floor(least(greatest({0}, 0), 7)) + {1}, 7) AS INTEGER)"
+    return f"gm[{low.format(_Y, dy)} * 8 + {low.format(_X, dx)} + 1]"
+
+
+_BILINEAR = " + ".join(f"{_corner(dy, dx)} * {_SHARE.format(_Y) if dy else '(1 - ' + _SHARE.format(_Y) + ')'} * {_SHARE.format(_X) if dx else '(1 - ' + _SHARE.format(_X) + ')'}" for dy in (0, 1) for dx in (0, 1))
+
+
+@query(
+    "prepared_pictures",
+    f"""WITH {PX_SQL}, g AS (SELECT *, list_transform(px, lambda x: floor(255 * pow(x / 255.0, 2.0))) AS gm FROM v)
+SELECT vec_id, 16 AS width, array_to_string(list_transform(range(0, 256), lambda i: CAST(round(16 * ({_BILINEAR})) AS INTEGER)), ' ') AS levels FROM g""",
+)
+def prepared_pictures(spark, sf_dir):
+    """Gamma and a bilinear resize to twice the size; a level is a whole number of sixteenths."""
+    frames = _pictures(spark, sf_dir).select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), "px")
+    return pixels.prepared(frames, 16).select("vec_id", "width", _text(F.transform("levels", lambda x: F.round(x.cast("double") * 16).cast("int"))).alias("levels"))
