@@ -25,5 +25,6 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_conversations": conversations_sql.ORACLE,
+    "op12_suffix_dedup": suffix_dedup.ORACLE,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }

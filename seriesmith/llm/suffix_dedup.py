@@ -254,3 +254,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op12_suffix_dedup(spark, sf_dir) -> DataFrame:
     out = suffix_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, b, octet_length(b) AS n FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+w AS (
+  SELECT r, k, array_slice(b, k + 1, k + 200) AS s FROM (SELECT r, b, unnest(range(n - 199)) AS k FROM d WHERE n >= 200)),
+again AS (SELECT r, k FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) t USING (s)),
+begun AS (SELECT r, k, coalesce(k > lag(k) OVER o + 200, true) AS opens FROM again WINDOW o AS (PARTITION BY r ORDER BY k)),
+spans AS (
+  SELECT r, span, min(k) AS a, max(k) + 200 AS e
+  FROM (SELECT r, k, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY k) AS span FROM begun) GROUP BY r, span),
+pieces AS (
+  SELECT r, a AS place, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY a) AS x, a AS y FROM spans
+  UNION ALL SELECT d.r, d.n, coalesce(s.e, 0), d.n FROM d LEFT JOIN (SELECT r, max(e) AS e FROM spans GROUP BY r) s ON s.r = d.r),
+kept AS (
+  SELECT r, list_reduce(list(CASE WHEN y > x THEN array_slice(b, x + 1, y) ELSE encode('') END ORDER BY x, y), lambda p, q: p || q) AS b
+  FROM pieces JOIN d USING (r) GROUP BY r),
+counted AS (SELECT r, CAST(sum(e - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(kept.b) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN counted USING (r)
+"""

@@ -1,4 +1,4 @@
-"""The SQL of operators 11 and 13 gives the rows of their queries."""
+"""The SQL of operators 11 to 13 gives the rows of their queries."""
 
 import os
 
@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name, table", [("op11_conversations", "conversations"), ("op13_hard_negatives", "embeddings")])
+@pytest.mark.parametrize("name, table", [("op11_conversations", "conversations"), ("op12_suffix_dedup", "documents"), ("op13_hard_negatives", "embeddings")])
 def test_sql_agrees(spark, name, table):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
