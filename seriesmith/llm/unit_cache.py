@@ -64,16 +64,26 @@ class UnitCache:
             out.update(self._missing(new))
         return out
 
+    def each(self, units: list) -> list[bytes]:
+        """The values of units that all differ, in their order; the unknown ones are encoded some at a time."""
+        out = list(map(self.young.get, units))
+        if new := [u for u, v in zip(units, out) if v is None]:
+            found = {}
+            for some in chunks(new):
+                found |= self._missing(some)
+            out = [found[u] if v is None else v for u, v in zip(units, out)]
+        return out
+
     def values(self, units: list) -> list[bytes]:
         return list(map(self.known(units).__getitem__, units))
 
 
-def chunks(texts: Iterable[str], size: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    """Consecutive runs of texts of about ``size`` characters; a longer text is a run of its own."""
+def chunks(texts: Iterable[str | bytes], size: int = CHUNK_CHARS, measure: Callable = len) -> Iterator[list]:
+    """Consecutive runs of texts of about ``size`` characters, or as ``measure`` counts; a run ends with the text that fills it."""
     some, n = [], 0
     for text in texts:
         some.append(text)
-        n += len(text)
+        n += measure(text)
         if n >= size:
             yield some
             some, n = [], 0

@@ -80,3 +80,20 @@ def test_memory_of_units_is_bounded_by_bytes():
         assert cache.values(units) == [u.upper() for u in units]
         held = sum(len(k) + len(v) + 160 for some in (cache.young, cache.old) for k, v in some.items())
         assert held < 2 * 40_000 and not any(len(u) > LONGEST for u in cache.young)
+
+
+def test_words_are_remembered_by_their_pieces(vocab):
+    """op6: letters and the punctuation behind them are kept apart, not every pair of them."""
+    from tokenizers import Tokenizer
+
+    path = vocab("word_bpe_49k.json")
+    stems, tails = [a + b for a in "bcdfghklmn" for b in ("ab", "é", "ost")], ["", ",", ".", "!?", "$$$"]
+    texts = [" ".join(s + t for s in stems) for t in tails] + ["", " \n", "don't 12,5 x y, <|endoftext|>"]
+    whole = [[*e.ids, 7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    coder = token_ids.WordTokenizer(path)
+    for some in ([], [""], texts[:5], texts):
+        ids, sizes = coder.encode(some, end_id=7)
+        want = [[7]] if some == [""] else whole[: len(some)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    held = [len(c.young) + len(c.old) for c in vars(coder).values() if isinstance(c, UnitCache)]
+    assert sum(held) <= len(stems) + len(tails) + 20 < len(stems) * len(tails)
