@@ -230,8 +230,11 @@ def best_configuration(spark, sf_dir):
     """SELECT user_id, bool_or(value > 200) AS any_high, arg_max(event_type, value) AS best, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id""",
 )
 def any_and_best(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.bool_or(F.col("value") > 200).alias("any_high"), F.max_by("event_type", "value").alias("best"), evaluation.count_if(F.col("event_type") == "click").alias("clicks")
+    # of equal values the first row in the table's files, as SQL meets them; nan is the greatest value, and rows without type or value are none
+    place = F.struct(~F.isnan("value"), -F.col("value"), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    df = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.when(F.col("event_type").isNotNull() & F.col("value").isNotNull(), place).alias("_place"))
+    return df.groupBy("user_id").agg(
+        F.bool_or(F.col("value") > 200).alias("any_high"), F.min_by("event_type", "_place").alias("best"), evaluation.count_if(F.col("event_type") == "click").alias("clicks")
     )
 
 
