@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seriesmith.functions.text import SETTINGS, header_map, to_float, to_int, to_roi
 from seriesmith.params import DEFAULTS
 
+MARK = "\ufeff"  # of the byte order, a log's first character
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line and text of each line, the byte-order mark taken off.
@@ -92,23 +94,49 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.posexplode(F.concat(F.array(F.lit("blank")), "l", F.array(F.lit(" ")))).alias("idx", "ch"))
 
 
+def _log_rows(log: DataFrame, settings: DataFrame) -> DataFrame:
+    """run_id, part, ord and value: header lines (part 0) and rows of the body (part 1) of each log."""
+    head = settings.select("run_id", F.posexplode("header").alias("a", "h")).select("run_id", F.lit(0).alias("part"), F.col("a").cast("long").alias("ord"), F.concat(F.lit("# "), "h").alias("value"))
+    body = log.select(
+        "run_id", F.lit(1).alias("part"), F.col("frame").cast("long").alias("ord"),
+        F.format_string("%d,%.2f,%d,%d", F.col("frame").cast("long"), F.col("dist").cast("double"), F.coalesce(F.col("speed").cast("long"), F.lit(-1).cast("long")), F.col("flag").cast("long")).alias("value"),
+    )
+    return head.unionByName(body)
+
+
 def write_logs(log: DataFrame, settings: DataFrame, path: str) -> None:
     """Write each run's log as text below path/run_id=...: header lines in fixed order, then rows.
 
     log: run_id, frame, dist, speed, flag. settings: run_id and header, an array of lines without '#'.
     A run is one file; runs are spread over tasks.
     """
-    head = settings.select("run_id", F.posexplode("header").alias("a", "h")).select(
-        "run_id", F.lit(0).alias("part"), F.col("a").cast("long").alias("ord"), F.concat(F.when(F.col("a") == 0, "﻿").otherwise(""), F.lit("# "), "h").alias("value")
-    )
-    body = log.select(
-        "run_id", F.lit(1).alias("part"), F.col("frame").cast("long").alias("ord"),
-        F.format_string("%d,%.2f,%d,%d", F.col("frame").cast("long"), F.col("dist").cast("double"), F.coalesce(F.col("speed").cast("long"), F.lit(-1).cast("long")), F.col("flag").cast("long")).alias("value"),
-    )
-    rows = head.unionByName(body).repartition("run_id").sortWithinPartitions("run_id", "part", "ord")
+    mark = F.when((F.col("part") == 0) & (F.col("ord") == 0), MARK).otherwise("")
+    rows = _log_rows(log, settings).withColumn("value", F.concat(mark, "value")).repartition("run_id").sortWithinPartitions("run_id", "part", "ord")
     rows.select("run_id", "value").write.partitionBy("run_id").text(path)
 
 
+def write_bundles(log: DataFrame, settings: DataFrame, path: str) -> None:
+    """Write the logs of many runs to each text file below path, one after another, as a file a run costs more than its rows.
+
+    As write_logs, but for a line ``# run_id=...`` before the others, which has the byte-order mark. It is where
+    a log begins, so neither run_id nor a line of a header may hold a line break; a null run_id is empty.
+    """
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("part", "ord")) == 1
+    name = F.concat(F.lit(f"{MARK}# run_id="), F.coalesce(F.col("run_id").cast("string"), F.lit("")), F.lit("\n"))
+    rows = _log_rows(log, settings).repartition("run_id").withColumn("_first", first).sortWithinPartitions("run_id", "part", "ord")
+    rows.select(F.concat(F.when(F.col("_first"), name).otherwise(""), F.coalesce("value", F.lit(""))).alias("value")).write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """path, line and text of each line of bundled logs: the path of the bundle, followed by /run_id=... of the log.
+
+    A log is read whole by one task, a bundle by several.
+    """
+    logs = spark.read.text(path, lineSep=f"\n{MARK}")
+    name = F.regexp_extract("value", f"^{MARK}?# (run_id=[^\r\n]*)", 1)
+    return _lines(logs.select(F.concat("_metadata.file_path", F.lit("/"), name).alias("path"), "value"))
+
+
 def write_baseline(result: DataFrame, path: str, tolerance: float, version: str) -> None:
     """A graded result as JSON, one row per run and one for all, with the tolerance and version it holds for."""
     result.withColumn("tol", F.lit(float(tolerance))).withColumn("version", F.lit(version)).write.mode("overwrite").json(path)
